@@ -161,3 +161,16 @@ def predict(docs: DataFrame, model: LanguageFilters | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; fits on docs when no model is given."""
     found = identify(docs, model or fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageFilters | None = None) -> DataFrame:
+    """docs without those whose language is `und`, in one pass without a shuffle; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+
+    @F.pandas_udf(T.BooleanType())
+    def identified(texts: pd.Series) -> pd.Series:
+        values = ["" if t is None else t for t in texts]
+        out = [_classify(values[a:b], shared.value)[0] >= 0 for a, b in text_chunks(values)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+
+    return docs.where(identified("text"))
