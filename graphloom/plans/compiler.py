@@ -23,7 +23,11 @@ from graphloom.functions.terms import LANG_STRING, STRING, TERM, XSD
 from graphloom.plans.sparql import Call, Exists, Group, Node, Pattern, Query, UnsupportedSparql, Update, Var, parse_query, parse_update
 from graphloom.sources.quads import COLUMNS, QuadSource, as_source, dataset, difference, set_of, union
 
-NULL_TERM = F.lit(None).cast(TERM)
+
+
+def null_term() -> Column:
+    return F.lit(None).cast(TERM)
+
 
 
 @dataclass
@@ -240,7 +244,7 @@ class Compiler:
 
     def union(self, parts: list[Solutions]) -> Solutions:
         names = list(dict.fromkeys(v for p in parts for v in p.vars))
-        df = reduce(DataFrame.unionByName, [p.df.select(*[F.col(v) if v in p.vars else NULL_TERM.alias(v) for v in names]) for p in parts])
+        df = reduce(DataFrame.unionByName, [p.df.select(*[F.col(v) if v in p.vars else null_term().alias(v) for v in names]) for p in parts])
         maybe = {v for v in names if any(v not in p.vars or v in p.maybe for p in parts)}
         return Solutions(df, frozenset(maybe), frozenset(v for v in names if all(v in p.resources or v not in p.vars for p in parts)))
 
@@ -272,7 +276,7 @@ class Compiler:
 
     def as_term(self, e, names: Mapping[str, Column]) -> Column:
         if isinstance(e, Var):
-            return names.get(e.name, NULL_TERM)
+            return names.get(e.name, null_term())
         if isinstance(e, Node):
             return constant(e)
         if e.name == "COALESCE":
@@ -449,7 +453,7 @@ class Compiler:
             s = self.aggregate(s, q)
         elif q.select:
             names = self._names(s)
-            cols = [(names.get(e.name, NULL_TERM) if isinstance(e, Var) else self.as_term(e, names)).alias(n) for e, n in q.select]
+            cols = [(names.get(e.name, null_term()) if isinstance(e, Var) else self.as_term(e, names)).alias(n) for e, n in q.select]
             keep = [n for _, n in q.select]
             if q.order_by and not q.distinct:
                 s = self.ordered(s, q, q.select)
@@ -548,8 +552,8 @@ class Compiler:
             names |= {b: terms.bnode(F.concat(F.lit("b"), F.substring(row, 1, 24), F.lit(b))) for b in blanks}
         parts = []
         for t in template:
-            x = [constant(v) if isinstance(v, Node) else names.get(v.name, NULL_TERM) for v in (t.s, t.p, t.o)]
-            g = F.lit(None).cast("string") if t.g is None else (F.lit(t.g.value) if isinstance(t.g, Node) else names.get(t.g.name, NULL_TERM)["value"])
+            x = [constant(v) if isinstance(v, Node) else names.get(v.name, null_term()) for v in (t.s, t.p, t.o)]
+            g = F.lit(None).cast("string") if t.g is None else (F.lit(t.g.value) if isinstance(t.g, Node) else names.get(t.g.name, null_term())["value"])
             row = s.df.select(
                 g.alias("g"), x[0]["value"].alias("s"), x[0]["kind"].alias("s_kind"), x[1]["value"].alias("p"), x[1]["kind"].alias("p_kind"),
                 x[2]["value"].alias("o"), x[2]["kind"].alias("o_kind"), x[2]["dt"].alias("o_dt"), x[2]["lang"].alias("o_lang"),
