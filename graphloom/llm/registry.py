@@ -37,6 +37,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import substring_dedup
+
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import quality
 
@@ -110,7 +116,7 @@ from w left join c on w.doc_id = c.doc_id left join m on w.doc_id = m.doc_id
 
 
 def queries() -> dict:
-    all_ = (op1_chat_format, op2_ngram_jaccard_join, op3_sharding, op4_byte_bpe, op6_quality_rules, op7_toxicity, op8_secret_scan, op9_language_id, op10_decontamination)
+    all_ = (op1_chat_format, op2_ngram_jaccard_join, op3_sharding, op4_byte_bpe, op5_substring_dedup, op6_quality_rules, op7_toxicity, op8_secret_scan, op9_language_id, op10_decontamination)
     return {f.__name__: f for f in all_}
 
 
