@@ -7,10 +7,12 @@ by hash) two sets with a Jaccard similarity of at least T share a shingle of the
     says, the prefix filter stays exact.
 2.  Documents with one prefix and size collapse into a group, equal sets into a class. Groups' prefixes deal out by
     shingle; shingles of one group alone go. Groups then expand into classes.
-3.  Verification, exactly, by the sets: first of each class against the hub of each of its lists, the class that shares
+3.  Verification: first of each class against the one that is most often the hub of its lists, the class that shares
     most with others; then, among the lists that still hold classes of different components, of the pairs across
     components that the first round hasn't seen. Lists whose classes are all connected need no pair, so a group of
-    thousands of near copies takes about as many checks as it has members.
+    thousands of near copies takes about as many checks as it has members. A pair is first held to a bound: each class has
+    about one bit a shingle, the parity of the shingles that fall on it, and every bit in which two classes differ is a
+    shingle that they don't share. Only pairs within the bound are compared by their sets, exactly.
 4.  Components by alternating large and small stars.
 
 Nothing about documents reaches the driver but the sketch's frequent counters (SKETCH rows at most) and counts.
@@ -59,8 +61,8 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def words_of(texts: list[str]):
+    """(hash, text index, first byte, byte after the last) of every word, and the bytes of all texts together."""
     parts = [t.encode().lower() for t in texts]
     joined = b"\n" + b"\n".join(parts) + b"\n"
     bounds = np.cumsum([1] + [len(p) + 1 for p in parts])  # where each text begins
@@ -68,23 +70,31 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     space = SPACE[data]
     starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    empty = np.zeros(0, dtype=np.uint64)
     if not len(starts):
-        return [empty] * len(texts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts, ends, bounds, data
     lengths = ends - starts
     flat = np.flatnonzero(~space)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(flat)) - np.repeat(first, lengths)
     h = np.add.reduceat(BYTE[data[flat]] * _powers(int(lengths.max()))[place], first)
     h = mix64(h + lengths.astype(np.uint64) * STEP)
-    doc = np.searchsorted(bounds, starts, side="right") - 1
+    return h, np.searchsorted(bounds, starts, side="right") - 1, starts, ends, bounds, data
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The hash of the WORDS words from each place on; fewer than h by WORDS - 1."""
+    n = max(0, len(h) - WORDS + 1)
+    s = h[:n] * FACTORS[0]
+    for k in range(1, WORDS):
+        s += h[k : n + k] * FACTORS[k]
+    return mix64(s)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    h, doc, *_ = words_of(texts)
+    empty, s = np.zeros(0, dtype=np.uint64), shingles(h)
     edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-    n = len(h) - WORDS + 1
-    if n > 0:
-        s = h[:n] * FACTORS[0]
-        for k in range(1, WORDS):
-            s += h[k : n + k] * FACTORS[k]
-        s = mix64(s)
     out = []
     for i in range(len(texts)):
         a, b = edge[i], edge[i + 1]
@@ -100,7 +110,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 def _sets_of(column: pa.Array):
     """Ranges of a batch and the sets of their texts."""
     texts = [t or "" for t in column.to_pylist()]
-    for a, b in text_chunks(texts, 1_000_000):
+    for a, b in text_chunks(texts):
         yield a, b, shingle_sets(texts[a:b])
 
 
@@ -114,6 +124,23 @@ def _identity(s: np.ndarray) -> bytes:
     return mix64(sums + np.uint64(len(s))).tobytes()
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """For each of m places, m the least power of two from len(s) and 64 on, the parity of the hashes that fall on it."""
+    m = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_common(n: int, m: int, x: bytes, y: bytes) -> int:
+    """An upper bound of the intersection of two sets of n and m, from their parity bits (the longer ones fold)."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -149,21 +176,21 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, class_id (null: empty set), group_id, prefix (once for each group and task, else null)."""
+    """doc_id, n, class_id (null: empty set), group_id, bits, prefix (once for each group and task, else empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         levels, seen = shared.value, set()
         for batch in batches:
             for a, b, sets in _sets_of(batch.column(1)):
-                ids, groups, heads, known = [], [], [], []
+                ids, groups, bits, heads = [], [], [], []
                 for s in sets:
                     n = len(s)
                     if not n:
                         ids.append(None)
                         groups.append(None)
+                        bits.append(None)
                         heads.append(s)
-                        known.append(True)
                         continue
                     level = levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                     ordered = s[np.argsort(level, kind="stable")] if level.any() else s
@@ -171,39 +198,36 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> Dat
                     group = int(mix64(np.array([mix64(head + np.uint64(n)).sum()], dtype=np.uint64)).view(np.int64)[0])
                     ids.append(_identity(s))
                     groups.append(group)
-                    known.append(group in seen)
+                    bits.append(parity_bits(s))
                     heads.append(head[:0] if group in seen else head)
                     seen.add(group)
                 size = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), size, pa.array(ids, pa.binary()), pa.array(groups, pa.int64()), _lists(heads, pa.int64())],
-                    names=["doc_id", "n", "class_id", "group_id", "prefix"],
+                    [batch.column(0).slice(a, b - a), size, pa.array(ids, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary()), _lists(heads, pa.int64())],
+                    names=["doc_id", "n", "class_id", "group_id", "bits", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class_id binary, group_id long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class_id binary, group_id long, bits binary, prefix array<long>")
 
 
 def _shared_only(batches):
     """Of rows sorted by (token, group_id) the distinct ones whose token has two groups or more; holds one row back."""
-    last = np.zeros((0, 2), dtype=np.int64)
+    last = np.zeros((0, 3), dtype=np.int64)
     before = None  # the token before last's
 
     def emit(rows, after):
         nonlocal before
         t = rows[:, 0]
-        left = np.concatenate([[before is not None and len(t) and t[0] == before], t[1:] == t[:-1]])[: len(t)].astype(bool)
-        right = np.concatenate([t[1:] == t[:-1], [after is not None and len(t) and t[-1] == after]])[-len(t) or len(t) + 1 :].astype(bool)
-        keep = left | right
-        if len(t):
-            before = t[-1]
-        return pa.RecordBatch.from_arrays([pa.array(rows[keep, 0]), pa.array(rows[keep, 1])], names=["token", "group_id"])
+        same = t[1:] == t[:-1]
+        keep = np.append(before is not None and t[0] == before, same) | np.append(same, after is not None and t[-1] == after)
+        before = t[-1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(rows[keep].T)], names=["token", "group_id", "pos"])
 
     for batch in batches:
-        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-        rows = np.concatenate([last, rows])
+        rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
         new = np.ones(len(rows), dtype=bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         rows = rows[new]
         if len(rows) > 1:
             yield emit(rows[:-1], rows[-1, 0])
@@ -237,6 +261,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of class ids whose sets reach the similarity."""
+
+    def bound(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            keep = []
+            for n, m, x, y in rows:
+                common = most_common(n, m, x, y)
+                keep.append(100 * common >= percent * (n + m - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: classes.select(F.col("class_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a binary, b binary")
+    pairs = materialize(held, "within")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(classes.select("class_id", "least_id"), "class_id")
     wanted = _sized(materialize(wanted.select("least_id").distinct(), "wanted"))
     texts = docs.select("doc_id", "text")
@@ -265,43 +302,57 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
     return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a binary, b binary")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (equal sets share it; null: empty set) of every document."""
-    docs = docs.select("doc_id", "text")
-    rows = materialize(prefixes(docs, frequency_levels(docs), percent), "prefixes")
-    classes = materialize(
-        rows.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("group_id").alias("group_id")), "classes"
-    )
-    tokens = rows.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "group_id")
-    lists = tokens.repartition("token").sortWithinPartitions("token", "group_id").mapInArrow(_shared_only, "token long, group_id long")
-    # groups expand into classes; classes of one group are a list of their own
-    crowd = classes.groupBy("group_id").agg(F.count("*").alias("k")).where("k > 1").select("group_id")
-    member = classes.select("group_id", F.col("class_id").alias("c"), "n")
-    within = member.join(crowd, "group_id").select(F.col("group_id").alias("token"), "c", "n")
-    lists = materialize(lists.join(member, "group_id").select("token", "c", "n").unionAll(within), "lists")
+def connect(lists: DataFrame, check, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the components of all pairs that share a list (token, c, n: size of c, pos) and pass check(pairs).
+
+    pos is the token's place in the order of c. If it is the first that two classes share, what they share is at most the
+    rest from there on; a pair that passes the check is met at that token, so elsewhere it may be left out.
+    """
+
+    def near(m, p, n, q):
+        fits = F.greatest(m, n) * percent <= F.least(m, n) * 100
+        return fits & (F.least(m - p, n - q) * (100 + percent) >= (m + n) * percent)
 
-    near = lambda m, n: F.greatest(m, n) * percent <= F.least(m, n) * 100
     length = lists.groupBy("token").agg(F.count("*").alias("k"))
     fame = lists.join(length, "token").groupBy("c").agg((F.sum("k") / F.first("n")).alias("fame"))
-    hub = lists.join(fame, "c").groupBy("token").agg(F.max(F.struct("fame", "c", "n")).alias("hub"))
-    pair = [F.greatest("c", "hub.c").alias("a"), F.least("c", "hub.c").alias("b")]
-    first = lists.join(hub, "token").where((F.col("c") != F.col("hub.c")) & near(F.col("n"), F.col("hub.n"))).select(*pair)
-    first = materialize(first.distinct(), "pairs")
-    links = materialize(verify(first, docs, classes, percent), "links")
-
-    root = components(links)
-    placed = lists.join(root, lists["c"] == root["node"], "left").select("token", "c", "n", F.coalesce("root", "c").alias("root"))
+    hub = lists.join(fame, "c").groupBy("token").agg(F.max(F.struct("fame", "c", "n", "pos")).alias("hub"))
+    met = lists.join(hub, "token").where((F.col("c") != F.col("hub.c")) & near(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    met = met.groupBy("c", F.col("hub.c").alias("h")).agg(F.count("*").alias("k"))
+    best = met.groupBy("c").agg(F.max(F.struct("k", "h")).alias("x")).select("c", F.col("x.h").alias("h"))
+    first = materialize(best.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct(), "pairs")
+    root = components(materialize(check(first), "links"))
+
+    placed = lists.join(root, lists["c"] == root["node"], "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-    open_lists = materialize(placed.join(mixed, "token"), "open")
-    left, right = open_lists.select("token", *[F.col(x).alias(f"{x}1") for x in ("c", "n", "root")]), open_lists
-    across = left.join(right, "token").where((F.col("c1") > F.col("c")) & (F.col("root1") != F.col("root")) & near(F.col("n1"), F.col("n")))
+    right = materialize(placed.join(mixed, "token"), "open")
+    left = right.select("token", *[F.col(x).alias(f"{x}1") for x in ("c", "n", "pos", "root")])
+    apart = (F.col("c1") > F.col("c")) & (F.col("root1") != F.col("root"))
+    across = left.join(right, "token").where(apart & near(F.col("n1"), F.col("pos1"), F.col("n"), F.col("pos")))
     second = across.select(F.col("c1").alias("a"), F.col("c").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = materialize(second, "pairs")
     if second.limit(1).count():
-        more = materialize(verify(second, docs, classes, percent), "links")
+        more = materialize(check(second), "links")
         if more.limit(1).count():
             root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    return root
+
+
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (equal sets share it; null: empty set) of every document."""
+    docs = docs.select("doc_id", "text")
+    rows = materialize(prefixes(docs, frequency_levels(docs), percent), "prefixes")
+    classes = materialize(
+        rows.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("group_id").alias("group_id"), F.first("bits").alias("bits")), "classes"
+    )
+    tokens = rows.where(F.size("prefix") > 0).select("group_id", F.posexplode("prefix").alias("pos", "token")).select("token", "group_id", F.col("pos").cast("long").alias("pos"))
+    lists = tokens.repartition("token").sortWithinPartitions("token", "group_id").mapInArrow(_shared_only, "token long, group_id long, pos long")
+    # groups expand into classes; classes of one group are a list of their own
+    crowd = classes.groupBy("group_id").agg(F.count("*").alias("k")).where("k > 1").select("group_id")
+    member = classes.select("group_id", F.col("class_id").alias("c"), "n")
+    within = member.join(crowd, "group_id").select(F.col("group_id").alias("token"), "c", "n", F.lit(0).cast("long").alias("pos"))
+    lists = materialize(lists.join(member, "group_id").select("token", "c", "n", "pos").unionAll(within), "lists")
 
+    root = connect(lists, lambda pairs: verify(pairs, docs, classes, percent), percent)
     rooted = classes.join(root, classes["class_id"] == root["node"], "left").select("class_id", "least_id", F.coalesce("root", "class_id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("class_id", "component_id")

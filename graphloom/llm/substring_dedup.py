@@ -80,7 +80,7 @@ def paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
 
 def _each(batch):
     texts = [t or "" for t in batch.column("text").to_pylist()]
-    for a, b in text_chunks(texts, 1_000_000):
+    for a, b in text_chunks(texts):
         yield a, b, paragraphs(texts[a:b])
 
 
@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORD
     near = met.join(several, "token").distinct()
     sets = found.join(near.select("c").distinct(), "c", "left_semi").select("c", "n", "members").dropDuplicates(["c"])
     sets = materialize(sets, "sets")
-    lists = materialize(near.join(sets.select("c", "n"), "c").select("token", "c", "n"), "lists")
+    lists = materialize(near.join(sets.select("c", "n"), "c").select("token", "c", "n", F.lit(0).cast("long").alias("pos")), "lists")
 
     def verified(batches):
         for batch in batches:
