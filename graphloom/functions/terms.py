@@ -123,7 +123,7 @@ def camel_expand(c: Column, prefixes: Mapping[str, str] = PREFIXES) -> Column:
 
 
 #: Characters that need no percent-encoding in each component of a URI (RFC 3986): unreserved ones, and those named.
-UNRESERVED = "A-Za-z0-9._~-"
+UNRESERVED = r"A-Za-z0-9._~\-"
 SUB = "!$&'()*+,;="
 COMPONENTS: dict[str, str] = {
     "scheme": r"A-Za-z0-9+.\-", "authority": UNRESERVED + SUB + ":@", "user_info": UNRESERVED + SUB + ":", "host": UNRESERVED + SUB, "port": "0-9",

@@ -100,11 +100,11 @@ def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile"
 def uncovered(source, profile: DocProfile) -> DataFrame:
     """Triples that no attribute of their subject's type covers, beside its types: the conversion report."""
     source = as_source(source)
-    quads, types = source.scan(None), match_types(source, profile)
+    quads, types = source.scan(None), cut(match_types(source, profile)).select(F.col("s").alias("_s"), "type")
     pairs = [(t.id, a.uri, a.inverse) for t in profile.types.values() for a in t.attributes.values()]
     spec = quads.sparkSession.createDataFrame(pairs, "type string, p string, inverse boolean")
-    at = lambda c, inverse: quads.join(types, quads[c] == types["s"]).select(quads["*"], "type").join(F.broadcast(spec.where(spec["inverse"] == inverse)), ["type", "p"], "left_semi").select(*COLUMNS)
-    typing = quads.where(F.col("p") == RDF_TYPE).join(types, "s", "left_semi").select(*COLUMNS)
+    at = lambda c, inverse: quads.join(types, F.col(c) == F.col("_s")).select(*COLUMNS, "type").join(F.broadcast(spec.where(F.col("inverse") == inverse)), ["type", "p"], "left_semi").select(*COLUMNS)
+    typing = quads.where(F.col("p") == RDF_TYPE).join(types, F.col("s") == F.col("_s"), "left_semi").select(*COLUMNS)
     covered = at("s", False).unionByName(at("o", True)).unionByName(typing)
     return difference(quads, covered)
 

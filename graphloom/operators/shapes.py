@@ -76,7 +76,7 @@ def ordered_shapes(shapes: DataFrame, priority: Sequence[str] = ()) -> DataFrame
         rank = F.lit(len(priority))
         for i, p in reversed(list(enumerate(priority))):
             rank = F.when(F.col(c).startswith(p), i).otherwise(rank)
-        return [rank, F.lower(c), F.col(c)]
+        return [*([rank] if priority else []), F.lower(c), F.col(c)]
 
     return shapes.orderBy(*key("type"), *key("property"))
 

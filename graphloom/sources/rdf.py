@@ -159,7 +159,7 @@ def read(spark: SparkSession, path: str, syntax: str | None = None, strict: bool
             for i, text in enumerate(pdf["value"]):
                 yield pd.DataFrame(parse_turtle(text), columns=list(COLUMNS))
 
-    return set_of(spark.read.option("wholetext", "true").text(path).mapInPandas(run, SCHEMA))
+    return set_of(spark.read.text(path, wholetext=True).mapInPandas(run, SCHEMA))
 
 
 def to_lines(quads: DataFrame) -> DataFrame:
