@@ -300,7 +300,7 @@ def plain_spans(t):
     out = []
     for k, r in enumerate(kinds):
         for m in r.finditer(t or ""):
-            if (len(m[2]) >= 6, len(m[0]) >= 20, len(m[0]) >= 24)[k]:
+            if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]:
                 out.append((m.start(), k, m.end()))
     return sorted(out)
 
