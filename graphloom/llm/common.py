@@ -82,7 +82,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return array, np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
 
 
-def text_chunks(texts, limit: int = 4_000_000):
+def text_chunks(texts, limit: int = 500_000):
     """Consecutive index ranges of a batch whose texts have about limit characters together, to bound memory."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -81,7 +81,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS) -
     def count(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for a, b in text_chunks(texts, 1_000_000):
+            for a, b in text_chunks(texts, 250_000):
                 h, owner = _grams(texts[a:b])
                 pair = np.unique(np.stack([h, owner.astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 lang = pdf["i"].to_numpy()[a:b][pair[:, 1].astype(np.int64)]
