@@ -115,17 +115,28 @@ def _met(batches):
         carried, linked, gone = rows[-1:], bool(back[-1]), bool(out[-1] or again[-1])
 
 
-def _probes(c):
-    return F.array(*[F.shiftrightunsigned(c, 21 * i).bitwiseAND(F.lit(FILTER - 1)) for i in range(PROBES)])
+#: Bits of the filter in one row that reaches the driver.
+CHUNK = 1 << 16
 
 
 def known_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter over the column c: FILTER bits as 64-bit words, whatever the number of ids."""
-    bit = ids.select(F.explode(_probes(F.col("c"))).alias("x"))
-    words = bit.groupBy(F.shiftright("x", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("v")).toPandas()
-    out = np.zeros(FILTER // 64, dtype=np.uint64)
-    out[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    """A Bloom filter over the column c: FILTER bits as 64-bit words, whatever the number of ids; FILTER / CHUNK rows are collected."""
+    probes = F.explode(F.array(*[F.shiftrightunsigned("c", 21 * i).bitwiseAND(F.lit(FILTER - 1)) for i in range(PROBES)]))
+    bits = ids.select(probes.alias("x")).select(F.shiftright("x", 16).alias("chunk"), F.col("x").bitwiseAND(F.lit(CHUNK - 1)).alias("bit"))
+
+    def pack(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunk, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(chunk):
+                held.setdefault(int(k), np.zeros(CHUNK, dtype=np.uint8))[bit[chunk == k]] = 1
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes()])], names=["chunk", "bits"])
+
+    out = np.zeros(FILTER // 8, dtype=np.uint8)
+    for r in bits.repartition("chunk").mapInArrow(pack, "chunk long, bits binary").toLocalIterator():
+        out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out.view("<u8")
 
 
 def occurrences(docs: DataFrame, known: np.ndarray) -> DataFrame:
