@@ -55,6 +55,11 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    return _find(docs, benchmark).drop("text_hash")
+
+
+def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """find(), and text_hash."""
     items = materialize(
         benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), word_hashes(F.col("text")).alias("h"))
         .where(F.size("h") > 0)
@@ -102,6 +107,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         met["doc_id"],
+        met["text_hash"],
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -111,7 +117,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    gone = find(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(gone["doc_id"])
+    """docs without the contaminated ones; rows go by doc_id and text, so others with their id, or with none, stay."""
+    gone = _find(docs, benchmark).where("contaminated").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, materialize, mix64, text_chunks
+from graphloom.llm.common import STEP, column_names, materialize, mix64, text_chunks
 
 WORDS = 5
 #: Similarity as a percentage.
@@ -176,7 +176,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, class_id (null: empty set), group_id, bits, prefix (once for each group and task, else empty)."""
+    """doc_id, text_hash, n, class_id (null: empty set), group_id, bits, prefix (once for each group and task, else empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
@@ -203,12 +203,12 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> Dat
                     seen.add(group)
                 size = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), size, pa.array(ids, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary()), _lists(heads, pa.int64())],
-                    names=["doc_id", "n", "class_id", "group_id", "bits", "prefix"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), size, pa.array(ids, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary()), _lists(heads, pa.int64())],
+                    names=["doc_id", "text_hash", "n", "class_id", "group_id", "bits", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class_id binary, group_id long, bits binary, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, class_id binary, group_id long, bits binary, prefix array<long>")
 
 
 def _shared_only(batches):
@@ -337,12 +337,14 @@ def connect(lists: DataFrame, check, percent: int = PERCENT) -> DataFrame:
     return root
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (equal sets share it; null: empty set) of every document."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, class_id of every document, and keeper: (no_id, doc_id, text_hash) of the
+    first row of its component, by doc_id (null last), then text_hash (null: empty set)."""
     docs = docs.select("doc_id", "text")
     rows = materialize(prefixes(docs, frequency_levels(docs), percent), "prefixes")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = materialize(
-        rows.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("group_id").alias("group_id"), F.first("bits").alias("bits")), "classes"
+        rows.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("keeper"), F.first("n").alias("n"), F.first("group_id").alias("group_id"), F.first("bits").alias("bits")), "classes"
     )
     tokens = rows.where(F.size("prefix") > 0).select("group_id", F.posexplode("prefix").alias("pos", "token")).select("token", "group_id", F.col("pos").cast("long").alias("pos"))
     lists = tokens.repartition("token").sortWithinPartitions("token", "group_id").mapInArrow(_shared_only, "token long, group_id long, pos long")
@@ -353,15 +355,33 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = materialize(lists.join(member, "group_id").select("token", "c", "n", "pos").unionAll(within), "lists")
 
     root = connect(lists, lambda pairs: verify(pairs, docs, classes, percent), percent)
-    rooted = classes.join(root, classes["class_id"] == root["node"], "left").select("class_id", "least_id", F.coalesce("root", "class_id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("class_id", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id").join(named, "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
+    rooted = classes.join(root, classes["class_id"] == root["node"], "left").select("class_id", "least_id", "keeper", F.coalesce("root", "class_id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("keeper").alias("keeper"))
+    named = rooted.drop("keeper").join(least, "root").select("class_id", "component_id", "keeper")
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class_id").join(named, "class_id", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id", "keeper")
+
+
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (equal sets share it; null: empty set) of every document."""
+    return _grouped(docs, percent).drop("text_hash", "keeper")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the least doc_id (of its repeated rows, all)."""
-    found = join(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one text of each group: that of the least doc_id (null after others), and of its texts that of the least hash.
+
+    Rows go by doc_id and text, so other texts with the id of a row that goes stay. Rows that repeat the kept one, id and
+    text, stay if their id isn't null; of rows with null ids one stays.
+    """
+    found = _grouped(docs, PERCENT).where("keeper is not null")
+    gone = found.where(~(F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.text_hash") == F.col("text_hash"))))
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    text_hash = F.xxhash64("text")
+    named = docs.where("doc_id is not null")
+    named = named.join(gone.where("_id is not null"), (named["doc_id"] == gone["_id"]) & (text_hash == gone["_hash"]), "left_anti")
+    hash_name, *_ = column_names(docs, "text_hash")
+    unnamed = docs.where("doc_id is null").withColumn(hash_name, text_hash)
+    unnamed = unnamed.join(gone.where("_id is null"), unnamed[hash_name] == gone["_hash"], "left_anti")
+    words = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))  # others have the empty set and link with nothing
+    unnamed = unnamed.where(words).dropDuplicates([hash_name]).unionAll(unnamed.where(~words))
+    return named.select(*docs.columns).unionAll(unnamed.select(*docs.columns))

@@ -1,11 +1,13 @@
 """The pipeline against a plain version made of its stages' rules, and the queries' SQL."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from test_operators import components_of, leaks, sha
 
 import corpus_pipeline
-from graphloom.llm import langid, registry, secrets
+from graphloom.llm import decontam, langid, ngram_join, registry, secrets
 
 
 def test_stages_keep_columns(spark, docs, sf_dir, no_docs):
@@ -40,3 +42,18 @@ def test_sql(spark, sf_dir, name):
     got = registry.queries()[name](spark, sf_dir).toPandas()
     rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values.tolist()))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_stages_remove_rows_not_ids(spark, prose):
+    """Ids that are null or repeat with other texts: only the row that leaks or is a copy goes."""
+    a, b, c, d, leak = (prose(i, 120) for i in range(40, 45))
+    near = " ".join([*a.split()[:119], "changed"])
+    rows = [(1, a), (7, near), (7, b), (None, a + " end"), (None, c), (None, c), (None, c + " end"), (None, d), (None, leak), (8, leak), (8, d + " other"), (9, b), (9, b), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(leak.split()[30:60]))], "item_id long, text string")
+    got = Counter(map(tuple, decontam.clean(docs, items).collect()))
+    assert got == Counter(r for r in rows if r[1] != leak)
+    got = Counter(map(tuple, ngram_join.distinct_documents(docs).collect()))
+    of_c = [r for r in got if r[0] is None and r[1] in (c, c + " end")]
+    assert len(of_c) == 1 and got[of_c[0]] == 1
+    assert got - Counter(of_c) == Counter([(1, a), (7, b), (8, leak), (8, d + " other"), (None, ""), (None, ""), (None, None)])
