@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with a length-aware false-discovery control.
 
 Kinds assign, access and hex are plain patterns. The method adds kind `random`: maximal runs of 20 or more characters of
-[A-Za-z0-9+/_=-] that overlap no other span. For each we infer the encoding, the smallest alphabet that holds its
+[A-Za-z0-9+/_=-], or what other spans leave of one, if that still has 20. For each we infer the encoding, the smallest alphabet that holds its
 characters, and test the places in that alphabet: chi-squared uniformity, runs above and below the middle, and lag-one
 serial correlation. A run that any test rejects at ALPHA (Bonferroni over the three) isn't random. For the others the
 p-value of "ordinary text" is exp(-LLR), LLR the log likelihood ratio of uniform letters to a chain of character classes
-(lower, upper, digit, other) as in words, names and numbers: by Markov's inequality no ordinary run has a smaller one
+(lower, upper, digit, other) as in words, names and numbers; in runs of letters alone, also of each letter to the one
+before it, by the bigrams of all words of the corpus (runs of 20 left out) mixed with those of a fixed word list: by Markov's inequality no ordinary run has a smaller one
 more often than it says, whatever its length. Within each class of length (powers of two), Benjamini and Hochberg's
 procedure over all runs of the corpus bounds the share of false discoveries by FDR. It needs only counts of rounded
 p-values, a table of at most LENGTHS * BINS rows.
@@ -19,12 +20,14 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, text_chunks
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,7 +35,7 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MORE_THAN_LETTERS = re.compile(r"[0-9+/_-]|[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
+LEAST, SIGNS = 20, "+/_=-"
 ALPHA, FDR = 0.01, 1e-3
 LENGTHS, BINS, BIN = 24, 400, 0.25  # a bin is a quarter of a power of ten
 
@@ -43,6 +46,23 @@ PLACES = [({c: i for i, c in enumerate(a)}, len(a)) for a in ALPHABETS]
 #: Chance that ordinary text goes from one class to the next (rows, columns: lower, upper, digit, other), and letters of each class.
 MOVES = ((0.90, 0.04, 0.03, 0.03), (0.39, 0.55, 0.03, 0.03), (0.05, 0.05, 0.85, 0.05), (0.5, 0.3, 0.15, 0.05))
 LETTERS = (26, 26, 10, 5)
+#: Common words that stand for ordinary text where the corpus has little.
+COMMON = """the of and to in is that it was for on are as with his they be at one have this from or had by not but some what
+there we can out other were all your when up use word how said each she which their time will way about many then them would
+write like these her long make thing see him two has look more day could go come did my sound no most number who over know
+water than call first people may down side been now find any new work part take get place made live where after back little
+only round man year came show every good give our under name very through just form sentence great think say help low line
+differ turn cause much mean before move right boy old too same tell does set three want air well also play small end put home
+read hand port large spell add even land here must big high such follow act why ask men change went light kind off need house
+picture try us again animal point mother world near build self earth father international application organization
+der die und in den von zu das mit sich des auf nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um
+am sind noch wie einem einen so zum kann nur mehr haben oder aber vor zur bis wenn sein schon durch man sehr jahr zwischen
+de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux mais comme nous ou
+cette leur bien deux peut tous fait sans entre temps elle encore ainsi toujours premier gouvernement
+el los las por con para una su al lo como mas pero sus le ya este porque cuando muy sin sobre ser tiene tambien hasta hay donde
+quien desde todo nos durante estados todos uno les ni contra otros ese eso ante ellos mismo nacional"""
+#: Shares of the fixed bigrams in the model, and of equal chances in those; so no step counts for more than a factor of about 70.
+FIXED, EQUAL = 0.15, 0.1
 
 
 def _class(c: str) -> int:
@@ -53,8 +73,41 @@ def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(run: str) -> tuple[float, float]:
-    """(p of uniform randomness, Bonferroni over three tests; p of ordinary text) of a run."""
+def bigrams(texts: list[str]) -> np.ndarray:
+    """26 x 26 counts of a letter and the next in the words of the texts, case folded, beside runs of LEAST characters."""
+    data = np.frombuffer(RUN.sub(" ", " ".join(texts)).encode("utf-8", "replace"), dtype=np.uint8)
+    letter = (data | 0x20).astype(np.int64) - 97
+    letter[(letter < 0) | (letter > 25) | (data < 65) | (data > 122)] = 26
+    return np.bincount(letter[:-1] * 27 + letter[1:], minlength=729).reshape(27, 27)[:26, :26]
+
+
+def letter_model(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the chance of a letter after another."""
+    c = bigrams([COMMON]) + 0.5
+    fixed = (1 - EQUAL) * c / c.sum(axis=1, keepdims=True) + EQUAL / 26
+    seen = (counts + 50 * fixed) / (counts.sum(axis=1, keepdims=True) + 50)
+    return np.log((1 - FIXED) * seen + FIXED * fixed)
+
+
+def fit_letters(docs: DataFrame) -> np.ndarray:
+    """The model of all words of the corpus; 676 counts reach the driver."""
+
+    def run(batches):
+        total = np.zeros((26, 26), dtype=np.int64)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in text_chunks(texts):
+                total += bigrams(texts[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(676)), pa.array(total.ravel())], names=["pair", "n"])
+
+    counts = np.zeros(676)
+    for r in docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    return letter_model(counts.reshape(26, 26))
+
+
+def battery(run: str, letters: np.ndarray | None = None) -> tuple[float, float]:
+    """(p of uniform randomness, Bonferroni over three tests; p of ordinary text) of a run; letters: a letter_model()."""
     run = run.rstrip("=") or run
     places, size = next(p for p in PLACES if all(c in p[0] for c in run))
     x, n = [places[c] for c in run], len(run)
@@ -78,11 +131,20 @@ def battery(run: str) -> tuple[float, float]:
     spread = sum((i - middle) ** 2 for i in x)
     p_serial = _two_sided(sum((a - middle) * (b - middle) for a, b in zip(x, x[1:])) / spread * math.sqrt(n)) if spread else 0.0
     classes = [_class(c) for c in run]
-    text = sum(math.log(MOVES[a][b]) for a, b in zip(classes, classes[1:])) - sum(math.log(LETTERS[k]) for k in classes)
+    text = sum(math.log(MOVES[a][b]) for a, b in zip(classes, classes[1:]))
+    if max(classes) < 2:
+        model = FIXED_LETTERS if letters is None else letters
+        at = [ord(c) - 97 for c in run.lower()]
+        text += float(model[at[:-1], at[1:]].sum()) - math.log(26)
+    else:
+        text -= sum(math.log(LETTERS[k]) for k in classes)
     gain = -n * math.log(size) - text
     return min(1.0, 3 * min(p_uniform, p_runs, p_serial)), math.exp(-max(0.0, gain)) if gain < 700 else 0.0
 
 
+FIXED_LETTERS = letter_model(np.zeros((26, 26)))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns' matches, by start, then kind."""
     out = []
@@ -95,19 +157,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _rests(a: int, b: int, spans: list[tuple[int, int, int]], text: str):
+    """What the spans, sorted by start, leave of the run a to b, without a sign that joins it to a span, if LEAST characters remain."""
+    at = a
+    for start, _, end in [*((s, k, e) for s, k, e in spans if s < b and a < e), (b, 0, b)]:
+        if start - at >= LEAST:
+            x = at + (at > a and text[at] in SIGNS)
+            y = start - (start < b and text[start - 1] in SIGNS)
+            yield (x, y) if y - x >= LEAST else (at, start)
+        at = max(at, end)
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]], letters: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(start, end, class of length, bin of the p-value) of the runs beside the spans that pass for random or not.
 
     The bin is -1 where a test of randomness rejects; such runs count as tested all the same.
     """
     out = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not MORE_THAN_LETTERS.search(m[0]) or any(s < b and a < e for s, _, e in spans):
-            continue
-        p_random, p_text = battery(m[0])
-        level = min(BINS - 1, int(-math.log10(max(p_text, 1e-300)) / BIN))
-        out.append((a, b, min(LENGTHS - 1, (b - a).bit_length()), level if p_random >= ALPHA else -1))
+        for a, b in _rests(*m.span(), spans, text):
+            p_random, p_text = battery(text[a:b], letters)
+            level = min(BINS - 1, int(-math.log10(max(p_text, 1e-300)) / BIN))
+            out.append((a, b, min(LENGTHS - 1, (b - a).bit_length()), level if p_random >= ALPHA else -1))
     return out
 
 
@@ -115,7 +186,7 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 CANDIDATE = "array<struct<start:int,end:int,length:int,bin:int>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, letters: np.ndarray) -> DataFrame:
     """doc_id, base (spans of the patterns) and runs (tested candidates) of every document, in one pass."""
 
     def run(batches):
@@ -124,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for t in pdf["text"]:
                 found = base_spans(t) if t else []
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                runs.append([{"start": a, "end": b, "length": n, "bin": p} for a, b, n, p in (candidates(t, found) if t else [])])
+                runs.append([{"start": a, "end": b, "length": n, "bin": p} for a, b, n, p in (candidates(t, found, letters) if t else [])])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "base": base, "runs": runs})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -153,7 +224,7 @@ def _discovered(cuts: dict[int, int]) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    scanned = materialize(scan(docs), "secrets")
+    scanned = materialize(scan(docs, fit_letters(docs)), "secrets")
     cuts = discovery_cuts(scanned)
     names = "array('" + "', '".join(KINDS) + "')"
     said = "array_join(transform({}, x -> concat_ws(':', get(" + names + ", x.kind), x.start, x.end)), ',')"
@@ -167,13 +238,14 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, and n_chars (where it exists) counted again."""
-    cuts = discovery_cuts(scan(docs))
+    letters = fit_letters(docs)
+    cuts = discovery_cuts(scan(docs, letters))
     schema = docs.schema
     shown = [mark.format(k) for k in KINDS]
 
     def clean(text):
         spans = base_spans(text)
-        spans += [(a, 3, b) for a, b, n, p in candidates(text, spans) if n in cuts and p >= cuts[n]]
+        spans += [(a, 3, b) for a, b, n, p in candidates(text, spans, letters) if n in cuts and p >= cuts[n]]
         out, at = [], 0
         for start, kind, end in sorted(spans):
             if end <= at:

@@ -328,6 +328,26 @@ def test_randomness_battery(spark):
     assert all(("[random]" in clean[i]) == (i in found) for i in clean) and clean[100] == "word TheQuickBrownFoxJumpsOverTheLazyDog end"
 
 
+def test_keys_of_letters_and_rests_of_runs(spark, prose):
+    """Random keys of one case are found, words of one case aren't; a key that a sign joins to another span is one, too."""
+    rnd = random.Random(3)
+    key = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    upper, lower_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    keys = [key(a, n) for a in (upper, lower_) for n in (24, 32, 40) for _ in range(20)]
+    words = ["internationalorganization", "INTERNATIONALORGANIZATION", "thepeoplewhocouldnotcomehome", "differentgovernmentsthinkalike", "BEFOREANDAFTEREVERYSENTENCE"]
+    rests = [key(upper + lower_ + "0123456789", 40) for _ in range(20)]
+    rows = [(i, f"key {k} end") for i, k in enumerate(keys)] + [(200 + i, f"word {w} end") for i, w in enumerate(words)]
+    rows += [(300 + i, f"AKIA{key(upper, 16)}{'/+-_='[i % 5]}{k} end") for i, k in enumerate(rests)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.find(docs).where("spans like '%random%'").collect()}
+    assert len(found & set(range(120))) >= 108 and not found & set(range(200, 205)) and len(found & set(range(300, 320))) >= 17
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(("[random]" in clean[i]) == (i in found) for i in clean)
+    assert all((k in clean[300 + i]) != (300 + i in found) for i, k in enumerate(rests)) and all(clean[200 + i] == f"word {w} end" for i, w in enumerate(words))
+    a = "deadbeef" * 3
+    assert list(secrets._rests(0, 60, secrets.base_spans(a + "/" * 36), a + "/" * 36)) == [(25, 60)]
+
+
 # 10
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
