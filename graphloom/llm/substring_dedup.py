@@ -1,118 +1,107 @@
-"""Substring dedup: paragraphs, MinHash bands, exact Jaccard, components.
-
-A document's words are cut into paragraphs by content: one begins where the hash of two words is the least of REACH places
-to either side. The cuts inside a passage depend on the passage alone, so a passage that repeats has the same paragraphs
-within it wherever it stands, but for its first and last few words. Each paragraph has BANDS bands of one MinHash row over
-its 5-word shingles: two of Jaccard 0.75 share a band with a chance of 1 - 0.25 ** BANDS, equal ones always.
-
-1.  Bands deal out by a shuffle; those of one paragraph alone go. What is left, equal and similar paragraphs, sets bits in
-    a filter of fixed size (FILTER bits).
-2.  A second pass keeps the paragraphs that the filter knows, with their places and shingles.
-3.  Paragraphs of one band are verified by their exact Jaccard similarity and joined into components; the first
-    occurrence of a component (least doc_id, then place) stays, all others are repeats.
-4.  Repeats in a row count from LEAST_WORDS words on, so that stock phrases and short lines stay.
-
-Defined cases: null or empty texts have no paragraph; paragraphs of fewer than five words never repeat; repeated rows with
-one doc_id repeat each other from the second place on; very long texts are taken whole; an empty table gives no row.
+"""Substring dedup: exact passages by winnowed windows, near-copied paragraphs by an exact Jaccard join.
+
+A passage repeats if a window of LEAST_WORDS words does; of overlapping windows it is the union, so it ends at the very word
+where its copies differ. A paragraph is a line of LEAST_WORDS words or more, or what shorter lines in a row, up to a blank
+one, form together; paragraphs repeat, too, if their 5-word shingles have a Jaccard similarity of PERCENT or more.
+
+1.  Of the shingles of each window the least hash is a fingerprint, so equal windows share one. Fingerprints of one place
+    alone go; the others set bits in a filter of fixed size (FILTER bits), which only thins out what the next pass sends.
+2.  Paragraphs of LEAST_WORDS words go through the n-gram join, whose prefix filter misses no pair.
+3.  A second pass deals out the windows that the filter knows, by their own hash, and near-copied paragraphs by their
+    component. The first occurrence (least doc_id, then place) stays, all others go.
+4.  A last deal by row joins what overlaps. A window never takes words of its own first occurrence, so of a word that
+    repeats on and on the first LEAST_WORDS stay.
+
+Defined cases: null or empty texts have no paragraph; passages of fewer than LEAST_WORDS words (stock phrases, short lines)
+never repeat; repeated rows with one doc_id repeat each other from the second place on; very long texts are taken whole;
+an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from graphloom.llm import ngram_join
 from graphloom.llm.common import STEP, materialize, mix64, text_chunks
-from graphloom.llm.ngram_join import PERCENT, WORDS, connect, shingles, words_of
+from graphloom.llm.ngram_join import PERCENT, WORDS, shingles, words_of
 
-#: Places on either side that a cut's hash is less than; paragraphs have more than REACH words, and about 2 * REACH + 1.
-REACH = 4
-BANDS = 2
-#: Words that repeats in a row must have.
+#: Words that a repeat must have, and of a window; and the shingles of one.
 LEAST_WORDS = 20
+WIDTH = LEAST_WORDS - WORDS + 1
 FILTER = 1 << 26
 PROBES = 3
-SALT = np.uint64(0x5BD1_E995_7A3C_11D3)
-MOST = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
+#: Rows up to which ids of near-copied paragraphs are broadcast.
+BROADCAST_ROWS = 1_000_000
+PLACES = np.random.default_rng(20240307).integers(0, 2**63, LEAST_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PARAGRAPH = np.uint64(0x5BD1_E995_7A3C_11D3)
 
 
-def paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
-    """Arrays over all paragraphs of the texts: doc (index), k, words, start and end (code points), id, bands; and shingle hashes."""
-    h, doc, starts, ends, bounds, data = words_of(texts)
+def _sliding(x: np.ndarray, of) -> np.ndarray:
+    """of (minimum or maximum) over WIDTH values from each place on."""
+    have = 1
+    while have < WIDTH:
+        d = min(have, WIDTH - have)
+        x = of(x[:-d], x[d:]) if len(x) > d else x[:0]
+        have += d
+    return x
+
+
+def windows(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the windows within one text, fingerprint of each; the fingerprints of all places that are one)."""
     n = len(h)
-    if not n:
+    if n < LEAST_WORDS:
+        none = np.zeros(0, np.uint64)
+        return none.astype(np.int64), none, none
+    s = shingles(h)
+    least = _sliding(s, np.minimum)
+    inside = doc[LEAST_WORDS - 1 :] == doc[: n - LEAST_WORDS + 1]
+    edge = np.zeros(WIDTH - 1, np.uint64)
+    chosen = _sliding(np.concatenate([edge, np.where(inside, least, np.uint64(0)), edge]), np.maximum) == s
+    return np.flatnonzero(inside), least[inside], s[chosen]
+
+
+def paragraphs(h, doc, starts, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, hash) of every paragraph."""
+    if not len(h):
         none = np.zeros(0, np.int64)
-        return {"doc": none, "k": none, "words": none, "start": none, "end": none, "id": none.astype(np.uint64), "bands": np.zeros((BANDS, 0), np.uint64), "first": none, "shingle": none.astype(np.uint64)}
-    g = mix64(h * np.uint64(3) + np.append(h[1:], np.uint64(0)) * np.uint64(5))
-    last = np.append(doc[1:] != doc[:-1], True)
-    g[last] = MOST
-    cut = ~last
-    for d in range(1, REACH + 1):
-        if d < n:
-            same = doc[d:] == doc[:-d]
-            cut[:-d] &= ~same | (g[:-d] < g[d:])
-            cut[d:] &= ~same | (g[d:] < g[:-d])
-    cut[0] = True
-    cut[1:] |= doc[1:] != doc[:-1]
-    first = np.flatnonzero(cut)
-    after = np.append(first[1:], n)
-    words = after - first
-    place = np.arange(n) - np.repeat(first, words)
-    ident = mix64(np.add.reduceat(mix64(h + place.astype(np.uint64) * STEP), first) + words.astype(np.uint64))
-    para = np.repeat(np.arange(len(first)), words)
-    s = np.full(n, MOST, dtype=np.uint64)
-    inside = shingles(h)
-    whole = para[: len(inside)] == para[WORDS - 1 :] if len(inside) else np.zeros(0, bool)
-    s[: len(inside)][whole] = inside[whole]
-    bands = [np.minimum.reduceat(s, first)]
-    for b in range(1, BANDS):
-        other = np.where(s == MOST, MOST, mix64(s ^ (SALT * np.uint64(b))))
-        bands.append(np.minimum.reduceat(other, first) ^ np.uint64(b))
-    begins = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
-    base = begins[bounds[doc[first]] - 1]
-    start = begins[starts[first]] - 1 - base
-    end = begins[ends[after - 1] - 1] - base
-    edge = np.searchsorted(doc[first], np.arange(len(texts)))
-    k = np.arange(len(first)) - edge[doc[first]]
-    return {"doc": doc[first], "k": k, "words": words, "start": start, "end": end, "id": ident, "bands": np.stack(bands), "first": first, "shingle": s}
+        return none, none, none.astype(np.uint64)
+    line = np.cumsum(data == 10)[starts]
+    new = np.append(True, line[1:] != line[:-1])
+    first = np.flatnonzero(new)
+    short = np.diff(np.append(first, len(h))) < LEAST_WORDS
+    on = np.zeros(len(first), dtype=bool)
+    on[1:] = short[1:] & short[:-1] & (np.diff(line[first]) == 1) & (np.diff(doc[first]) == 0)
+    first = first[~on]
+    words = np.diff(np.append(first, len(h)))
+    place = np.arange(len(h)) - np.repeat(first, words)
+    return first, words, mix64(np.add.reduceat(mix64(h + place.astype(np.uint64) * STEP), first) + words.astype(np.uint64))
 
 
 def _each(batch):
+    """Ranges of a batch, and words, first and last code points of words of their texts."""
     texts = [t or "" for t in batch.column("text").to_pylist()]
     for a, b in text_chunks(texts):
-        yield a, b, paragraphs(texts[a:b])
+        h, doc, starts, ends, bounds, data = words_of(texts[a:b])
+        begins = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
+        base = begins[bounds[doc] - 1]
+        yield a, texts[a:b], h, doc, begins[starts] - 1 - base, begins[ends - 1] - base, paragraphs(h, doc, starts, data)
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """(token, c): bands of paragraphs; of a paragraph that a chunk of texts holds often, twice."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """c: the fingerprints that have two places or more."""
 
     def run(batches):
         for batch in batches:
-            for _, _, p in _each(batch):
-                long = p["words"] >= WORDS
-                ids, at, n = np.unique(p["id"][long], return_index=True, return_counts=True)
-                bands = p["bands"][:, long][:, at]
-                twice = np.repeat(np.arange(len(ids)), np.minimum(n, 2))
-                for b in range(BANDS):
-                    yield pa.RecordBatch.from_arrays([pa.array(bands[b][twice].view(np.int64)), pa.array(ids[twice].view(np.int64))], names=["token", "c"])
-
-    return docs.select("text").mapInArrow(run, "token long, c long")
+            for _, _, h, doc, *_ in _each(batch):
+                c, n = np.unique(windows(h, doc)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["c", "n"])
 
-
-def _met(batches):
-    """Of rows sorted by (token, c) those whose token has two rows or more, equal ones once; the last row is carried over."""
-    carried, linked, gone = np.zeros((0, 2), dtype=np.int64), False, False  # gone: it went out already
-    for batch in batches:
-        rows = np.concatenate([carried, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
-        if not len(rows):
-            continue
-        same = rows[1:, 0] == rows[:-1, 0]
-        back, front = np.append(linked, same), np.append(same, False)
-        again = np.append(gone, (rows[1:] == rows[:-1]).all(axis=1))
-        out = (back | front) & ~again
-        yield pa.RecordBatch.from_arrays([pa.array(rows[out, 0]), pa.array(rows[out, 1])], names=["token", "c"])
-        carried, linked, gone = rows[-1:], bool(back[-1]), bool(out[-1] or again[-1])
+    return docs.select("text").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).where("n > 1").select("c")
 
 
 #: Bits of the filter in one row that reaches the driver.
@@ -139,88 +128,174 @@ def known_filter(ids: DataFrame) -> np.ndarray:
     return out.view("<u8")
 
 
+def near_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, root) of the paragraphs that have near copies, root the least id of their component."""
+
+    def run(batches):
+        for batch in batches:
+            for _, texts, h, doc, start, end, (first, words, ident) in _each(batch):
+                long = np.flatnonzero(words >= LEAST_WORDS)
+                ids, at = np.unique(ident[long], return_index=True)
+                f = first[long][at]
+                last = f + words[long][at] - 1
+                cut = [texts[d][x:y] for d, x, y in zip(doc[f], start[f], end[last])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(cut, pa.string())], names=["doc_id", "text"])
+
+    found = ngram_join.join(docs.select("text").mapInArrow(run, "doc_id long, text string"), percent)
+    linked = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("root"))
+    linked = materialize(linked.distinct(), "near")
+    return linked.unionAll(linked.select(F.col("root").alias("id"), "root").distinct())
+
+
 def occurrences(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """(doc_id, row, k, words, start, end, c, n, members) of the paragraphs that the filter knows; and for each document a row with null c, whose k is its number of paragraphs."""
+    """(doc_id, row, w, p, n, span, whole) of the windows that the filter knows: hash, first word, words, first and last code point
+    in one number; of the paragraphs of LEAST_WORDS words (whole is true); and of each document, with p = -1 and n paragraphs."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            for a, b, p in _each(batch):
-                u = p["id"]
-                hit = p["words"] >= WORDS
+            for a, texts, h, doc, start, end, (first, words, ident) in _each(batch):
+                at, u, _ = windows(h, doc)
+                hit = np.ones(len(at), dtype=bool)
                 for i in range(PROBES):
                     x = (u >> np.uint64(21 * i)) & np.uint64(FILTER - 1)
                     hit &= ((known[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)).astype(bool)
-                at = np.flatnonzero(hit)
-                sets = [np.unique(p["shingle"][f : f + w - WORDS + 1]) for f, w in zip(p["first"][at], p["words"][at])]
-                count = np.bincount(p["doc"], minlength=b - a)
-                docs_, row = batch.column("doc_id").slice(a, b - a), batch.column("row").slice(a, b - a)
-                at_doc = pa.array(p["doc"][at])
-                null = lambda kind, m=b - a: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [docs_, row, pa.array(count), *[null(pa.int64())] * 5, null(pa.binary())], names=NAMES
-                )
-                if len(at):
+                at = at[hit]
+                w = np.zeros(len(at), dtype=np.uint64)
+                for k in range(LEAST_WORDS):
+                    w += h[at + k] * PLACES[k]
+                long = words >= LEAST_WORDS
+                edge = np.searchsorted(doc, np.arange(len(texts)))
+                docs_, rows = batch.column("doc_id").slice(a, len(texts)), batch.column("row").slice(a, len(texts))
+                every = np.arange(len(texts))
+                count = np.bincount(doc[first], minlength=len(texts))
+                for d, w, f, n, whole in (
+                    (every, rows.to_numpy(), None, count, False),
+                    (doc[at], mix64(w).view(np.int64), at, np.full(len(at), LEAST_WORDS), False),
+                    (doc[first[long]], ident[long].view(np.int64), first[long], words[long], True),
+                ):
+                    p, span = (np.full(len(d), -1), np.zeros(len(d), np.int64)) if f is None else (f - edge[d], start[f] << 32 | end[f + n - 1])
                     yield pa.RecordBatch.from_arrays(
-                        [docs_.take(at_doc), row.take(at_doc), *[pa.array(p[c][at]) for c in ("k", "words", "start", "end")], pa.array(u[at].view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                        names=NAMES,
+                        [docs_.take(pa.array(d)), rows.take(pa.array(d)), *[pa.array(x, pa.int64()) for x in (w, p, n, span)], pa.array(np.full(len(d), whole))],
+                        names=["doc_id", "row", "w", "p", "n", "span", "whole"],
                     )
 
-    NAMES = ["doc_id", "row", "k", "words", "start", "end", "c", "n", "members"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, k long, words long, start long, end long, c long, n long, members binary")
-
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, w long, p long, n long, span long, whole boolean")
+
+
+def _mark(batches):
+    """Of rows sorted by (w, doc_id, row, p) those whose w has two or more, and those of documents; cut: how many words of
+    one belong to the first (all of the first itself), begin: where the others begin, keeper: the doc_id of the first."""
+    first = held = None  # the first row of the group of the row that is held back, and that row
+    fresh = True  # the row held back is the first of its group
+
+    def marked(t, new, last):
+        """Rows 1 to last - 1 of t, whose row 0 is the first of the group of row 1 if that isn't new."""
+        w, row, p, n, span = (t.column(c).to_numpy() for c in ("w", "row", "p", "n", "span"))
+        group = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        i = np.arange(1, last)
+        after = np.append(~new[1:], False)[i] & (i + 1 < len(w))
+        i = i[~new[i] | after | (p[i] < 0)]
+        g = group[i]
+        ours = row[i] == row[g]
+        cut = np.where(g == i, n[i], np.where(ours, np.clip(p[g] + n[g] - p[i], 0, n[i]), 0))
+        begin = np.where(cut > 0, span[g] & 0xFFFF_FFFF, span[i] >> 32)
+        some = t.take(pa.array(i))
+        keeper = t.column("doc_id").take(pa.array(g))
+        out = pa.Table.from_arrays([some.column(c) for c in ("doc_id", "row", "p", "n", "span")] + [pa.chunked_array([pa.array(cut)]), pa.chunked_array([pa.array(begin)]), keeper], names=["doc_id", "row", "p", "n", "span", "cut", "begin", "keeper"])
+        return group, out.combine_chunks().to_batches()
 
-def dedup(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per document: doc_id, n_paragraphs, n_repeated and n_removed (paragraphs in long rows that have other occurrences, and
-    those of them that aren't the first), removed_words, keeper_ids (documents that hold the first ones), removed (start:end, ...)."""
-    met = band_rows(docs).repartition("token").sortWithinPartitions("token", "c").mapInArrow(_met, "token long, c long")
-    met = materialize(met, "bands")
-    places = materialize(occurrences(docs, known_filter(met.select("c").distinct())), "paragraphs")
-    found = places.where("c is not null")
-
-    several = met.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("token")
-    near = met.join(several, "token").distinct()
-    sets = found.join(near.select("c").distinct(), "c", "left_semi").select("c", "n", "members").dropDuplicates(["c"])
-    sets = materialize(sets, "sets")
-    lists = materialize(near.join(sets.select("c", "n"), "c").select("token", "c", "n", F.lit(0).cast("long").alias("pos")), "lists")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head = batch.slice(0, 1)
+        t = pa.Table.from_batches([head, batch] if held is None else [*first.to_batches(), *held.to_batches(), batch]).combine_chunks()
+        w = t.column("w").to_numpy()
+        new = np.append(False, w[1:] != w[:-1])
+        new[1] = fresh
+        group, out = marked(t, new, len(w) - 1)
+        yield from out
+        last = len(w) - 1
+        fresh = bool(new[last])
+        first, held = t.slice(int(group[last]), 1).combine_chunks(), t.slice(last, 1).combine_chunks()
+    if held is not None:
+        t = pa.concat_tables([first, held]).combine_chunks()
+        yield from marked(t, np.array([False, fresh]), 2)[1]
+
+
+def _union(begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the ranges by begin; in it the first and one after the last of those that overlap or touch)."""
+    order = np.argsort(begin, kind="stable")
+    reach = np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.append(True, begin[order][1:] > reach[:-1])) if len(order) else np.zeros(0, np.int64)
+    return order, first, np.append(first[1:], len(order))
+
+
+def _tally(t: pa.Table) -> tuple:
+    """n_repeated, n_removed, removed_words, keeper_ids, removed of one document's marked rows."""
+    p, n, span, cut, begin = (t.column(c).to_numpy() for c in ("p", "n", "span", "cut", "begin"))
+    repeated = len(_union(p, p + n)[1])
+    gone = np.flatnonzero(cut < n)
+    if not len(gone):
+        return repeated, 0, 0, [], ""
+    a, b, x, y = p[gone] + cut[gone], p[gone] + n[gone], begin[gone], span[gone] & 0xFFFF_FFFF
+    order, first, after = _union(a, b)
+    words = np.maximum.reduceat(b[order], first) - a[order][first]
+    spans = zip(x[order][first].tolist(), np.maximum.reduceat(y[order], first).tolist())
+    keepers = sorted(k for k in pc.unique(t.column("keeper").take(pa.array(gone))).to_pylist() if k is not None)
+    return repeated, len(first), int(words.sum()), keepers, ",".join(f"{i}:{j}" for i, j in spans)
+
+
+def _by_document(kind: pa.DataType):
+    def run(batches):
+        """Of rows sorted by (row, p) one for each document."""
+        open_ = []  # batches of the documents that aren't complete
+
+        def told(t):
+            row = t.column("row").to_numpy()
+            at = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
+            tallies = [_tally(t.slice(a + 1, b - a - 1)) if b - a > 1 else (0, 0, 0, [], "") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            head = t.take(pa.array(at[:-1])).combine_chunks()
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(kind), pa.string())
+            columns = [pa.array(c, k) for c, k in zip(zip(*tallies), kinds)]
+            names = ["doc_id", "n_paragraphs", "n_repeated", "n_removed", "removed_words", "keeper_ids", "removed"]
+            return pa.Table.from_arrays([head.column("doc_id"), head.column("n"), *columns], names=names).combine_chunks().to_batches()
 
-    def verified(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("c").alias(c), F.col("members").alias(f"of_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(verified, "a long, b long")
-
-    root = connect(lists, check, percent)
-    placed = found.join(root, found["c"] == root["node"], "left").select("doc_id", "row", "k", "words", "start", "end", F.coalesce("root", "c").alias("root"))
-    place = F.struct("doc_id", "row", "k")
-    groups = placed.groupBy("root").agg(F.count("*").alias("size"), F.min(place).alias("first"))
-    marked = placed.join(groups.where("size > 1"), "root").withColumn("kept", F.col("first") == place)
-    per = Window.partitionBy("row").orderBy("k")
-    runs = marked.withColumn("run", F.col("k") - F.row_number().over(per))
-    runs = runs.withColumn("in_run", F.sum("words").over(Window.partitionBy("row", "run"))).where(F.col("in_run") >= least_words)
-    gone = ~F.col("kept")
-    span = F.when(gone, F.struct("start", "end"))
-    tally = runs.groupBy("row").agg(
-        F.count("*").alias("n_repeated"), F.count(F.when(gone, 1)).alias("n_removed"), F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("removed_words"),
-        F.array_sort(F.collect_set(F.when(gone, F.col("first.doc_id")))).alias("keeper_ids"), F.array_sort(F.collect_list(span)).alias("spans"),
+            if not batch.num_rows:
+                continue
+            row = batch.column("row").to_numpy()
+            open_.append(batch)
+            if open_[0].column("row")[0].as_py() == row[-1]:
+                continue
+            done = int(np.searchsorted(row, row[-1]))
+            yield from told(pa.Table.from_batches([*open_[:-1], batch.slice(0, done)]).combine_chunks())
+            open_ = [batch.slice(done)]
+        if open_:
+            yield from told(pa.Table.from_batches(open_).combine_chunks())
+
+    return run
+
+
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_paragraphs, n_repeated and n_removed (passages that have other occurrences, and stretches that go),
+    removed_words, keeper_ids (documents that hold the first ones), removed (start:end, ...)."""
+    near = near_paragraphs(docs, percent)
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    places = occurrences(docs, known_filter(fingerprints(docs)))
+    places = places.join(near, F.col("whole") & (F.col("w") == F.col("id")), "left").where("not whole or root is not null")
+    places = places.select("doc_id", "row", F.when(F.col("whole"), F.xxhash64("root")).otherwise(F.col("w")).alias("w"), "p", "n", "span")
+    kind = docs.schema["doc_id"].dataType
+    said = kind.simpleString()
+    marked = places.repartition("w").sortWithinPartitions("w", "doc_id", "row", "p").mapInArrow(
+        _mark, f"doc_id {said}, row long, p long, n long, span long, cut long, begin long, keeper {said}"
     )
-    texts = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    kind = f"array<{docs.schema['doc_id'].dataType.simpleString()}>"
-    every = places.where("c is null").select("doc_id", "row", F.col("k").alias("n_paragraphs"))
-    return every.join(tally, "row", "left").select(
-        "doc_id", "n_paragraphs", zero("n_repeated"), zero("n_removed"), zero("removed_words"),
-        F.coalesce("keeper_ids", F.array().cast(kind)).alias("keeper_ids"), F.coalesce(texts, F.lit("")).alias("removed"),
+    return marked.repartition("row").sortWithinPartitions("row", "p").mapInArrow(
+        _by_document(to_arrow_type(kind)),
+        f"doc_id {said}, n_paragraphs long, n_repeated long, n_removed long, removed_words long, keeper_ids array<{said}>, removed string",
     )
 
 

@@ -215,6 +215,29 @@ def test_dedup_finds_long_passages(docs, doc_rows, no_docs, given):
     assert len(must - flagged) <= 0.05 * len(must) and flagged <= may
 
 
+def test_dedup_finds_every_passage_and_near_paragraph(spark, prose):
+    """Passages of 20 to 60 words between other words go up to their borders; paragraphs with a few words changed are one."""
+    rnd = random.Random(7)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(300):
+        passage, before, after = text(20 + i % 41), text(rnd.randrange(5, 40)), text(rnd.randrange(5, 40))
+        rows += [(i, f"{text(30)} {passage} {text(30)}"), (1000 + i, f"{before} {passage} {after}")]
+        want[1000 + i] = f"{len(before) + 1}:{len(before) + 1 + len(passage)}"
+    for i in range(60):  # two of 100 words changed: Jaccard of 0.81 at least
+        line = text(100).split()
+        other = list(line)
+        for at in rnd.sample(range(10, 90), 2):
+            other[at] = "changed"
+        rows += [(2000 + i, text(25) + "\n" + " ".join(line)), (3000 + i, " ".join(other) + "\n" + text(25))]
+        want[3000 + i] = f"0:{len(' '.join(other))}"
+    rows.append((5000, "same " * 400))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {i: got[i]["removed"] for i in want} == want
+    assert all(got[i]["keeper_ids"] == [i - 1000] and got[i - 1000]["n_repeated"] > 0 and not got[i - 1000]["removed"] for i in want)
+    assert got[5000]["removed"] == "99:1999" and got[5000]["removed_words"] == 380
+
+
 def test_dedup_removes_spans(spark, prose):
     a, b = prose(1, 100), prose(2, 60) + " " + prose(1, 100) + " " + prose(3, 60)
     out = {r["doc_id"]: r["text"] for r in substring_dedup.remove(spark.createDataFrame([(1, a), (2, b), (3, None)], "doc_id long, text string")).collect()}
