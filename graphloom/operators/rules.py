@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,23 +13,7 @@ from graphloom.functions.terms import OWL, RDF, RDF_TYPE, RDFS, SKOS, DCT
 from graphloom.plans import compiler
 from graphloom.plans.sparql import parse_query
 from graphloom.sources.quads import dataset, difference, set_of, union
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder (spark.checkpoint.dir) and read it back; lineage ends here."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else None
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graphloom/state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from graphloom.sources.shared import cut
 
 
 def run_updates(quads: DataFrame, rules: Mapping[str, str], parameters: Mapping[str, object] | None = None, prefixes=None, every: int = 4) -> DataFrame:
