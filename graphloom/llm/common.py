@@ -3,40 +3,21 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import cut as materialize
+from graphloom.sources.shared import shared_dir  # noqa: F401
+
 #: Fixed 64-bit odd multipliers of the hash functions below.
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     name = "_graphloom_worker_cache"
@@ -99,7 +80,7 @@ def letter_fold() -> np.ndarray:
     cache = worker_cache()
     if "fold" not in cache:
         table = np.full(0x110000, 32, dtype=np.uint32)
-        for cp in range(0x30000):
+        for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()

@@ -4,7 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_operators import components_of, leaks, sha
+from test_text_operators import components_of, leaks, sha
 
 import corpus_pipeline
 from graphloom.llm import decontam, langid, ngram_join, registry, secrets
