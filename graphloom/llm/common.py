@@ -6,6 +6,7 @@ import sys
 import types
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from graphloom.sources.shared import shared_dir  # noqa: F401
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that a worker turns into arrays at once (a longer text stands alone).
+CHUNK = 128_000
 
 
 def worker_cache() -> dict:
@@ -63,7 +66,21 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return array, np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
 
 
-def text_chunks(texts, limit: int = 500_000):
+def text_slices(column, limit: int = CHUNK):
+    """(first row, texts) of slices of an Arrow column whose texts have about limit bytes together; a null text is empty.
+
+    A batch is never turned into Python strings as a whole, so a worker's memory hangs on limit and the longest text only.
+    """
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, total = 0, np.cumsum(size)
+    while at < len(size):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield at, [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
+
+
+def text_chunks(texts, limit: int = CHUNK):
     """Consecutive index ranges of a batch whose texts have about limit characters together, to bound memory."""
     start = size = 0
     for i, t in enumerate(texts):

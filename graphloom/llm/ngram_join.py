@@ -15,12 +15,13 @@ by hash) two sets with a Jaccard similarity of at least T share a shingle of the
     shingle that they don't share. Only pairs within the bound are compared by their sets, exactly.
 4.  Components by alternating large and small stars.
 
-Nothing about documents reaches the driver but the sketch's frequent counters (SKETCH rows at most) and counts.
-Candidate ids are broadcast only if there are at most BROADCAST_ROWS of them.
+Nothing about documents reaches the driver but the sketch (SKETCH bytes) and counts. Only connectivity is computed: links
+within a component that is already connected are neither checked nor counted. Candidate ids are broadcast only if there are at most BROADCAST_ROWS of them.
 
 Defined cases: a null or empty text, or one of white space, has the empty set and links with nothing; with fewer than
 five words the whole sequence is one shingle; equal texts link; repeated rows repeat; a null doc_id counts after others
-in a component; very long texts are taken whole; an empty table gives no row.
+in a component; very long texts are taken whole; an empty table gives no row; further columns, whatever their names, are
+not read by join() and pass through distinct_documents().
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, column_names, materialize, mix64, text_chunks
+from graphloom.llm.common import STEP, column_names, materialize, mix64, text_slices
 
 WORDS = 5
 #: Similarity as a percentage.
@@ -41,8 +42,10 @@ PERCENT = 75
 SKETCH = 1 << 24
 #: Occurrences from which a counter makes its shingles frequent.
 FREQUENT = 8
-#: Shingles that a task holds at once when it counts.
-HELD = 4_000_000
+#: Counters of one row that reaches the driver.
+PACK = 1 << 16
+#: Groups whose prefix a task remembers to have sent; it may send one again later.
+SEEN = 100_000
 BROADCAST_ROWS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -108,10 +111,9 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def _sets_of(column: pa.Array):
-    """Ranges of a batch and the sets of their texts."""
-    texts = [t or "" for t in column.to_pylist()]
-    for a, b in text_chunks(texts):
-        yield a, b, shingle_sets(texts[a:b])
+    """(first row, sets of the texts) of slices of a batch."""
+    for a, texts in text_slices(column):
+        yield a, shingle_sets(texts)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -148,42 +150,54 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """Per counter 0, or the power of two of its count from FREQUENT on. A task reports shingles that it saw repeat."""
+    """Per counter 0, or the power of two of its count from FREQUENT on.
 
-    def count(batches):
-        held, size = [], 0
-
-        def report():
-            found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            again = n > 1
-            bucket = (found[again] & np.uint64(SKETCH - 1)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n[again].astype(np.int64))], names=["bucket", "n"])
+    A task counts in a sketch of its own and reports the counters that stand above what chance gives one. The sums are
+    packed by executors, so SKETCH bytes in SKETCH / PACK rows reach the driver, whatever the corpus.
+    """
 
+    def count(batches):
+        sketch, total = np.zeros(SKETCH, dtype=np.uint16), 0
+        for batch in batches:
+            for _, sets in _sets_of(batch.column(0)):
+                found, n = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
+                found = found.astype(np.int64)
+                sketch[found] = np.minimum(sketch[found] + n, 65535)
+                total += int(n.sum())
+        often = np.flatnonzero(sketch >= 2 + int(3 * total / SKETCH))
+        for a in range(0, len(often), PACK):
+            some = often[a : a + PACK]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sketch[some].astype(np.int64))], names=["bucket", "n"])
+
+    def pack(batches):
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, _, sets in _sets_of(batch.column(0)):
-                held += sets
-                size += sum(map(len, sets))
-                if size > HELD:
-                    yield report()
-                    held, size = [], 0
-        yield report()
+            bucket, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(bucket // PACK):
+                of = bucket // PACK == k
+                held.setdefault(int(k), np.zeros(PACK, dtype=np.uint8))[bucket[of] % PACK] = np.log2(n[of]).astype(np.uint8)
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["k", "levels"])
 
     counts = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= FREQUENT).toPandas()
+    packed = counts.where(F.col("n") >= FREQUENT).repartition(F.floor(F.col("bucket") / PACK)).mapInArrow(pack, "k long, levels binary")
     levels = np.zeros(SKETCH, dtype=np.uint8)
-    levels[rows["bucket"].to_numpy()] = np.log2(np.maximum(rows["n"].to_numpy(), 1)).astype(np.uint8)
+    for r in packed.toLocalIterator():
+        levels[r["k"] * PACK : (r["k"] + 1) * PACK] = np.frombuffer(r["levels"], np.uint8)
     return levels
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n, class_id (null: empty set), group_id, bits, prefix (once for each group and task, else empty)."""
+    """doc_id, text_hash, n, class_id (null: empty set), group_id, bits, prefix (empty where the task has just sent that of the group)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         levels, seen = shared.value, set()
         for batch in batches:
-            for a, b, sets in _sets_of(batch.column(1)):
+            for a, sets in _sets_of(batch.column(1)):
                 ids, groups, bits, heads = [], [], [], []
+                if len(seen) > SEEN:
+                    seen.clear()
                 for s in sets:
                     n = len(s)
                     if not n:
@@ -203,7 +217,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> Dat
                     seen.add(group)
                 size = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), size, pa.array(ids, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary()), _lists(heads, pa.int64())],
+                    [batch.column(0).slice(a, len(sets)), batch.column(2).slice(a, len(sets)), size, pa.array(ids, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary()), _lists(heads, pa.int64())],
                     names=["doc_id", "text_hash", "n", "class_id", "group_id", "bits", "prefix"],
                 )
 
@@ -241,15 +255,18 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for all nodes but the roots, root the least node: alternating large and small stars."""
+    """(node, root) for all nodes but the roots, root the least node: alternating large and small stars.
+
+    Least neighbours are partial aggregates, and the joins with them are Spark's own, so AQE can split the rows of a centre.
+    """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now = materialize(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
     mark = None
     while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.repartition("u")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialize(small.distinct(), "edges")
@@ -259,6 +276,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = (new["n"], new["x"])
 
 
+def _binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and bytes of a binary Arrow column without nulls; no copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of class ids whose sets reach the similarity."""
 
@@ -281,7 +305,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
 
     def run(batches):
         for batch in batches:
-            for _, _, sets in _sets_of(batch.column(0)):
+            for _, sets in _sets_of(batch.column(0)):
                 some = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in some], pa.binary()), pa.array([s.tobytes() for s in some], pa.binary())], names=["class_id", "members"])
 
@@ -289,12 +313,11 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
 
     def check(batches):
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            (x, of_x), (y, of_y), keep = _binaries(batch.column(2)), _binaries(batch.column(3)), []
+            for i in range(batch.num_rows):
+                both = np.sort(np.concatenate([of_x[x[i] : x[i + 1]], of_y[y[i] : y[i + 1]]]).view(np.uint64))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("class_id").alias("a"), F.col("members").alias("of_a"))
