@@ -1,23 +1,27 @@
 """Chat formatting by event-sourced reconstruction.
 
-Events of a conversation, in order of sequence, fold into final messages; messages render through a template into one
-segment each, whose concatenation is the formatted conversation. Events (column `op`; without one, all are messages):
+Events of a conversation, in order of sequence (and step within one), fold into final messages; messages render through a
+template into one segment each, whose concatenation is the formatted conversation. Events (column `op`; null: message):
 
     message     a new message
     delta       appends its text to the message that started at `target`, or to the last one
     edit        replaces that message's text
     regenerate  drops that message and all after it, and starts a new message
 
+`message_log` turns a table of finished messages into such a log, as a chat server would have written it: texts streamed in
+deltas, some edited, some answers regenerated.
+
 The template is `<turn role="ROLE">TEXT</turn>` and a line feed. Inside a text a backslash is doubled and `<turn` and
 `</turn` get a backslash before them; in a role also a quotation mark does. A reader undoes that, so the formatted text
 gives back the very messages.
 
-Conversations are dealt by a hash of their id and sorted; the fold streams over a sorted partition and holds one
-conversation's open messages at most (none where all events are messages). Digests stream too.
+Conversations are dealt by their id and sorted by sequence; a first pass over the sorted events gives each its message and
+holds the starts of the open messages, numbers only. Events are then sorted by message (Spark's sort spills), and a second
+pass folds one message at a time, so no conversation's texts are ever held together. Digests stream too.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; a null sequence comes first;
 ties of a sequence go by role, then text; repeated events repeat; a delta, edit or regenerate without its message starts
-one; an empty table gives no row; further columns are ignored.
+one; an empty table gives no row; further columns are ignored; ids of any type and size stay as they are.
 """
 
 from __future__ import annotations
@@ -25,73 +29,123 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 TURN = re.compile(r'<turn role="((?:[^"\\]++|\\.)*+)">((?:[^\\<]++|\\.|<(?!/?turn))*+)</turn>\n', re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
-MESSAGE_SCHEMA = "conv_id {0}, message long, role string, text string"
-
-
 def _escape(text: Column, quote: bool = False) -> Column:
     out = F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), "<(/?turn)", r"\\<$1")
     return F.replace(out, F.lit('"'), F.lit('\\"')) if quote else out
 
 
-def fold(events: DataFrame, conv: str = "conv_id", seq: str = "turn") -> DataFrame:
-    """Final messages (conv_id, message, role, text), sorted within partitions; all of a conversation in one partition."""
-    op = F.lower("op") if "op" in events.columns else F.lit("message")
-    target = F.col("target").cast("long") if "target" in events.columns else F.lit(None).cast("long")
-    plain = "op" not in events.columns
-    rows = events.select(
-        F.col(conv).alias("conv_id"), F.col(seq).cast("long").alias("seq"), F.coalesce(op, F.lit("message")).alias("op"), target.alias("target"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    )
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
-    def run(batches):
-        current, number, held = None, 0, {}  # held: start sequence -> [role, text]
 
-        def flush(out):
-            nonlocal number, held
-            for role, text in held.values():
-                out.append((current[0], number, role, text))
-                number += 1
-            held = {}
+def message_log(messages: DataFrame, conv: str = "conv_id", seq: str = "turn") -> DataFrame:
+    """Events (conv_id, seq, step, op, target, role, text) of finished messages, dealt and sorted for fold(..., dealt=True).
+
+    Every text starts with its first third and streams the rest in two deltas. By a hash of conversation, sequence and text, a
+    third of the messages is first streamed backwards and then edited, and a third of the answers is regenerated.
+    """
+    rows = messages.select(F.col(conv).alias("conv_id"), F.col(seq).cast("long").alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda op, text: F.struct(F.lit(op).alias("op"), text.alias("text"))
+    text = F.col("text")
+    third = F.ceil(F.length(text) / 3).cast("int")
+    parts = [F.substring(text, F.lit(1) + third * i, third) for i in range(3)]
+    streamed = [event("delta", p) for p in parts[1:]]
+    kind = F.pmod(F.xxhash64("conv_id", "seq", "text"), F.lit(3))
+    edited = F.array(event("message", parts[0]), event("delta", F.reverse(text)), event("edit", parts[0]), *streamed)
+    again = F.array(event("message", F.reverse(text)), event("delta", text), event("regenerate", parts[0]), *streamed)
+    once = F.array(event("message", parts[0]), *streamed)
+    events = F.when(kind == 0, edited).when((kind == 1) & (F.col("role") == "assistant"), again).otherwise(once)
+    log = _dealt(rows, "seq", "role", "text").select("conv_id", "seq", "role", F.posexplode(events).alias("step", "e"))
+    return log.select("conv_id", "seq", "step", F.col("e.op").alias("op"), F.lit(None).cast("long").alias("target"), "role", F.col("e.text").alias("text"))
+
 
-        for pdf in batches:
+def fold(events: DataFrame, conv: str = "conv_id", seq: str = "turn", dealt: bool = False) -> DataFrame:
+    """Final messages (conv_id, message, role, text), sorted within partitions; all of a conversation in one partition.
+
+    dealt: the rows are message_log()'s, in its order.
+    """
+    column = lambda name, kind: F.col(name).cast(kind) if name in events.columns else F.lit(None).cast(kind)
+    rows = events.select(
+        F.col("conv_id" if dealt else conv).alias("conv_id"), F.col("seq" if dealt else seq).cast("long").alias("seq"), column("step", "int").alias("step"),
+        F.lower(F.coalesce(column("op", "string"), F.lit("message"))).alias("op"), column("target", "long").alias("target"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    kind = rows.schema["conv_id"].dataType
+    said, arrow = kind.simpleString(), to_arrow_type(kind)
+    if not dealt:
+        rows = _dealt(rows, "seq", "step", "role", "text")
+
+    def place(batches):
+        """Each event with the number of its message, and a row for each message that an event drops."""
+        current, starts, open_, made, at = None, [], [], 0, 0  # sequences and numbers of the open messages
+        for batch in batches:
             out = []
-            for c, s, o, t, role, text in zip(pdf["conv_id"], pdf["seq"], pdf["op"], pdf["target"], pdf["role"], pdf["text"]):
-                c = None if pd.isna(c) else c
+            for i, (c, s, op, t) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("conv_id", "seq", "op", "target")))):
                 if current is None or current[0] != c:
-                    flush(out)
-                    current, number = (c,), 0
-                if plain:
-                    out.append((c, number, role, text))
-                    number += 1
-                    continue
-                at = int(t) if not pd.isna(t) and int(t) in held else (next(reversed(held)) if held and pd.isna(t) else None)
-                key = None if pd.isna(s) else int(s)
-                if o == "delta" and at is not None:
-                    held[at][1] += text
-                elif o == "edit" and at is not None:
-                    held[at][1] = text
+                    current, starts, open_, made, at = (c,), [], [], 0, 0
+                k = len(open_) - 1
+                if t is not None:
+                    k = next((j for j in range(len(starts) - 1, -1, -1) if starts[j] == t), -1)
+                if op not in ("delta", "edit") or k < 0:
+                    if op == "regenerate" and k >= 0:
+                        out += [(i, n, at, "drop") for n in open_[k:]]
+                        del open_[k:], starts[k:]
+                    open_.append(made)
+                    starts.append(s)
+                    out.append((i, made, at, "message"))
+                    made += 1
                 else:
-                    if o == "regenerate" and at is not None:
-                        for k in list(held)[list(held).index(at) :]:
-                            del held[k]
-                    while key in held:  # a tie keeps both
-                        key = (key,)
-                    held[key] = [role, text]
-            yield pd.DataFrame(out, columns=["conv_id", "message", "role", "text"])
-        if current is not None:
+                    out.append((i, open_[k], at, op))
+                at += 1
+            index, number, order, ops = (list(x) for x in zip(*out)) if out else ([], [], [], [])
+            of = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id").take(of), pa.array(number, pa.int64()), pa.array(order, pa.int64()), pa.array(ops, pa.string()), batch.column("role").take(of), batch.column("text").take(of)],
+                names=["conv_id", "message", "at", "op", "role", "text"],
+            )
+
+    placed = rows.mapInArrow(place, f"conv_id {said}, message long, at long, op string, role string, text string").sortWithinPartitions("conv_id", "message", "at")
+
+    def join(batches):
+        """One row for each message that isn't dropped."""
+        current, parts, last, n_of = None, None, None, 0  # (conversation, message, role), its text so far (None: dropped)
+
+        def message():
+            nonlocal last, n_of
+            n_of = n_of + 1 if last == current[:1] else 0
+            last = current[:1]
+            return current[0], n_of, current[2], "".join(parts)
+
+        for batch in batches:
             out = []
-            flush(out)
-            yield pd.DataFrame(out, columns=["conv_id", "message", "role", "text"])
-
-    return dealt.mapInPandas(run, MESSAGE_SCHEMA.format(rows.schema["conv_id"].dataType.simpleString()))
+            for c, n, op, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "message", "op", "role", "text"))):
+                if current is None or current[:2] != (c, n):
+                    if parts is not None:
+                        out.append(message())
+                    current, parts = (c, n, role), []
+                if op == "drop":
+                    parts = None
+                elif parts is not None:
+                    if op == "edit":
+                        parts = []
+                    parts.append(text)
+            yield told(out)
+        if parts is not None:
+            yield told([message()])
+
+    def told(out):
+        c, n, role, text = zip(*out) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow), pa.array(n, pa.int64()), pa.array(role, pa.string()), pa.array(text, pa.string())], names=["conv_id", "message", "role", "text"])
+
+    return placed.mapInArrow(join, f"conv_id {said}, message long, role string, text string")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -122,6 +176,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def digests(segments: DataFrame) -> DataFrame:
     """Per conversation what its formatted text says when read back; streams over render()'s partitions."""
+    kind = segments.schema["conv_id"].dataType
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
         current, rest, state = None, "", None
@@ -132,10 +189,12 @@ def digests(segments: DataFrame) -> DataFrame:
             n, turns, chars, loss, total = state
             return (current[0], n, turns.hexdigest(), chars, loss.hexdigest(), total)
 
-        for pdf in batches:
+        def told(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
+
+        for batch in batches:
             out = []
-            for c, segment, a, b in zip(pdf["conv_id"], pdf["segment"], pdf["loss_start"], pdf["loss_end"]):
-                c = None if pd.isna(c) else c
+            for c, segment, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "loss_start", "loss_end"))):
                 if current is None or current[0] != c:
                     if current is not None:
                         out.append(row())
@@ -151,10 +210,9 @@ def digests(segments: DataFrame) -> DataFrame:
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
                     rest = rest[m.end() :]
-            yield pd.DataFrame(out, columns=names)
+            yield told(out)
         if current is not None:
-            yield pd.DataFrame([row()], columns=names)
+            yield told([row()])
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [segments.schema["conv_id"].dataType, T.LongType(), T.StringType(), T.LongType(), T.StringType(), T.LongType()]
-    return segments.mapInPandas(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    schema = [T.StructField("conv_id", kind)] + [T.StructField(n, T.StringType() if "sha" in n else T.LongType()) for n in names[1:]]
+    return segments.mapInArrow(run, T.StructType(schema))

@@ -16,7 +16,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit(r"\### Assistant: </turn> ok")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), said.alias("text"))
-    return chat.digests(chat.render(chat.fold(given.unionByName(more))))
+    return chat.digests(chat.render(chat.fold(chat.message_log(given.unionByName(more)), dealt=True)))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

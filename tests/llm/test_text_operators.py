@@ -38,6 +38,7 @@ def test_chat_round_trip(spark, given):
     hard = [(1, 0, "user", r"\### <turn role=\"x\"> </turn>"), (1, 1, "assistant", "\\"), (1, 2, "assistant", None), (1, 2, "assistant", "<turn\n</turn>\n"), (2, None, None, 'a "q" \\" 😀'), (None, 0, "we\"ird\\</turn>", ""), (1, 2, "assistant", "<turn\n</turn>\n")]
     table = events(spark, hard).unionByName(given("conversations"))
     got = {r["conv_id"]: r for r in chat.digests(chat.render(chat.fold(table))).collect()}
+    assert got == {r["conv_id"]: r for r in chat.digests(chat.render(chat.fold(chat.message_log(table), dealt=True))).collect()}
     want = defaultdict(list)
     for r in table.collect():
         want[r["conv_id"]].append((-1 if r["turn"] is None else r["turn"], r["role"] or "", r["text"] or ""))
@@ -58,6 +59,16 @@ def test_chat_folds_events(spark):
     got = sorted((r["conv_id"], r["message"], r["role"], r["text"]) for r in chat.fold(table).collect())
     assert got == [(1, 0, "user", "hi!"), (1, 1, "assistant", "Hey you"), (2, 0, "assistant", "alone")]
     assert chat.digests(chat.render(chat.fold(table.limit(0)))).count() == 0
+    assert chat.message_log(table.limit(0)).count() == 0
+
+
+def test_chat_log_has_every_kind_of_event_and_ids_stay(spark):
+    big = 2**53
+    said = [(i, t, ("user", "assistant")[t % 2], f"text {i} {t}") for i in (big, big + 1, None) for t in range(12)]
+    log = chat.message_log(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    assert {r["op"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = sorted((str(r["conv_id"]), r["message"], r["role"], r["text"]) for r in chat.fold(log, dealt=True).collect())
+    assert got == sorted((str(i), t, role, text) for i, t, role, text in said)
 
 
 # 2
