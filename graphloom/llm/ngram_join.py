@@ -257,17 +257,18 @@ def _sized(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for all nodes but the roots, root the least node: alternating large and small stars.
 
-    Least neighbours are partial aggregates, and the joins with them are Spark's own, so AQE can split the rows of a centre.
+    Least neighbours are partial aggregates. They are dealt anew before the joins, for AQE splits the rows of a centre only
+    where both sides of a join come straight from a shuffle.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now = materialize(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
     mark = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialize(small.distinct(), "edges")
         new = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
