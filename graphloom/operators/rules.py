@@ -93,53 +93,73 @@ def fixpoint(quads: DataFrame, constructs: Sequence[str], prefixes=None, max_rou
     raise RuntimeError("no fixpoint")
 
 
-#: RDFS and OWL entailments, as constructs.
-EXPANSION: dict[str, str] = {
-    "class-of-domain": "CONSTRUCT { ?c a owl:Class } WHERE { ?p rdfs:domain ?c }",
-    "class-of-subclass": "CONSTRUCT { ?a a owl:Class . ?b a owl:Class } WHERE { ?a rdfs:subClassOf ?b }",
-    "class-of-rdfs": "CONSTRUCT { ?c a owl:Class } WHERE { ?c a rdfs:Class }",
-    "thing": "CONSTRUCT { owl:Thing a owl:Class } WHERE { ?c a owl:Class }",
-    "property-of-datatype": "CONSTRUCT { ?p a rdf:Property } WHERE { ?p a owl:DatatypeProperty }",
-    "property-of-object": "CONSTRUCT { ?p a rdf:Property } WHERE { ?p a owl:ObjectProperty }",
-    "property-of-annotation": "CONSTRUCT { ?p a rdf:Property } WHERE { ?p a owl:AnnotationProperty }",
-    "property-used": "CONSTRUCT { ?p a rdf:Property } WHERE { ?s ?p ?o }",
-    "property-of-subproperty": "CONSTRUCT { ?a a rdf:Property . ?b a rdf:Property } WHERE { ?a rdfs:subPropertyOf ?b }",
-    "object-domain": "CONSTRUCT { ?p rdfs:domain owl:Thing } WHERE { ?p a owl:ObjectProperty }",
-    "object-range": "CONSTRUCT { ?p rdfs:range owl:Thing } WHERE { ?p a owl:ObjectProperty }",
-    "datatype-domain": "CONSTRUCT { ?p rdfs:domain owl:Thing } WHERE { ?p a owl:DatatypeProperty }",
-    "datatype-range": "CONSTRUCT { ?p rdfs:range rdfs:Literal } WHERE { ?p a owl:DatatypeProperty }",
-    "subclass-transitive": "CONSTRUCT { ?a rdfs:subClassOf ?c } WHERE { ?a rdfs:subClassOf ?b . ?b rdfs:subClassOf ?c }",
-    "subproperty-transitive": "CONSTRUCT { ?a rdfs:subPropertyOf ?c } WHERE { ?a rdfs:subPropertyOf ?b . ?b rdfs:subPropertyOf ?c }",
-    "equivalent-class-symmetric": "CONSTRUCT { ?b owl:equivalentClass ?a } WHERE { ?a owl:equivalentClass ?b }",
-    "equivalent-class-transitive": "CONSTRUCT { ?a owl:equivalentClass ?c } WHERE { ?a owl:equivalentClass ?b . ?b owl:equivalentClass ?c FILTER(?a != ?c) }",
-    "equivalent-class-subclass": "CONSTRUCT { ?a rdfs:subClassOf ?b } WHERE { ?a owl:equivalentClass ?b }",
-    "equivalent-property-symmetric": "CONSTRUCT { ?b owl:equivalentProperty ?a } WHERE { ?a owl:equivalentProperty ?b }",
-    "equivalent-property-transitive": "CONSTRUCT { ?a owl:equivalentProperty ?c } WHERE { ?a owl:equivalentProperty ?b . ?b owl:equivalentProperty ?c FILTER(?a != ?c) }",
-    "equivalent-property-subproperty": "CONSTRUCT { ?a rdfs:subPropertyOf ?b } WHERE { ?a owl:equivalentProperty ?b }",
-    "inverse-symmetric": "CONSTRUCT { ?b owl:inverseOf ?a } WHERE { ?a owl:inverseOf ?b }",
-    "inverse-of-inverse": "CONSTRUCT { ?a owl:equivalentProperty ?c } WHERE { ?a owl:inverseOf ?b . ?b owl:inverseOf ?c FILTER(?a != ?c) }",
-    "subproperty-domain": "CONSTRUCT { ?a rdfs:domain ?c } WHERE { ?a rdfs:subPropertyOf ?b . ?b rdfs:domain ?c }",
-    "subproperty-range": "CONSTRUCT { ?a rdfs:range ?c } WHERE { ?a rdfs:subPropertyOf ?b . ?b rdfs:range ?c }",
-    "subproperty-datatype": "CONSTRUCT { ?a a owl:DatatypeProperty } WHERE { ?a rdfs:subPropertyOf ?b . ?b a owl:DatatypeProperty }",
-    "subproperty-object": "CONSTRUCT { ?a a owl:ObjectProperty } WHERE { ?a rdfs:subPropertyOf ?b . ?b a owl:ObjectProperty }",
-}
-
-#: What expansion made redundant; each construct's result goes.
-CLEANUP: dict[str, str] = {
-    "default-domain": "CONSTRUCT { ?p rdfs:domain owl:Thing } WHERE { ?p rdfs:domain owl:Thing ; rdfs:domain ?c FILTER(?c != owl:Thing) }",
-    "default-range": "CONSTRUCT { ?p rdfs:range owl:Thing } WHERE { ?p rdfs:range owl:Thing ; rdfs:range ?c FILTER(?c != owl:Thing) }",
-    "default-literal": "CONSTRUCT { ?p rdfs:range rdfs:Literal } WHERE { ?p rdfs:range rdfs:Literal ; rdfs:range ?c FILTER(?c != rdfs:Literal) }",
-    "super-domain": "CONSTRUCT { ?p rdfs:domain ?b } WHERE { ?p rdfs:domain ?a ; rdfs:domain ?b . ?a rdfs:subClassOf ?b FILTER(?a != ?b) FILTER NOT EXISTS { ?b rdfs:subClassOf ?a } }",
-    "super-range": "CONSTRUCT { ?p rdfs:range ?b } WHERE { ?p rdfs:range ?a ; rdfs:range ?b . ?a rdfs:subClassOf ?b FILTER(?a != ?b) FILTER NOT EXISTS { ?b rdfs:subClassOf ?a } }",
-    "rdfs-class": "CONSTRUCT { ?c a rdfs:Class } WHERE { ?c a rdfs:Class }",
-    "property-datatype": "CONSTRUCT { ?p a rdf:Property } WHERE { ?p a rdf:Property ; a owl:DatatypeProperty }",
-    "property-object": "CONSTRUCT { ?p a rdf:Property } WHERE { ?p a rdf:Property ; a owl:ObjectProperty }",
-    "property-annotation": "CONSTRUCT { ?p a rdf:Property } WHERE { ?p a rdf:Property ; a owl:AnnotationProperty }",
-    "inverse": "CONSTRUCT { ?a owl:inverseOf ?b } WHERE { ?a owl:inverseOf ?b }",
-    "subproperty": "CONSTRUCT { ?a rdfs:subPropertyOf ?b } WHERE { ?a rdfs:subPropertyOf ?b }",
-    "self-subclass": "CONSTRUCT { ?a rdfs:subClassOf ?a } WHERE { ?a rdfs:subClassOf ?a }",
-    "documentation": "CONSTRUCT { ?s ?p ?o } WHERE { ?s ?p ?o FILTER(?p IN (skos:changeNote, skos:editorialNote, skos:historyNote, dct:description)) }",
-}
+def _rule(gives: str, where: str, *named: str, apart: tuple[str, str] | None = None) -> str:
+    """A construct whose variables in named must not be blank nodes, and whose two in apart must differ."""
+    tests = [f"FILTER(!isBlank({v}))" for v in named]
+    if apart:
+        tests.append(f"FILTER({apart[0]} != {apart[1]})")
+    return " ".join(["CONSTRUCT {", gives, "} WHERE {", where, *tests, "}"])
+
+
+def _expansion() -> dict[str, str]:
+    kinds = {"annotation": "owl:AnnotationProperty", "datatype": "owl:DatatypeProperty", "object": "owl:ObjectProperty"}
+    out = {
+        # what is a class or a property
+        "used-is-property": _rule("?p a rdf:Property", "?s ?p ?o"),
+        "domain-is-class": _rule("?c a owl:Class", "?p rdfs:domain ?c", "?c"),
+        "rdfs-class-is-owl-class": _rule("?c a owl:Class", "?c a rdfs:Class", "?c"),
+        "owl-class-is-rdfs-class": _rule("?c a rdfs:Class", "?c a owl:Class", "?c"),
+        "sub-and-super-are-classes": _rule("?a a owl:Class , rdfs:Class . ?b a owl:Class , rdfs:Class", "?a rdfs:subClassOf ?b", "?a", "?b"),
+        "sub-and-super-are-properties": _rule("?a a rdf:Property . ?b a rdf:Property", "?a rdfs:subPropertyOf ?b", "?a", "?b"),
+        "class-is-thing": _rule("?c rdfs:subClassOf owl:Thing", "?c a owl:Class", "?c"),
+        "thing-is-class": _rule("owl:Thing a owl:Class", "?c a owl:Class"),
+        "property-is-class": _rule("rdf:Property a owl:Class", "?c a owl:Class"),
+        # chains and mirrors
+        "sub-class-chain": _rule("?a rdfs:subClassOf ?c", "?a rdfs:subClassOf ?b . ?b rdfs:subClassOf ?c", "?a", "?b", "?c"),
+        "sub-property-chain": _rule("?a rdfs:subPropertyOf ?c", "?a rdfs:subPropertyOf ?b . ?b rdfs:subPropertyOf ?c", "?a", "?b", "?c", apart=("?a", "?c")),
+        "inverse-mirror": _rule("?b owl:inverseOf ?a", "?a owl:inverseOf ?b"),
+        "inverse-of-inverse": _rule("?a owl:equivalentProperty ?c", "?a owl:inverseOf ?b . ?b owl:inverseOf ?c", "?a", "?b", "?c", apart=("?a", "?c")),
+    }
+    for what, p in (("class", "owl:equivalentClass"), ("property", "owl:equivalentProperty")):
+        out[f"equivalent-{what}-mirror"] = _rule(f"?b {p} ?a", f"?a {p} ?b", "?a", "?b")
+        out[f"equivalent-{what}-chain"] = _rule(f"?a {p} ?c", f"?a {p} ?b . ?b {p} ?c", "?a", "?b", "?c", apart=("?a", "?c"))
+    # what kinds of properties have, and what they hand down
+    for what, kind in kinds.items():
+        out[f"{what}-domain"] = _rule("?p rdfs:domain owl:Thing", f"?p a {kind}", "?p")
+        out[f"{what}-handed-down"] = _rule(f"?a a {kind}", f"?a rdfs:subPropertyOf ?b . ?b a {kind}", "?a", "?b")
+    for what, top in (("datatype", "rdfs:Literal"), ("object", "owl:Thing")):
+        out[f"{what}-range"] = _rule(f"?p rdfs:range {top}", f"?p a {kinds[what]}", "?p")
+    for what in ("domain", "range"):
+        out[f"{what}-handed-down"] = _rule(f"?a rdfs:{what} ?c", f"?a rdfs:subPropertyOf ?b . ?b rdfs:{what} ?c", "?a", "?b")
+    return out
+
+
+def _cleanup() -> dict[str, str]:
+    typed = "?p a ?kind FILTER(?kind IN (owl:AnnotationProperty, owl:DatatypeProperty, owl:ObjectProperty))"
+    out = {"documentation": _rule("?s ?p ?o", f"?s ?p ?o FILTER(?p IN ({', '.join(f'<{x}>' for x in DOCUMENTATION)}))")}
+    for what, kind, top in (("datatype", "owl:DatatypeProperty", "rdfs:Literal"), ("object", "owl:ObjectProperty", "owl:Thing")):
+        for side, value in (("domain", "owl:Thing"), ("range", top)):
+            two = f"?p a {kind} . ?p rdfs:{side} ?x . ?p rdfs:{side} ?y"
+            out[f"{what}-{side}"] = _rule(f"?p rdfs:{side} {value}", two, "?p", apart=("?x", "?y"))
+    out["inverse"] = _rule("?a owl:inverseOf ?b", "?a owl:inverseOf ?b")
+    for what in ("Annotation", "Datatype", "Object"):
+        out[f"{what.lower()}-property"] = _rule("?p a rdf:Property", f"?p a owl:{what}Property", "?p")
+    out["rdfs-class"] = _rule("?c a rdfs:Class", "?c a rdfs:Class", "?c")
+    for side in ("domain", "range"):
+        two = f"{typed} ?p rdfs:{side} ?x . ?p rdfs:{side} ?y . ?x rdfs:subClassOf ?y"
+        out[f"wider-{side}"] = _rule(f"?p rdfs:{side} ?y", two, "?p", "?x", "?y", apart=("?x", "?y"))
+    out["sub-property"] = _rule("?a rdfs:subPropertyOf ?b", "?a rdfs:subPropertyOf ?b")
+    return out
+
+
+#: The documentation properties that a cleanup drops.
+DOCUMENTATION = (
+    RDFS + "comment", "http://data.legilux.public.lu/resource/ontology/jolux#alignmentComment", SKOS + "altLabel", RDFS + "label", SKOS + "editorialNote",
+)
+#: RDFS and OWL entailments, as constructs; they only add, so their order doesn't matter.
+EXPANSION: dict[str, str] = _expansion()
+#: What expansion made redundant, in this order; each construct's result goes before the next one looks.
+CLEANUP: dict[str, str] = _cleanup()
 ONTOLOGY_PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "skos": SKOS, "dct": DCT}
 
 

@@ -15,7 +15,7 @@ from graphloom.operators.profile import Profile, collapse, doc_profile, load
 from graphloom.plans import compiler
 from graphloom.plans.sparql import Node
 from graphloom.sources import rdf
-from graphloom.sources.quads import TRIPLE, TableSource, UnionSource, difference, prefix_map, set_of
+from graphloom.sources.quads import TRIPLE, TableSource, UnionSource, difference, prefix_map, set_of, union
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,14 +470,23 @@ def uri_minting(spark, sf_dir):
     return run(rules.mint(g, generators, "urn:temp:"), "SELECT ?s ?c WHERE { ?s <urn:of> ?c }")
 
 
-@query("select distinct 'urn:nation#n_regionkey' as s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#Property' as o from nation union all select distinct 'urn:T', 'http://www.w3.org/2000/01/rdf-schema#subClassOf', 'urn:V' from nation")
+@query("""with part_of as (select concat('urn:part:', p_partkey) as s, concat('urn:brand:', p_brand) as b from part),
+classes as (select s from part_of union select b from part_of union select 'urn:goods' from part),
+above as (select s, b as o from part_of union select s, 'urn:goods' from part_of union select b, 'urn:goods' from part_of union select s, 'http://www.w3.org/2002/07/owl#Thing' from classes),
+props as (select concat('urn:nation:', n_nationkey) as s from nation union select concat('urn:region:', r_regionkey) from region)
+select s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 'http://www.w3.org/2002/07/owl#Class' as o from classes
+union all select s, 'http://www.w3.org/2000/01/rdf-schema#subClassOf', o from above
+union all select s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://www.w3.org/2002/07/owl#DatatypeProperty' from props
+union all select s, 'http://www.w3.org/2000/01/rdf-schema#domain', 'urn:goods' from props
+union all select s, 'http://www.w3.org/2000/01/rdf-schema#range', 'http://www.w3.org/2000/01/rdf-schema#Literal' from props""")
 def ontology_expansion(spark, sf_dir):
-    facts = graph(spark, sf_dir, "nation").scan(["urn:nation#n_regionkey"])
-    onto = rdf.from_turtle(spark, "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . <urn:T> rdfs:subClassOf <urn:U> . <urn:U> rdfs:subClassOf <urn:V> .")
-    some = ("property-used", "subclass-transitive", "class-of-subclass")
-    out = rules.fixpoint(facts.unionByName(onto), [rules.EXPANSION[k] for k in some], rules.ONTOLOGY_PREFIXES)
-    wanted = ((F.col("s") == "urn:nation#n_regionkey") & (F.col("p") == RDF_TYPE)) | ((F.col("s") == "urn:T") & (F.col("o") == "urn:V"))
-    return out.where(wanted).select("s", "p", "o")
+    """All rules and the cleanup: parts as classes under brands, nations as properties under regions."""
+    src, names = graph(spark, sf_dir, "part", "nation", "region"), {**P, **rules.ONTOLOGY_PREFIXES}
+    classes = "CONSTRUCT { ?x a rdfs:Class ; rdfs:subClassOf ?b . ?b rdfs:subClassOf <urn:goods> } WHERE { ?x part:p_brand ?n BIND(IRI(CONCAT('urn:brand:', ?n)) AS ?b) }"
+    tops = "CONSTRUCT { ?r a owl:DatatypeProperty ; rdfs:domain <urn:goods> ; rdfs:label ?n } WHERE { ?r region:r_name ?n }"
+    below = "CONSTRUCT { ?x rdfs:subPropertyOf ?r } WHERE { ?x nation:n_regionkey ?r }"
+    out = rules.expand_ontology(set_of(union(*[compiler.construct(src, q, names) for q in (classes, tops, below)])))
+    return out.where(F.col("s").rlike("^urn:(part|brand|goods|nation|region)")).select("s", "p", "o")
 
 
 # B: operations, permissions
