@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.sources.shared import cut as materialize
-from graphloom.sources.shared import shared_dir  # noqa: F401
+from graphloom.sources.shared import discard, shared_dir  # noqa: F401
 
 #: Fixed 64-bit odd multipliers of the hash functions below.
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, column_names, materialize, mix64, text_slices
+from graphloom.llm.common import STEP, column_names, discard, materialize, mix64, text_slices
 
 WORDS = 5
 #: Similarity as a percentage.
@@ -270,7 +270,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = materialize(small.distinct(), "edges")
+        old, now = now, materialize(small.distinct(), "edges")
+        discard(old, large)
         new = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == (new["n"], new["x"]):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

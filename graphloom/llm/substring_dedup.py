@@ -10,10 +10,11 @@ least hash of some REACH in a row. Every passage of REACH + STRETCH - 1 = 49 wor
     its rows. Units equal word for word count as one class from the start.
 2.  Colliding classes are verified by their exact sets: each against the hub of its lists, then across what is still apart,
     all pairs in lists of up to LIST classes. Longer lists are banded anew with more rows, and as many more bands as keep
-    RECALL, so classes that share a common passage only part before any pair is formed; with the most rows all pairs are.
+    RECALL, so classes that share a common passage only part before any pair is formed; with the most rows all pairs are. Of
+    those pairs, only ones form that a bound of the exact similarity, by parity bits of the sets, lets pass.
 3.  Components of the links are groups of near copies. The first occurrence (least doc_id, null last, then row, then place)
-    of a group or class stays and all others go. A stretch is compared word by word with the first one on both sides, up to
-    REACH words, which is where the next stretch must begin, so a repeat ends at the very word where its copies differ.
+    of a group or class stays and all others go. A stretch is compared word by word (by 16 bits of a hash) with the first one
+    on both sides, up to REACH words, within which the next stretch begins, so a repeat ends where its copies differ.
 
 Only a filter of a size set by a count, FILTER bits at most, reaches the driver. It tells the second pass over the texts
 which units to deal out; where it is full it only thins out less.
@@ -250,12 +251,12 @@ def _holds(known: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _around(h: np.ndarray, doc: np.ndarray, at: np.ndarray, step: int) -> pa.Array:
-    """32 bits of each of the REACH words from at on, backwards or forwards; 0 beyond the text."""
+    """16 bits of each of the REACH words from at on, backwards or forwards; 0 beyond the text."""
     i = at[:, None] + step * np.arange(REACH)
-    out = np.maximum(h[np.clip(i, 0, len(h) - 1)] >> np.uint64(32), np.uint64(1)).astype("<u4")
+    out = np.maximum(h[np.clip(i, 0, len(h) - 1)] >> np.uint64(48), np.uint64(1)).astype("<u2")
     here = doc[at - step]
     out[(i < 0) | (i >= len(h)) | (doc[np.clip(i, 0, len(h) - 1)] != here[:, None])] = 0
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REACH), len(at), [None, pa.py_buffer(np.ascontiguousarray(out))]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REACH), len(at), [None, pa.py_buffer(np.ascontiguousarray(out))]).cast(pa.binary())
 
 
 def occurrences(docs: DataFrame, known: np.ndarray, linked: np.ndarray) -> DataFrame:
@@ -330,35 +331,56 @@ def _banded(sets: DataFrame, rows: int, percent: int) -> DataFrame:
     return sets.select("c", "members").mapInArrow(run, "token long, c long")
 
 
-def link(lists: DataFrame, sets: DataFrame, percent: int, level: int = 0, links: DataFrame | None = None) -> DataFrame | None:
-    """The verified links (a, b) that connect the classes of lists (token, c); None if there is none."""
-    length = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    sized = lists.join(length, "token")
-    fame = sized.groupBy("c").agg(F.sum("k").alias("fame"))
-    hub = sized.join(fame, "c").groupBy("token").agg(F.max("fame").alias("fame"))
-    hub = sized.join(fame, "c").join(hub, ["token", "fame"]).groupBy("token").agg(F.max("c").alias("hub"))
-    met = lists.join(hub, "token").where("c != hub").groupBy("c", "hub").agg(F.count("*").alias("k"))
-    best = met.groupBy("c").agg(F.max("k").alias("k")).join(met, ["c", "k"]).groupBy("c").agg(F.max("hub").alias("h"))
-    pairs = materialize(best.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct(), "pairs")
-    found = materialize(verified(pairs, sets, percent), "links")
-    links = found if links is None else links.unionAll(found)
-
-    root = components(links)
+def sized_sets(places: DataFrame) -> DataFrame:
+    """(c, n, p0 to p3, members) of the classes that have a set: its size and, for each of 256 places, the parity of its shingles there."""
+
+    def run(batches):
+        for batch in batches:
+            at, data = _binaries(batch.column(1))
+            odd = np.zeros((batch.num_rows, 256), dtype=np.uint8)
+            for i in range(batch.num_rows):
+                odd[i] = np.bincount(data[at[i] : at[i + 1] : 8], minlength=256) & 1  # of each hash its lowest byte
+            words = np.packbits(odd, axis=1, bitorder="little").view("<i8").reshape(-1, 4)
+            n = (np.diff(at) // 8).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)], batch.column(1)], names=["c", "n", *PARITY, "members"])
+
+    sets = places.where("members is not null").groupBy("c").agg(F.first("members").alias("members"))
+    return sets.mapInArrow(run, "c long, n int, p0 long, p1 long, p2 long, p3 long, members binary")
+
+
+PARITY = ("p0", "p1", "p2", "p3")
+
+
+def link(lists: DataFrame, sets: DataFrame, percent: int, level: int = 0, links: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components that verified pairs of classes from a list (token, c), and given links, make."""
+    fame = lists.groupBy("c").agg(F.count("*").alias("fame"))
+    hub = lists.join(fame, "c").groupBy("token").agg(F.max(F.struct("fame", "c")).alias("hub")).select("token", F.col("hub.c").alias("h"))
+    met = lists.join(hub, "token").where("c != h").groupBy("c", "h").agg(F.count("*").alias("k"))
+    best = met.groupBy("c").agg(F.max(F.struct("k", "h")).alias("x")).select("c", F.col("x.h").alias("h"))
+    pairs = best.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct()
+    found = verified(pairs, sets, percent)
+    root = components(found if links is None else links.unionAll(found))
+
     placed = lists.join(root, lists["c"] == root["node"], "left").select("token", "c", F.coalesce("root", "c").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y").select("token", "k")
     last = level + 1 == len(ROWS)
-    open_ = materialize(placed.join(mixed, "token"), "open")
+    open_ = materialize(placed.join(mixed, "token").join(sets.select("c", "n", *PARITY), "c"), "open")
+    if not open_.limit(1).count():
+        return root
     near = open_ if last else open_.where(F.col("k") <= LIST)
-    other = near.select("token", F.col("c").alias("c1"), F.col("root").alias("root1"))
-    across = near.join(other, "token").where("c1 > c and root1 != root").select(F.col("c1").alias("a"), F.col("c").alias("b")).distinct()
-    links = links.unionAll(materialize(verified(across, sets, percent), "links"))
-    if last:
-        return links
+    other = near.select("token", *[F.col(x).alias(f"{x}1") for x in ("c", "root", "n", *PARITY)])
+    apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}1"))) for p in PARITY)  # at least so many shingles are in one set only
+    close = (F.col("n") + F.col("n1") - apart) * (100 + percent) >= (F.col("n") + F.col("n1")) * (2 * percent)
+    sizes = F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent
+    across = near.join(other, (near["token"] == other["token"]) & (F.col("c1") > F.col("c")) & (F.col("root1") != F.col("root")) & sizes & close)
+    across = across.select(F.col("c1").alias("a"), F.col("c").alias("b")).distinct()
+    more = materialize(verified(across, sets, percent), "links")
+    now = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
     far = open_.where(F.col("k") > LIST).select("c").distinct()
-    if not far.limit(1).count():
-        return links
-    deeper = materialize(_banded(sets.join(far, "c", "left_semi"), ROWS[level + 1], percent), "lists")
-    return link(deeper, sets, percent, level + 1, links)
+    if not last and far.limit(1).count():
+        deeper = materialize(_banded(sets.join(far, "c", "left_semi"), ROWS[level + 1], percent), "lists")
+        return link(deeper, sets, percent, level + 1, now)
+    return components(now) if more.limit(1).count() else root
 
 
 def _extend(kind: pa.DataType):
@@ -371,7 +393,7 @@ def _extend(kind: pa.DataType):
             has = np.flatnonzero(pc.and_(pc.is_valid(t["left"]), pc.is_valid(t["left1"])).to_numpy(zero_copy_only=False))
             if len(has):
                 some = pa.array(has)
-                x, y, x1, y1 = (np.frombuffer(b"".join(t[c].take(some).to_pylist()), "<u4").reshape(-1, REACH) for c in ("left", "right", "left1", "right1"))
+                x, y, x1, y1 = (np.frombuffer(b"".join(t[c].take(some).to_pylist()), "<u2").reshape(-1, REACH) for c in ("left", "right", "left1", "right1"))
                 a[has] -= np.logical_and.accumulate((x == x1) & (x != 0), axis=1).sum(axis=1)
                 b[has] += np.logical_and.accumulate((y == y1) & (y != 0), axis=1).sum(axis=1)
             first = (row == row1) & (p == p1) & (n == n1)
@@ -437,9 +459,7 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     met = materialize(lists.where("many").select("token", "c"), "met")
     known, linked = key_filter(lists.select("c").distinct()), key_filter(met.select("c").distinct())
     places = materialize(occurrences(docs, known, linked), "places")
-    sets = places.where("members is not null").groupBy("c").agg(F.first("members").alias("members"))
-    links = link(met, materialize(sets, "sets"), percent)
-    near = materialize(components(links).select(F.col("node").alias("c"), "root"), "near")
+    near = link(met, materialize(sized_sets(places), "sets"), percent).select(F.col("node").alias("c"), "root")
     near = near.unionAll(near.select(F.col("root").alias("c"), "root").distinct())
     near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
 
