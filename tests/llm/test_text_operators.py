@@ -164,6 +164,22 @@ def test_shards_balance_and_grow():
     assert abs(big.loads()[24] - sum(size) / 25) < 9000
 
 
+def test_shards_edit_the_stored_map(spark, given):
+    docs, name = given("documents"), f"edited-{random.random()}"
+    shards.shard(docs, name=name).count()
+    first, second = shards.load(spark, f"{name}-24", 1), shards.load(spark, f"{name}-24")
+    assert (first.version, second.version) == (1, 2) and first.shard_of == tuple(i % 24 for i in range(4096))
+    again = shards.shard(docs, name=name)
+    assert shards.load(spark, f"{name}-24").version == 2 and {r[0] for r in again.select("map_version").distinct().collect()} == {2}
+    more = docs.unionByName(docs.limit(60).withColumns({"doc_id": F.col("doc_id") + 10**6, "text": F.concat("text", F.lit(" more"))}))
+    shards.shard(more, name=name).count()
+    third = shards.load(spark, f"{name}-24")
+    moved = sum(a != b for a, b in zip(second.shard_of, third.shard_of))
+    assert third.version == 3 and 0 < moved < 200 and third.n_rows != second.n_rows
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        shards.save(spark, third, f"{name}-24")
+
+
 def test_shards_of_the_table(given):
     loads = [r["b"] for r in shards.shard(given("documents"), name="table").groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(loads) == 24 and max(loads) <= 1.25 * min(loads)  # 200 documents of up to a shard's size
