@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from graphloom.llm.common import column_names, worker_cache
 
 #: Characters (or tokens, when decoding) of a leaf; longer stretches are halved.
-LEAF = 8192
+LEAF = 512
 #: Characters on either side of a border that the first window takes.
-WINDOW = 64
+WINDOW = 24
 #: A place where the splitting pattern always has a border; white space here is so for every library.
 BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 
