@@ -18,16 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks
+from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks, text_slices
 
 #: n-gram sizes, in code points of lower-cased letters with runs of anything else as one space.
 SIZES = (2, 3, 4)
 #: Slots of the filter and slots that an n-gram sets.
 SLOTS, PROBES = 1 << 20, 3
+#: n-grams that a task holds at once when it counts.
+HELD = 500_000
 #: Labelled documents of each language that a fit takes.
 PER_LANGUAGE = 2000
 #: An n-gram counts as a language's if it is in at least so many of its sampled documents ...
@@ -79,17 +82,30 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS) -
     sample = labelled.where(place < rate[F.col("lang")]).select(index[F.col("lang")].alias("i"), "text")
 
     def count(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in text_chunks(texts, 250_000):
-                h, owner = _grams(texts[a:b])
-                pair = np.unique(np.stack([h, owner.astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-                lang = pdf["i"].to_numpy()[a:b][pair[:, 1].astype(np.int64)]
-                found = pd.DataFrame({"h": pair[:, 0].astype(np.int64), "i": lang.astype(np.int32)})
-                yield found.groupby(["h", "i"], sort=False).size().rename("n").astype(np.int64).reset_index()
+        held, size = [], 0
+
+        def summed():
+            key = np.concatenate(held)
+            key = key[np.lexsort((key[:, 1], key[:, 0]))]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            n = np.diff(np.append(first, len(key)))
+            return pa.RecordBatch.from_arrays([pa.array(key[first, 0]), pa.array(key[first, 1].astype(np.int32)), pa.array(n)], names=["h", "i", "n"])
+
+        for batch in batches:
+            index = batch.column("i").to_numpy()
+            for a, texts in text_slices(batch.column("text")):
+                h, owner = _grams(texts)
+                _, once = np.unique(mix64(h + (owner + 1).astype(np.uint64) * STEP), return_index=True)  # once for each text
+                held.append(np.stack([h[once].view(np.int64), index[a + owner[once]].astype(np.int64)], axis=1))
+                size += len(once)
+                if size > HELD:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
 
     sampled = sample.groupBy("i").count()
-    frequent = sample.select("i", "text").mapInPandas(count, "h long, i int, n long").groupBy("h", "i").agg(F.sum("n").alias("n"))
+    frequent = sample.select("i", "text").mapInArrow(count, "h long, i int, n long").groupBy("h", "i").agg(F.sum("n").alias("n"))
     shares = frequent.join(F.broadcast(sampled), "i").select("h", "i", "n", (F.col("n") / F.col("count")).alias("share"))
     grams = (
         shares.groupBy("h")
@@ -147,14 +163,14 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     def run(batches):
         model = shared.value
         names = np.array([*model.languages, "und"], dtype=object)
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"]]
-            for a, b in text_chunks(texts):
-                best, score = _classify(texts[a:b], model)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, "lang_pred": names[best], "score": score})
+        for batch in batches:
+            for a, texts in text_slices(batch.column("text")):
+                best, score = _classify(texts, model)
+                ids = batch.column("doc_id").slice(a, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: LanguageFilters | None = None) -> DataFrame:
