@@ -10,7 +10,8 @@ first); beyond that both joins are plain ones that Spark may shuffle and split.
 before it is shuffled.
 
 Defined cases: a null or empty text has no words; a null item_id counts as the text "null"; repeated documents give a row
-each; items that repeat or share windows all count; an empty benchmark hits nothing.
+each; items that repeat or share windows all count; an empty benchmark hits nothing; further columns are not read by find()
+and pass through clean().
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from graphloom.llm.common import materialize
 
 #: Words of a window, and of the K-grams that are hashed.
 SPAN, K = 10, 5
-#: Rows of 16 bytes up to which the benchmark's fingerprints and windows, and the ids of documents with hits, are broadcast.
+#: Rows (of windows: item ids) up to which the benchmark's fingerprints and windows, and the ids of documents with hits, are
+#: broadcast.
 BROADCAST_ROWS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,14 +45,23 @@ def _grams(h: str, n: int) -> str:
     return f"if(size({h}) < {n}, array(), transform(sequence(0, size({h}) - {n}), i -> xxhash64({n}, {parts})))"
 
 
+def _windows(h: str, n: int) -> str:
+    """SQL for all n-grams of an array of word hashes, each by two hashes: 128 bits that decide."""
+    parts = ", ".join(f"get({h}, i + {j})" for j in range(n))
+    back = ", ".join(f"get({h}, i + {j})" for j in reversed(range(n)))
+    return f"if(size({h}) < {n}, array(), transform(sequence(0, size({h}) - {n}), i -> named_struct('w', xxhash64({n}, {parts}), 'v', xxhash64({back}, {n}))))"
+
+
 def _winnowed(g: str) -> str:
     """SQL for the distinct least K-gram hashes of all windows of SPAN words."""
     width = SPAN - K + 1
     return f"if(size({g}) < {width}, array(), array_distinct(transform(sequence(0, size({g}) - {width}), i -> array_min(slice({g}, i + 1, {width})))))"
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """df to broadcast if its rows, each counted as its weight, are few."""
+    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -71,9 +82,9 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = None
     for n in lengths:
         of = items.where(F.size("h") >= SPAN) if n == SPAN else items.where(F.size("h") == n)
-        of = of.select(F.lit(n).alias("n"), F.explode(F.expr(_grams("h", n))).alias("w"), "item")
+        of = of.select(F.lit(n).alias("n"), F.explode(F.expr(_windows("h", n))).alias("x"), "item").select("n", "x.w", "x.v", "item")
         windows = of if windows is None else windows.unionAll(of)
-    windows = materialize(windows.groupBy("n", "w").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    windows = materialize(windows.groupBy("n", "w", "v").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
     prints = items.where(F.size("h") >= SPAN).select(F.explode(F.expr(_winnowed("g"))).alias("f"))
     prints = prints.unionAll(windows.where(F.col("n") < SPAN).select(F.col("w").alias("f"))).distinct()
 
@@ -95,9 +106,10 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = again.join(wanted, same(again, wanted), "left_semi").withColumn("h", word_hashes(F.col("text")))
     shown = None
     for n in lengths:
-        at = again.select("doc_id", "text_hash", F.lit(n).alias("n"), F.posexplode(F.expr(_grams("h", n))).alias("at", "w"))
+        at = again.select("doc_id", "text_hash", F.lit(n).alias("n"), F.posexplode(F.expr(_windows("h", n))).alias("at", "x"))
         shown = at if shown is None else shown.unionAll(at)
-    hits = shown.join(_sized(windows), ["n", "w"]).groupBy("doc_id", "text_hash").agg(
+    shown = shown.select("doc_id", "text_hash", "n", "at", "x.w", "x.v")
+    hits = shown.join(_sized(windows, F.size("items")), ["n", "w", "v"]).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     covered = """aggregate(spans, named_struct('n', 0L, 'end', 0L), (a, x) -> named_struct(
