@@ -8,7 +8,8 @@ covers go. The list becomes one ordered Spark conditional expression, so it runs
 Learning takes at most about MAX_ROWS labelled rows, chosen by a hash of doc_id, of which only numbers reach the driver.
 
 Defined cases: null and empty texts have no words, fail the base test and so aren't kept; ratios without a denominator
-are 0; without labels of both kinds the list is empty and the base test decides; repeated label rows count once each.
+are 0; without labels of both kinds the list is empty and the base test decides; of repeated labels of an id the highest counts,
+of its texts the least; ids of any size stay as they are, further columns are not read.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import text_slices
+
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 UPPERCASE = bytes(range(65, 91))
@@ -78,13 +81,15 @@ def measurements(docs: DataFrame, *keep: str) -> DataFrame:
     keep = ("doc_id", *keep)
 
     def run(batches):
-        for pdf in batches:
-            rows = [measure(t or "") for t in pdf["text"]]
-            out = pd.DataFrame(rows, columns=[*COUNTS, *RATIOS]) if rows else pd.DataFrame(columns=[*COUNTS, *RATIOS])
-            yield pd.concat([pdf[list(keep)].reset_index(drop=True), out], axis=1)
+        for batch in batches:
+            for a, texts in text_slices(batch.column("text")):
+                columns = list(zip(*map(measure, texts)))
+                kept = [batch.column(c).slice(a, len(texts)) for c in keep]
+                numbers = [pa.array(x, pa.int64() if i < len(COUNTS) else pa.float64()) for i, x in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([*kept, *numbers], names=[*keep, *COUNTS, *RATIOS])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATIOS]
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join(kinds))
+    return docs.select(*keep, "text").mapInArrow(run, ", ".join(kinds))
 
 
 @dataclass(frozen=True)
@@ -171,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Ru
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     n = known.count()
     near = F.abs(F.xxhash64("doc_id") % 1_000_000) < int(1_000_000 * min(1.0, max_rows / max(n, 1)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.where(near)), "doc_id")
+    known = known.where(near).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
     rows = measurements(sample, "quality").select("doc_id", "quality", *RATIOS, "n_words").toPandas().sort_values("doc_id")
     features = [*RATIOS, "n_words"]
     return learn({f: rows[f].to_numpy(dtype=float) for f in features}, rows["quality"].to_numpy() == 0)

@@ -12,7 +12,8 @@ procedure over all runs of the corpus bounds the share of false discoveries by F
 p-values, a table of at most LENGTHS * BINS rows.
 
 Defined cases: null texts are empty and have no spans; texts of any length are scanned whole; ties in start go by kind as
-listed; repeated rows repeat; an empty table gives no row.
+listed; repeated rows repeat; an empty table gives no row; ids of any size stay as they are; find() reads no further column,
+redact() passes all through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import materialize, text_chunks
+from graphloom.llm.common import materialize, text_slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -95,9 +96,8 @@ def fit_letters(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros((26, 26), dtype=np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in text_chunks(texts):
-                total += bigrams(texts[a:b])
+            for _, texts in text_slices(batch.column(0)):
+                total += bigrams(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(676)), pa.array(total.ravel())], names=["pair", "n"])
 
     counts = np.zeros(676)
@@ -189,17 +189,20 @@ CANDIDATE = "array<struct<start:int,end:int,length:int,bin:int>>"
 def scan(docs: DataFrame, letters: np.ndarray) -> DataFrame:
     """doc_id, base (spans of the patterns) and runs (tested candidates) of every document, in one pass."""
 
+    spans = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "kind", "end")]))
+    tested = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "length", "bin")]))
+
     def run(batches):
-        for pdf in batches:
-            base, runs = [], []
-            for t in pdf["text"]:
-                found = base_spans(t) if t else []
-                base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                runs.append([{"start": a, "end": b, "length": n, "bin": p} for a, b, n, p in (candidates(t, found, letters) if t else [])])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "base": base, "runs": runs})
+        for batch in batches:
+            for at, texts in text_slices(batch.column("text")):
+                base = [base_spans(t) for t in texts]
+                runs = [[{"start": a, "end": b, "length": n, "bin": p} for a, b, n, p in candidates(t, found, letters)] for t, found in zip(texts, base)]
+                base = [[{"start": s, "kind": k, "end": e} for s, k, e in found] for found in base]
+                ids = batch.column("doc_id").slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(base, spans), pa.array(runs, tested)], names=["doc_id", "base", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base {SPAN}, runs {CANDIDATE}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPAN}, runs {CANDIDATE}")
 
 
 def discovery_cuts(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:

@@ -8,7 +8,8 @@ Fitting takes at most about `max_rows` labelled rows of the training fold, chose
 `BUCKETS` rows and the kept features at most `MAX_FEATURES`, so the driver's share is bounded.
 
 Defined cases: null and empty texts get the score of a text without any feature; with labels of one kind only, every
-score is that kind's share, smoothed; repeated label rows count once each; null ids never teach.
+score is that kind's share, smoothed; of repeated labels of an id the highest counts, of its texts the least; null ids never
+teach; ids of any size stay as they are, further columns are not read.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks
+from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks, text_slices
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -76,7 +78,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     known = labels.where(F.col("toxic").isNotNull() & in_training_fold(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     n = known.count()
     near = F.abs(F.xxhash64("doc_id") % 1_000_000) < int(1_000_000 * min(1.0, max_rows / max(n, 1)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.where(near)), "doc_id").select("text", "y")
+    known = known.where(near).groupBy("doc_id").agg(F.max("y").alias("y"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    sample = sample.select("text", "y")
 
     def count(batches):
         for pdf in batches:
@@ -162,15 +166,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for pdf in batches:
-            texts = _texts(pdf)
-            for a, b in text_chunks(texts):
-                row, f = _present(texts[a:b], model.place)
-                z = np.bincount(row, weights=model.weight[f], minlength=b - a) + model.bias
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
+        for batch in batches:
+            for a, texts in text_slices(batch.column("text")):
+                row, f = _present(texts, model.place)
+                z = np.bincount(row, weights=model.weight[f], minlength=len(texts)) + model.bias
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["doc_id", "score"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
