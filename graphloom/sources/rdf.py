@@ -1,4 +1,4 @@
-"""RDF text: N-Triples and N-Quads distributed, Turtle and TriG for files of configuration size, and writers."""
+"""RDF text: N-Triples and N-Quads distributed; Turtle, TriG, N3, RDF/XML and JSON-LD as whole documents, one a task; writers."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from graphloom.functions import terms
 from graphloom.functions.terms import LANG_STRING, PREFIXES, RDF, STRING
 from graphloom.plans.sparql import Node, Parser, Pattern, UnsupportedSparql, Var, unquote
 from graphloom.sources.quads import COLUMNS, SCHEMA, set_of
+from graphloom.sources.syntaxes import DocumentError, parse_jsonld, parse_rdfxml, to_jsonld, to_rdfxml, to_trig
 
-#: Syntaxes by file extension; anything else is N-Triples.
-SYNTAXES = {"nt": "nquads", "nq": "nquads", "ttl": "turtle", "n3": "turtle", "trig": "turtle"}
+#: Syntaxes by file extension. Any other is RDF/XML; a path without one, such as a folder that write() made, is N-Quads.
+SYNTAXES = {"nt": "nquads", "nq": "nquads", "txt": "nquads", "ttl": "turtle", "n3": "turtle", "trig": "turtle", "jsonld": "jsonld"}
 
 IRI, BLANK = r"<[^<>\s]*>", r"_:[^\s<>\"]+"
 LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
@@ -146,20 +147,51 @@ def from_turtle(spark: SparkSession, text: str, prefixes: dict[str, str] | None
     return set_of(spark.createDataFrame(parse_turtle(text, prefixes), SCHEMA))
 
 
+def syntax_of(path: str) -> str:
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return SYNTAXES.get(name.rsplit(".", 1)[-1].lower(), "rdfxml") if "." in name else "nquads"
+
+
+def parse(text: str, syntax: str) -> list[tuple]:
+    """Rows of quads of one document; RdfParseError where it isn't in the syntax."""
+    try:
+        return {"turtle": parse_turtle, "rdfxml": parse_rdfxml, "jsonld": parse_jsonld}[syntax](text)
+    except DocumentError as e:
+        raise RdfParseError(str(e)) from e
+
+
 def read(spark: SparkSession, path: str, syntax: str | None = None, strict: bool = True) -> DataFrame:
-    """Quads of a file or glob. N-Quads read in parallel; Turtle files whole, each in one task."""
-    syntax = syntax or SYNTAXES.get(path.rsplit(".", 1)[-1].lower(), "nquads")
+    """Quads of a file or glob. N-Quads read in parallel; documents of other syntaxes whole, each in one task. Blank nodes of
+    different documents stay apart: their labels get the document's number before them."""
+    syntax = syntax or syntax_of(path)
     if syntax == "nquads":
         return from_lines(spark.read.text(path), strict=strict)
 
     def run(batches):
-        import pandas as pd
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = hashlib.md5(text.encode()).hexdigest()[:12] + "-"
+                rows = [(g, own + s if k == "bnode" else s, k, p, own + o if ok == "bnode" else o, ok, dt, lang) for g, s, k, p, o, ok, dt, lang in parse(text, syntax)]
+                columns = list(zip(*rows)) or [()] * len(COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(COLUMNS))
+
+    return set_of(spark.read.text(path, wholetext=True).mapInArrow(run, SCHEMA))
 
-        for pdf in batches:
-            for i, text in enumerate(pdf["value"]):
-                yield pd.DataFrame(parse_turtle(text), columns=list(COLUMNS))
 
-    return set_of(spark.read.text(path, wholetext=True).mapInPandas(run, SCHEMA))
+def document(quads: DataFrame, syntax: str, prefixes: dict[str, str] | None = None) -> str:
+    """One document of a graph of configuration size, written by the driver: turtle (TriG where graphs are named), rdfxml, jsonld
+    or nquads."""
+    if syntax == "nquads":
+        return "".join(r["value"] + "\n" for r in to_lines(set_of(quads)).orderBy("value").collect())
+    return _text([tuple(r) for r in set_of(quads).select(*COLUMNS).collect()], syntax, prefixes)
+
+
+def _text(rows: list[tuple], syntax: str, prefixes: dict[str, str] | None) -> str:
+    return to_jsonld(rows) if syntax == "jsonld" else {"turtle": to_trig, "rdfxml": to_rdfxml}[syntax](rows, prefixes)
 
 
 def to_lines(quads: DataFrame) -> DataFrame:
@@ -169,8 +201,28 @@ def to_lines(quads: DataFrame) -> DataFrame:
     return quads.select(F.concat(terms.ntriples(s), F.lit(" <"), F.col("p"), F.lit("> "), terms.ntriples(o), g, F.lit(" .")).alias("value"))
 
 
-def write(quads: DataFrame, path: str, mode: str = "error") -> None:
-    to_lines(quads).write.mode(mode).text(path)
+def write(quads: DataFrame, path: str, mode: str = "error", syntax: str = "nquads", documents: int = 1, prefixes: dict[str, str] | None = None) -> None:
+    """N-Quads lines, or so many documents of another syntax: each holds whole subjects, and is one task's memory. Subjects that
+    share a blank node must be in one document, so graphs with blank nodes are one."""
+    if syntax == "nquads":
+        to_lines(quads).write.mode(mode).text(path)
+        return
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([_text(rows, syntax, prefixes)])], names=["value"])
+
+    rows = set_of(quads).select(*COLUMNS)
+    if documents > 1:
+        if rows.where((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode")).limit(1).count():
+            raise ValueError("a graph with blank nodes is one document")
+        rows = rows.repartition(documents, "s")
+    else:
+        rows = rows.repartition(1)
+    rows.mapInArrow(run, "value string").write.mode(mode).text(path)
 
 
-__all__ = ["PREFIXES", "RdfParseError", "from_lines", "from_turtle", "parse_node", "parse_turtle", "read", "to_lines", "write"]
+__all__ = ["PREFIXES", "RdfParseError", "document", "from_lines", "from_turtle", "parse", "parse_node", "parse_turtle", "read", "to_lines", "write"]
