@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.sources.quads import set_of
+from graphloom.sources.shared import cut
 
 SKOLEM = "/.well-known/genid/"
 
@@ -30,8 +33,6 @@ def blank_digests(quads: DataFrame, max_depth: int = 64) -> DataFrame:
 
     One join and one aggregation a level of nesting; raises where nodes are left that never become ready (a cycle).
     """
-    from graphloom.operators.rules import cut
-
     own = set_of(quads).where(F.col("s_kind") == "bnode")
     nodes = set_of(quads).select(F.explode(F.array(F.when(F.col("s_kind") == "bnode", F.col("s")), F.when(F.col("o_kind") == "bnode", F.col("o")))).alias("node")).where("node is not null").distinct()
     done = cut(nodes.join(own.select(F.col("s").alias("node")), "node", "left_anti").select("node", F.sha2(F.lit(""), 256).alias("digest")))
@@ -68,7 +69,66 @@ def model_digest(quads: DataFrame, by: list[str] | None = None) -> DataFrame:
     roots = quads.join(inner.select("s").distinct().withColumn("_in", F.lit(True)), "s", "left").where((F.col("s_kind") == "iri") | F.col("_in").isNull())
     rows = roots.join(d, (F.col("o_kind") == "bnode") & (F.col("o") == F.col("node")), "left")
     one = F.sha2(F.concat(F.coalesce("digest", F.lit("")), triple_text()), 256)
-    return rows.select(*by, one.alias("d")).groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("digest"))
+    return joined_sha256(rows.select(*by, one.alias("d")), "d", by)
+
+
+def joined_sha256(texts: DataFrame, column: str, by: list[str], order: list[Column] | None = None, between: str = "") -> DataFrame:
+    """by and digest: the SHA-256 of the texts of each value of by, in order (their own by default), one after another.
+
+    SHA-256 needs its input in one sequence, but not at once: sorted partitions stream through it. Without by the sort itself
+    is parallel, and the driver streams over its partitions in blocks of texts.
+    """
+    spark, order = texts.sparkSession, order or [F.col(column)]
+    gap = between.encode()
+    if not by:
+
+        def blocks(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([gap.join(x.encode() for x in batch.column(0).to_pylist())], pa.binary())], names=["b"])
+
+        sha, first = hashlib.sha256(), True
+        for r in texts.orderBy(*order).select(column).mapInArrow(blocks, "b binary").toLocalIterator():
+            sha.update(r["b"] if first else gap + r["b"])
+            first = False
+        return spark.createDataFrame([(sha.hexdigest(),)], "digest string")
+
+    keys = [f"k{i}" for i in range(len(by))]
+    flat = texts.select(F.to_json(F.struct(*by)).alias("key"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(column).alias("text"), F.struct(*order).alias("place"))
+    dealt = flat.repartition("key").sortWithinPartitions("key", "place").drop("place")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, sha, at = None, None, None
+
+        def told():
+            return pa.RecordBatch.from_arrays([*(c.slice(0, 1) for c in at), pa.array([sha.hexdigest()])], names=[*keys, "digest"])
+
+        for batch in batches:
+            for i, (k, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist())):
+                if sha is None or k != key:
+                    if sha is not None:
+                        yield told()
+                    key, sha, at = k, hashlib.sha256(text.encode()), [batch.column(c).slice(i, 1) for c in keys]
+                else:
+                    sha.update(gap + text.encode())
+        if sha is not None:
+            yield told()
+
+    schema = ", ".join(f"{k} {flat.schema[k].dataType.simpleString()}" for k in keys) + ", digest string"
+    return dealt.mapInArrow(run, schema).withColumnsRenamed(dict(zip(keys, by)))
+
+
+def model_hash(quads: DataFrame) -> DataFrame:
+    """One row with hash: xor_hash() of a graph without blank nodes, the SHA-256 of its sorted Turtle with some."""
+    quads = set_of(quads)
+    if not quads.where((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode")).limit(1).count():
+        return xor_hash(quads)
+    blocks = sorted_turtle(quads, sort=False)
+    return joined_sha256(blocks, "text", [], [F.col("rank"), F.col("s")], between="\n\n").withColumnRenamed("digest", "hash")
 
 
 def xor_hash(quads: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -104,6 +164,19 @@ def canonical_sort(quads: DataFrame) -> DataFrame:
     return relabel(quads).orderBy(*canonical_order())
 
 
+def canonical_ranks(quads: DataFrame) -> DataFrame:
+    """Distinct quads, blank nodes relabelled, with n: the place in canonical order, from 1.
+
+    A rank is the size of the partitions before in the parallel sort plus the place in its own, so the one window over all
+    has a row a partition.
+    """
+    rows = cut(canonical_sort(quads).withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = rows.join(F.broadcast(before.select("part", "first", F.coalesce("before", F.lit(0)).alias("before"))), "part")
+    return placed.withColumn("n", F.col("before") + F.col("id") - F.col("first") + 1).drop("part", "id", "first", "before")
+
+
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:
     return model_digest(a).first() == model_digest(b).first()
 
@@ -126,12 +199,20 @@ def deskolemize(quads: DataFrame, base: str = "urn:skolem") -> DataFrame:
     return quads.select("g", back(s, sk).alias("s"), kind(s, sk).alias("s_kind"), "p", back(o, ok).alias("o"), kind(o, ok).alias("o_kind"), "o_dt", "o_lang")
 
 
-def sorted_turtle(quads: DataFrame) -> DataFrame:
-    """(subject, text) in order: one Turtle block a subject, its predicates and objects sorted."""
+def sorted_turtle(quads: DataFrame, sort: bool = True) -> DataFrame:
+    """(rank, s, subject, text) in order: one Turtle block a subject, its predicates and objects in canonical order.
+
+    Predicates stand under each other, padded to the longest; objects of one stand under each other, too.
+    """
     rows = relabel(quads)
     s, o = terms.term(F.col("s_kind"), F.col("s")), terms.term(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
-    objects = rows.select("s_kind", "s", terms.ntriples(s).alias("subject"), "p", terms.ntriples(o).alias("object")).groupBy("s_kind", "s", "subject", "p")
-    objects = objects.agg(F.array_join(F.array_sort(F.collect_set("object")), " , ").alias("objects"))
-    blocks = objects.groupBy("s_kind", "s", "subject").agg(F.array_sort(F.collect_list(F.concat(F.lit("<"), F.col("p"), F.lit("> "), F.col("objects")))).alias("lines"))
-    text = F.concat("subject", F.lit("\n    "), F.array_join("lines", " ;\n    "), F.lit(" .\n"))
-    return blocks.orderBy(F.when(F.col("s_kind") == "iri", 0).otherwise(1), "s").select("subject", text.alias("text"))
+    place = F.struct(F.when(F.col("o_kind") == "iri", 0).when(F.col("o_kind") == "lit", 1).otherwise(2).alias("k"), "o_lang", "o_dt", "o", terms.ntriples(o).alias("text"))
+    rank = F.when(F.col("s_kind") == "iri", 0).otherwise(1).alias("rank")
+    lines = rows.groupBy(rank, "s", terms.ntriples(s).alias("subject"), "p").agg(F.array_sort(F.collect_set(place)).alias("objects"))
+    short = F.when(F.col("p") == terms.RDF_TYPE, F.lit("a")).otherwise(F.concat(F.lit("<"), F.col("p"), F.lit(">")))
+    lines = lines.select("rank", "s", "subject", F.struct("p", short.alias("name"), F.col("objects.text").alias("objects")).alias("line"))
+    blocks = lines.groupBy("rank", "s", "subject").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    text = F.expr("""concat(subject, '\n', array_join(transform(lines, x -> concat(rpad(x.name, width + 1, ' '), array_join(transform(x.objects,
+        (o, i) -> concat(if(i = 0, '', repeat(' ', width + 1)), ' ', o, if(i + 1 < size(x.objects), ',', ';'), '\n')), ''))), ''), '.')""")
+    blocks = blocks.withColumn("width", F.expr("array_max(transform(lines, x -> length(x.name)))")).select("rank", "s", "subject", text.alias("text"))
+    return blocks.orderBy("rank", "s") if sort else blocks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from graphloom.plans import compiler
 from graphloom.plans.sparql import Node
 from graphloom.sources import rdf
 from graphloom.sources.quads import TRIPLE, TableSource, UnionSource, difference, prefix_map, set_of, union
+from graphloom.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,10 +215,10 @@ def delta_add_remove(spark, sf_dir):
 SQL["delta_add_remove"] = SQL["delta_add_remove"].replace("cast(c_acctbal + 1 as varchar)", "c_acctbal + 1").replace("cast(c_acctbal as varchar)", "c_acctbal")
 
 
-@query("select concat('urn:nation:', n_nationkey) as s from nation where n_regionkey <> 1")
+@query("select concat('urn:customer:', c_custkey) as s from customer where c_nationkey <> 1")
 def diff_snapshots(spark, sf_dir):
-    a = graph(spark, sf_dir, "nation").scan(["urn:nation#n_regionkey"])
-    return difference(a, a.where(F.col("o") == "urn:region:1")).select("s")
+    a = graph(spark, sf_dir, "customer").scan(["urn:customer#c_nationkey"])
+    return difference(a, a.where(F.col("o") == "urn:nation:1")).select("s")
 
 
 @query("""select concat('urn:customer:', c_custkey) as s, case when c_mktsegment = 'BUILDING' then 'urn:customer#segment' else 'urn:customer#c_mktsegment' end as p, c_mktsegment as o from customer
@@ -230,10 +232,10 @@ def insert_delete_where(spark, sf_dir):
     return rules.run_updates(g, chain, {"segment": "BUILDING"}, P).select("s", "p", "o")
 
 
-@query("select concat('urn:moved') as g, count(*) as n from nation")
+@query("select concat('urn:moved') as g, count(*) as n from customer")
 def move_and_clear_graphs(spark, sf_dir):
-    g = TableSource(spark, sf_dir, ("nation", "region"), graph=lambda t: F.lit(f"urn:graph:{t}")).scan([RDF_TYPE])
-    g = compiler.update(g, "MOVE GRAPH <urn:graph:nation> TO GRAPH <urn:moved> ; CLEAR GRAPH <urn:graph:region>")
+    g = TableSource(spark, sf_dir, ("customer", "region"), graph=lambda t: F.lit(f"urn:graph:{t}")).scan([RDF_TYPE])
+    g = compiler.update(g, "MOVE GRAPH <urn:graph:customer> TO GRAPH <urn:moved> ; CLEAR GRAPH <urn:graph:region>")
     return g.groupBy("g").agg(F.count("*").alias("n"))
 
 
@@ -277,15 +279,15 @@ def path_loader(spark, sf_dir):
     return access.load_paths(src, profile(), "Customer", roots, paths=["nation.name"]).select("s", "p").distinct()
 
 
-@query("select concat('urn:customer:', k) as id, c_custkey is not null as exists from (select unnest([1, 2, 999999999, -5]) as k) left join customer on c_custkey = k")
+@query("select concat('urn:customer:', k) as id, c_custkey is not null as exists from (select distinct o_custkey as k from orders union select -o_custkey from orders) left join customer on c_custkey = k")
 def bulk_existence(spark, sf_dir):
     from graphloom.sources.store import QuadStore
 
     src = graph(spark, sf_dir, "customer")
-    ids = spark.range(1).select(F.explode(F.array(*[F.lit(f"urn:customer:{k}") for k in (1, 2, 999999999, -5)])).alias("id"))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.explode(F.array("o_custkey", -F.col("o_custkey"))).alias("k")).distinct()
     store = QuadStore(spark)
     store.scan = src.scan
-    return store.check_existing(ids)
+    return store.check_existing(keys.select(F.concat(F.lit("urn:customer:"), F.col("k").cast("string")).alias("id")))
 
 
 # B: validation, shapes
@@ -357,24 +359,27 @@ class _Without:
         return self.source.scan(predicates).where(F.col("p") != self.predicate)
 
 
-@query("""select concat('urn:nation:', n_nationkey) as id, '{"data":{"uri":"urn:nation:' || n_nationkey || '","type":"Nation","attributes":{"name":{"xsd:string":"' || n_name || '"}}},"included":[]}' as json from nation""")
+@query("""select concat('urn:customer:', c_custkey) as id, '{"data":{"uri":"urn:customer:' || c_custkey || '","type":"Customer","attributes":{"name":{"xsd:string":"' || c_name || '"}}},"included":[]}' as json from customer""")
 def json_documents(spark, sf_dir):
-    src = graph(spark, sf_dir, "nation")
-    part = search_index.Partition("nations", ("SELECT ?n WHERE { ?n a <urn:nation> }",), ("CONSTRUCT { ?n a <urn:nation> ; nation:n_name ?x } WHERE { ?n nation:n_name ?x }",))
+    src = graph(spark, sf_dir, "customer")
+    part = search_index.Partition("customers", ("SELECT ?n WHERE { ?n a <urn:customer> }",), ("CONSTRUCT { ?n a <urn:customer> ; customer:c_name ?x } WHERE { ?n customer:c_name ?x }",))
     return search_index.build(src, [part], doc_profile(profile()), P | dict(terms.PREFIXES)).select("id", "json")
 
 
-@query("""select concat('urn:nation:', n_nationkey) as s, 'urn:nation#n_name' as p, n_name as o from nation union all select concat('urn:nation:', n_nationkey), 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:nation' from nation""")
+@query("""select concat('urn:customer:', c_custkey) as s, 'urn:customer#' || k as p, v as o from (select c_custkey, unnest(['c_name', 'c_mktsegment', 'c_nationkey']) as k, unnest([c_name, c_mktsegment, concat('urn:nation:', c_nationkey)]) as v from customer)
+union all select concat('urn:customer:', c_custkey), 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:customer' from customer
+union all select distinct concat('urn:nation:', n_nationkey), k, v from (select n_nationkey, unnest(['urn:nation#n_name', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) as k, unnest([n_name, 'urn:nation']) as v from nation semi join customer on n_nationkey = c_nationkey)""")
 def json_round_trip(spark, sf_dir):
-    src = graph(spark, sf_dir, "nation")
+    """Customers to documents, with their nations nested in them, and back."""
+    src = graph(spark, sf_dir, "customer", "nation")
     d = doc_profile(profile())
-    rows = documents.to_rows(src, d, access.find_all(src, profile(), "Nation"))
-    return documents.from_json(documents.to_json(rows), d).select("s", "p", "o")
+    rows = documents.to_rows(src, d, access.find_all(src, profile(), "Customer"))
+    return documents.from_json(documents.to_json(rows), d).select("s", "p", "o").distinct()
 
 
-@query("select concat('urn:nation:', n_nationkey) as s, concat('urn:nation#', c) as p from nation, (select unnest(['n_nationkey', 'n_regionkey']) as c)")
+@query("select concat('urn:customer:', c_custkey) as s, concat('urn:customer#', c) as p from customer, (select unnest(['c_custkey', 'c_acctbal']) as c)")
 def conversion_report(spark, sf_dir):
-    return documents.uncovered(graph(spark, sf_dir, "nation"), doc_profile(profile())).select("s", "p")
+    return documents.uncovered(graph(spark, sf_dir, "customer"), doc_profile(profile())).select("s", "p")
 
 
 @query("""select concat('urn:customer:', c_custkey) as root, 'orders.' || o_orderpriority as path, cast(o_orderkey as varchar) as value, true as is_list from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING'
@@ -404,40 +409,89 @@ def json_diff_props(spark, sf_dir):
 # B: canonical forms
 
 
-@query("""select 'urn:nation' as t, count(*) as n from nation union all select 'urn:region', count(*) from region""")
-def ntriples_round_trip(spark, sf_dir):
-    src = graph(spark, sf_dir, "nation", "region")
-    lines = rules.cut(rdf.to_lines(src.scan(None)))
-    back = rdf.from_lines(lines)
-    lost = difference(set_of(src.scan(None)), back)
+ROUND_TRIP = """select 'urn:customer' as t, count(*) as n from customer union all select 'urn:nation', count(*) from nation"""
+
+
+def _same_graph(graph_: DataFrame, back: DataFrame) -> DataFrame:
+    """Instances of each type of a graph that was read back; none at all where a quad got lost or came."""
+    lost = union(difference(graph_, back), difference(back, graph_))
     typed = back.where(F.col("p") == RDF_TYPE).groupBy(F.col("o").alias("t")).agg(F.count("*").alias("n"))
     return typed.join(lost.groupBy().agg(F.count("*").alias("lost")), F.col("lost") == 0, "left_semi")
 
 
-HASH_TEXT = "'<urn:nation:' || n_nationkey || '> <urn:nation#n_name> \"' || n_name || '\"'"
+@query(ROUND_TRIP)
+def ntriples_round_trip(spark, sf_dir):
+    g = set_of(graph(spark, sf_dir, "customer", "nation").scan(None))
+    return _same_graph(g, rdf.from_lines(rules.cut(rdf.to_lines(g))))
+
+
+def _documents_round_trip(spark: SparkSession, sf_dir: str, syntax: str) -> DataFrame:
+    g = set_of(graph(spark, sf_dir, "customer", "nation").scan(None))
+    path = f"{shared_dir(spark)}/graphloom/{syntax}-{uuid.uuid4().hex}"
+    rdf.write(g, path, syntax=syntax, documents=max(2, g.count() // 100_000), prefixes=P)
+    return _same_graph(g, rdf.read(spark, path, syntax))
+
+
+@query(ROUND_TRIP)
+def rdfxml_round_trip(spark, sf_dir):
+    return _documents_round_trip(spark, sf_dir, "rdfxml")
+
+
+@query(ROUND_TRIP)
+def jsonld_round_trip(spark, sf_dir):
+    return _documents_round_trip(spark, sf_dir, "jsonld")
 
 
-@query("select " + " || ".join(f"lpad(format('{{:x}}', bit_xor(('0x' || substr(sha256({HASH_TEXT}), {1 + 8 * i}, 8))::BIGINT)), 8, '0')" for i in range(8)) + " as hash from nation")
+@query(ROUND_TRIP)
+def turtle_round_trip(spark, sf_dir):
+    return _documents_round_trip(spark, sf_dir, "turtle")
+
+
+HASH_TEXT = "'<urn:customer:' || c_custkey || '> <urn:customer#c_name> \"' || c_name || '\"'"
+
+
+@query("select " + " || ".join(f"lpad(format('{{:x}}', bit_xor(('0x' || substr(sha256({HASH_TEXT}), {1 + 8 * i}, 8))::BIGINT)), 8, '0')" for i in range(8)) + " as hash from customer")
 def graph_hash_xor(spark, sf_dir):
-    return canon.xor_hash(graph(spark, sf_dir, "nation").scan(["urn:nation#n_name"]))
+    return canon.model_hash(graph(spark, sf_dir, "customer").scan(["urn:customer#c_name"]))
 
 
-@query(f"select sha256(string_agg(sha256({HASH_TEXT}), '' order by sha256({HASH_TEXT}))) as digest from nation")
+@query(f"select sha256(string_agg(sha256({HASH_TEXT}), '' order by sha256({HASH_TEXT}))) as digest from customer")
 def graph_digest(spark, sf_dir):
-    return canon.model_digest(graph(spark, sf_dir, "nation").scan(["urn:nation#n_name"]))
+    return canon.model_digest(graph(spark, sf_dir, "customer").scan(["urn:customer#c_name"]))
 
 
-@query("select concat('urn:region:', r_regionkey) as s, r_name as o, row_number() over (order by concat('urn:region:', r_regionkey)) as n from region")
-def canonical_sort(spark, sf_dir):
-    from pyspark.sql import Window
+def _blank_orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Customers that have orders, which are blank nodes with some of their columns."""
+    o, lit = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.lit
+    label, none = F.concat(lit("o"), F.col("o_orderkey").cast("string")), lit(None).cast("string")
+    quad = lambda s, sk, p, x, xk, dt: o.select(none.alias("g"), s.alias("s"), lit(sk).alias("s_kind"), lit(p).alias("p"), x.alias("o"), lit(xk).alias("o_kind"), lit(dt).alias("o_dt"), lit("").alias("o_lang"))
+    has = quad(F.concat(lit("urn:customer:"), F.col("o_custkey").cast("string")), "iri", "urn:has", label, "bnode", "")
+    return union(has, *[quad(label, "bnode", f"urn:orders#{c}", F.col(c), "lit", STRING) for c in columns])
+
 
-    g = canon.relabel(graph(spark, sf_dir, "region").scan(["urn:region#r_name"]))
-    return g.select("s", "o", F.row_number().over(Window.partitionBy("p").orderBy(*canon.canonical_order())).cast("long").alias("n"))
+@query("""with b as (select o_custkey, sha256(string_agg(t, '' order by t)) as d from (select o_orderkey, o_custkey, unnest([sha256(' <urn:orders#o_orderstatus> "' || o_orderstatus || '"'), sha256(' <urn:orders#o_orderpriority> "' || o_orderpriority || '"')]) as t from orders) group by o_orderkey, o_custkey),
+r as (select sha256(d || '<urn:customer:' || o_custkey || '> <urn:has> ') as t from b) select sha256(string_agg(t, '' order by t)) as digest from r""")
+def blank_graph_digest(spark, sf_dir):
+    return canon.model_digest(_blank_orders(spark, sf_dir, "o_orderstatus", "o_orderpriority"))
+
+
+@query("""with b as (select distinct o_custkey, o_orderstatus as v, sha256(sha256(' <urn:orders#o_orderstatus> "' || o_orderstatus || '"')) as d from orders), w as (select max(length('<urn:orders#o_orderstatus>')) + 1 as k),
+t as (select 0 as r, 'urn:customer:' || o_custkey as s, '<urn:customer:' || o_custkey || '>' || chr(10) || '<urn:has> ' || string_agg(' _:' || d, ',' || chr(10) || '          ' order by d) || ';' || chr(10) || '.' as x from b group by o_custkey
+union all select distinct 1, d, '_:' || d || chr(10) || '<urn:orders#o_orderstatus>  "' || v || '";' || chr(10) || '.' from b) select sha256(string_agg(x, chr(10) || chr(10) order by r, s)) as hash from t""")
+def blank_graph_hash(spark, sf_dir):
+    return canon.model_hash(_blank_orders(spark, sf_dir, "o_orderstatus"))
+
+
+@query("""with b as (select distinct o_custkey, o_orderpriority as v, sha256(sha256(' <urn:orders#o_orderpriority> "' || o_orderpriority || '"')) as d from orders),
+t as (select 0 as r, concat('urn:customer:', o_custkey) as s, 'urn:has' as p, d as o from b union all select distinct 1, d, 'urn:orders#o_orderpriority', v from b)
+select s, p, o, row_number() over (order by r, s, p, o) as n from t""")
+def canonical_sort(spark, sf_dir):
+    return canon.canonical_ranks(_blank_orders(spark, sf_dir, "o_orderpriority")).select("s", "p", "o", F.col("n").cast("long").alias("n"))
 
 
-@query("select concat('urn:skolem/.well-known/genid/n', n_nationkey) as s, n_name as o from nation")
+@query("select concat('urn:skolem/.well-known/genid/n', c_custkey) as s, c_name as o from customer")
 def skolem_iris(spark, sf_dir):
-    g = graph(spark, sf_dir, "nation").scan(["urn:nation#n_name"])
+    g = graph(spark, sf_dir, "customer").scan(["urn:customer#c_name"])
     blank = g.withColumn("s_kind", F.lit("bnode")).withColumn("s", F.concat(F.lit("n"), F.regexp_extract("s", r"(\d+)$", 1)))
     return canon.skolemize(blank).select("s", "o")
 
@@ -520,14 +574,17 @@ def role_permissions(spark, sf_dir):
 # B: sync, index
 
 
-@query("""with s as (select o_orderkey as k, cast(o_totalprice as varchar) as v from orders where o_orderkey % 5 <> 0), t as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'old' else cast(o_totalprice as varchar) end as v from orders where o_orderkey % 3 <> 0)
-select concat('urn:g:', coalesce(s.k, t.k)) as graph, case when s.k is null then 'delete' when s.v = t.v then 'none' else 'update' end as action from s full join t on s.k = t.k""")
+@query("""with s as (select o_orderkey as k, cast(o_totalprice as varchar) as v from orders), t as (select l_orderkey as k, case when max(l_returnflag) = 'R' then 'old' else cast(o_totalprice as varchar) end as v from lineitem join orders on o_orderkey = l_orderkey group by l_orderkey, o_totalprice union all select -c_custkey, c_name from customer)
+select concat('urn:g:', coalesce(s.k, t.k)) as graph, case when s.k is null then 'delete' when t.k is null then 'update' when s.v = t.v then 'none' else 'update' end as action from s full join t on s.k = t.k""")
 def sync_actions(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    g, v, k = F.concat(F.lit("urn:g:"), F.col("o_orderkey").cast("string")).alias("graph"), F.col("o_totalprice").cast("string"), F.col("o_orderkey")
-    source = o.where(k % 5 != 0).select(g, v.alias("stamp"))
-    target = o.where(k % 3 != 0).select(g, F.when(k % 7 == 0, "old").otherwise(v).alias("stamp"))
-    return sync.sync_actions(source, target).select("graph", "action")
+    """Orders as the source; a target that has stale stamps of those with returned items, lacks those without items, and holds customers."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    iri = lambda k: F.concat(F.lit("urn:g:"), k.cast("string")).alias("graph")
+    source = read("orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("stamp"))
+    stale = read("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.max("l_returnflag") == "R").alias("stale"))
+    target = source.join(stale, "o_orderkey").select(iri(F.col("o_orderkey")), F.when(F.col("stale"), "old").otherwise(F.col("stamp")).alias("stamp"))
+    others = read("customer").select(iri(-F.col("c_custkey")), F.col("c_name").alias("stamp"))
+    return sync.sync_actions(source.select(iri(F.col("o_orderkey")), "stamp"), target.unionByName(others)).select("graph", "action")
 
 
 @query("""select concat('urn:user:', user_id) as id, max(epoch_us(ts) // 1000) as t from events group by user_id having max(epoch_us(ts) // 1000) >= (select min(epoch_us(ts) // 1000) + 1000 from events)""")
