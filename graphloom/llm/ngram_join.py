@@ -262,7 +262,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now = materialize(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
-    mark = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
@@ -272,10 +271,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         old, now = now, materialize(small.distinct(), "edges")
         discard(old, large)
-        new = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == (new["n"], new["x"]):
+        # done where every node is below one root, and no root below another node
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("x")).select("x.*")
+        odd = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least")).where("below > 1 or (below = 1 and least = 0)")
+        if not odd.limit(1).count():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (new["n"], new["x"])
 
 
 def _binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,10 +8,11 @@ least hash of some REACH in a row. Every passage of REACH + STRETCH - 1 = 49 wor
 1.  Banding. A paragraph has MinHash bands of ROWS[0] rows, as many as give a pair at PERCENT the chance RECALL to collide.
     Two stretches of 20 words reach PERCENT only where they differ at the outermost words, so a stretch has one band, of all
     its rows. Units equal word for word count as one class from the start.
-2.  Colliding classes are verified by their exact sets: each against the hub of its lists, then across what is still apart,
-    all pairs in lists of up to LIST classes. Longer lists are banded anew with more rows, and as many more bands as keep
-    RECALL, so classes that share a common passage only part before any pair is formed; with the most rows all pairs are. Of
-    those pairs, only ones form that a bound of the exact similarity, by parity bits of the sets, lets pass.
+2.  Colliding classes are verified by their exact sets: each against the hub of its lists; then, in lists that hold several
+    components, all pairs of different ones, or, with more than LIST classes, each against HUBS of them. Lists that are still
+    open are banded anew with more rows, and as many more bands as keep RECALL, so classes that share a common passage only
+    part before any pair is formed; with the most rows all pairs are. Of all these pairs, only ones form that a bound of the
+    exact similarity, by parity bits of the sets, lets pass.
 3.  Components of the links are groups of near copies. The first occurrence (least doc_id, null last, then row, then place)
     of a group or class stays and all others go. A stretch is compared word by word (by 16 bits of a hash) with the first one
     on both sides, up to REACH words, within which the next stretch begins, so a repeat ends where its copies differ.
@@ -47,8 +48,8 @@ STRETCH, REACH = 20, 30
 LONG, PIECE = 120, 60
 #: Rows of a band, from one level of banding to the next, and the chance of a pair at the threshold to collide.
 ROWS, RECALL = (2, 4, 8), 0.998
-#: Classes of a list of which all pairs are verified.
-LIST = 16
+#: Classes of a list of which all pairs are verified, and the classes of a longer one that all others are held against.
+LIST, HUBS = 16, 4
 #: Most bits of a filter, the bits of one row that reaches the driver, and the places that a key sets.
 FILTER, CHUNK_BITS, PROBES = 1 << 28, 1 << 16, 3
 #: Rows of tokens that a task holds at once.
@@ -351,36 +352,60 @@ def sized_sets(places: DataFrame) -> DataFrame:
 PARITY = ("p0", "p1", "p2", "p3")
 
 
-def link(lists: DataFrame, sets: DataFrame, percent: int, level: int = 0, links: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the components that verified pairs of classes from a list (token, c), and given links, make."""
-    fame = lists.groupBy("c").agg(F.count("*").alias("fame"))
-    hub = lists.join(fame, "c").groupBy("token").agg(F.max(F.struct("fame", "c")).alias("hub")).select("token", F.col("hub.c").alias("h"))
-    met = lists.join(hub, "token").where("c != h").groupBy("c", "h").agg(F.count("*").alias("k"))
-    best = met.groupBy("c").agg(F.max(F.struct("k", "h")).alias("x")).select("c", F.col("x.h").alias("h"))
-    pairs = best.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct()
-    found = verified(pairs, sets, percent)
-    root = components(found if links is None else links.unionAll(found))
-
-    placed = lists.join(root, lists["c"] == root["node"], "left").select("token", "c", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y").select("token", "k")
-    last = level + 1 == len(ROWS)
-    open_ = materialize(placed.join(mixed, "token").join(sets.select("c", "n", *PARITY), "c"), "open")
-    if not open_.limit(1).count():
-        return root
-    near = open_ if last else open_.where(F.col("k") <= LIST)
-    other = near.select("token", *[F.col(x).alias(f"{x}1") for x in ("c", "root", "n", *PARITY)])
-    apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}1"))) for p in PARITY)  # at least so many shingles are in one set only
+def _across(left: DataFrame, right: DataFrame, on, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes of two sides with c, root, n and the parity bits (on the right with a 1 after their names)
+    that are of different components and can reach the similarity: every bit that differs is a shingle of one set alone."""
+    apart = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}1"))) for p in PARITY)
     close = (F.col("n") + F.col("n1") - apart) * (100 + percent) >= (F.col("n") + F.col("n1")) * (2 * percent)
     sizes = F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent
-    across = near.join(other, (near["token"] == other["token"]) & (F.col("c1") > F.col("c")) & (F.col("root1") != F.col("root")) & sizes & close)
-    across = across.select(F.col("c1").alias("a"), F.col("c").alias("b")).distinct()
-    more = materialize(verified(across, sets, percent), "links")
-    now = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
-    far = open_.where(F.col("k") > LIST).select("c").distinct()
-    if not last and far.limit(1).count():
-        deeper = materialize(_banded(sets.join(far, "c", "left_semi"), ROWS[level + 1], percent), "lists")
-        return link(deeper, sets, percent, level + 1, now)
-    return components(now) if more.limit(1).count() else root
+    both = left.join(right, on & (F.col("root1") != F.col("root")) & sizes & close)
+    return both.select(F.greatest("c1", "c").alias("a"), F.least("c1", "c").alias("b")).distinct()
+
+
+def link(lists: DataFrame, sets: DataFrame, percent: int, level: int = 0, root: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components that verified pairs of classes from a list (token, c), and those of root, make."""
+
+    def joined(found: DataFrame, root: DataFrame | None) -> DataFrame:
+        if root is None:
+            return components(found)
+        return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)) if found.limit(1).count() else root
+
+    if root is None:
+        fame = lists.groupBy("c").agg(F.count("*").alias("fame"))
+        hub = lists.join(fame, "c").groupBy("token").agg(F.max(F.struct("fame", "c")).alias("hub")).select("token", F.col("hub.c").alias("h"))
+        met = lists.join(hub, "token").where("c != h").groupBy("c", "h").agg(F.count("*").alias("k"))
+        best = met.groupBy("c").agg(F.max(F.struct("k", "h")).alias("x")).select("c", F.col("x.h").alias("h"))
+        root = joined(verified(best.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct(), sets, percent), None)
+
+    light = [F.col(x) for x in ("c", "root", "n", *PARITY)]
+
+    def opened(lists: DataFrame, root: DataFrame) -> DataFrame:
+        """Rows of the lists that hold several components, with k: how many classes a list has."""
+        placed = lists.join(root, lists["c"] == root["node"], "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+        mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y")
+        return placed.join(mixed.select("token", "k"), "token")
+
+    open_ = materialize(opened(lists, root).join(sets.select("c", "n", *PARITY), "c"), "open")
+    if not open_.limit(1).count():
+        return root
+    long = open_.where(F.col("k") > LIST)
+    side = [x.alias(f"{name}1") for x, name in zip(light, ("c", "root", "n", *PARITY))]
+    near = open_.where(F.col("k") <= LIST)
+    pairs = _across(near, near.select(F.col("token").alias("token1"), *side), (F.col("token") == F.col("token1")) & (F.col("c1") > F.col("c")), percent)
+    picked = [F.max(F.struct(F.xxhash64("c", F.lit(i)).alias("x"), *light)).alias(f"h{i}") for i in range(HUBS)]
+    hubs = long.groupBy("token").agg(*picked).select(F.col("token").alias("token1"), F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("h"))
+    hubs = hubs.select("token1", *[F.col(f"h.{x}").alias(f"{x}1") for x in ("c", "root", "n", *PARITY)]).hint("rebalance")
+    pairs = pairs.unionAll(_across(long, hubs, F.col("token") == F.col("token1"), percent)).distinct()
+    root = joined(materialize(verified(pairs, sets, percent), "links"), root)
+
+    still = materialize(opened(long.drop("root", "k"), root), "open")
+    if not still.limit(1).count():
+        return root
+    if level + 1 < len(ROWS):
+        some = sets.join(still.select("c").distinct(), "c", "left_semi")
+        return link(materialize(_banded(some, ROWS[level + 1], percent), "lists"), sets, percent, level + 1, root)
+    pairs = _across(still, still.select(F.col("token").alias("token1"), *side), (F.col("token") == F.col("token1")) & (F.col("c1") > F.col("c")), percent)
+    return joined(materialize(verified(pairs, sets, percent), "links"), root)
 
 
 def _extend(kind: pa.DataType):
@@ -467,7 +492,7 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     units = units.select("doc_id", "row", "p", "n", "left", "right", F.coalesce("root", "c").alias("g"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("v"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "p", "n", "left", "right")
     heads = units.groupBy("g", "v").agg(F.count("*").alias("k"), F.min(order).alias("x"), (F.min("row") != F.max("row")).alias("across")).where("k > 1")
-    heads = heads.select("g", "v", "across", *[F.col(f"x.{c}").alias(f"{c}1") for c in ("row", "p", "n", "left", "right")], F.col("x.doc_id").alias("keeper"))
+    heads = heads.hint("rebalance").select("g", "v", "across", *[F.col(f"x.{c}").alias(f"{c}1") for c in ("row", "p", "n", "left", "right")], F.col("x.doc_id").alias("keeper"))
     both = units.join(heads, ["g", "v"]).select("row", "p", "n", "left", "right", "row1", "p1", "n1", "left1", "right1", "keeper", "across")
     marks = both.mapInArrow(_extend(arrow), f"row long, p long, n long, a long, b long, keeper {said}, across boolean")
     tallies = marks.repartition("row").sortWithinPartitions("row").mapInArrow(
