@@ -19,7 +19,7 @@ from graphloom.functions.jsondiff import ConversionError, diff, json_reader
 from graphloom.functions.terms import LANG_STRING, RDF_TYPE, XSD
 from graphloom.operators.access import type_sets
 from graphloom.operators.profile import DocProfile
-from graphloom.operators.rules import cut
+from graphloom.sources.shared import cut
 from graphloom.plans import compiler
 from graphloom.plans.sparql import parse_query
 from graphloom.sources.quads import COLUMNS, SCHEMA, as_source, difference, set_of
@@ -62,25 +62,38 @@ def attribute_rows(source, profile: DocProfile) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile", max_depth: int = 50) -> DataFrame:
+def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile", max_depth: int = 1000) -> DataFrame:
     """Document rows of all roots (column s) at once: one join a level of reference until no resource is new to its document.
 
-    A missing root, a blank node as value, and several values of a single attribute (but of different languages) raise.
+    Each level reads the types and facts of the resources that it meets, no others. Deeper nesting than max_depth, a missing root, a blank node as value, and several values of a single attribute (but of different languages) raise.
     """
     source = as_source(source)
-    types = cut(match_types(source, profile, mode))
-    facts = cut(attribute_rows(source, profile).join(types, ["s", "type"]))
+    all_types, all_facts = match_types(source, profile, mode), attribute_rows(source, profile)
+
+    def fetch(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Types and facts of the wanted resources alone."""
+        t = cut(all_types.join(wanted, "s", "left_semi"))
+        return t, cut(all_facts.join(t, ["s", "type"]))
+
+    seen = frontier = cut(roots.select(F.col("s").alias("doc"), "s", F.lit(0).alias("level")).distinct())
+    types, facts = fetch(seen.select("s").distinct())
     missing = roots.select("s").join(types, "s", "left_anti").limit(3).collect()
     if missing:
         raise ConversionError(f"no instance of a type: {[r['s'] for r in missing]}")
-    seen = cut(roots.select(F.col("s").alias("doc"), "s", F.lit(0).alias("level")).distinct())
-    frontier = seen
-    for depth in range(1, max_depth):
+    depth = 0
+    while True:
+        depth += 1
         refs = frontier.join(facts, "s").where((F.col("value.kind") == "iri") & (F.col("kind") != "datatype"))
-        step = refs.select("doc", F.col("value.value").alias("s"), F.lit(depth).alias("level")).distinct().join(types.select("s"), "s", "left_semi")
-        frontier = cut(step.select("doc", "s", "level").join(seen, ["doc", "s"], "left_anti"))
+        step = cut(refs.select("doc", F.col("value.value").alias("s")).distinct().join(seen, ["doc", "s"], "left_anti"))
+        if not step.limit(1).count():
+            break
+        t, f = fetch(step.select("s").distinct().join(types, "s", "left_anti"))
+        types, facts = types.unionByName(t), facts.unionByName(f)
+        frontier = cut(step.join(types.select("s").distinct(), "s", "left_semi").withColumn("level", F.lit(depth)).select("doc", "s", "level"))
         if not frontier.limit(1).count():
             break
+        if depth >= max_depth:
+            raise ConversionError(f"documents are nested more than {max_depth} levels deep")
         seen = cut(seen.unionByName(frontier))
     value = F.col("value")
     blank = F.raise_error(F.concat(F.lit("a blank node is the value of "), F.col("attribute"))).cast("string")

@@ -15,6 +15,7 @@ from graphloom.functions import terms
 from graphloom.operators import documents as docs
 from graphloom.operators.profile import DocProfile
 from graphloom.plans import compiler
+from graphloom.sources.shared import cut
 from graphloom.sources.quads import union
 
 COLUMNS = "id string, graph string, type string, timestampms long, json string"
@@ -98,22 +99,24 @@ def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(index.select("id", "json"), "id", "left").select("id", F.col("json").isNotNull().alias("found"), "json")
 
 
-def reindex(rows: DataFrame, make: Callable[[DataFrame], DataFrame], attempts: int = 5) -> tuple[DataFrame, dict[str, float]]:
-    """(index rows, summary) of rows (graph, uri, type, index); make adds json and error. Failures run again, up to so many times."""
+def reindex(rows: DataFrame, make: Callable[[DataFrame], DataFrame], attempts: int = 5) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(index rows, failures, summary) of rows (graph, uri, type, index); make adds json and error.
+
+    Failures run again, up to so many times; those of the last attempt are returned with their errors, none is lost.
+    """
     if not {"graph", "uri", "type", "index"} <= set(rows.columns):
         raise IndexError_("a re-index needs graph, uri, type and index")
-    from graphloom.operators.rules import cut
-
-    began, todo, done = time.time(), rows, None
+    began, todo, done, failed = time.time(), rows, None, None
     for _ in range(attempts):
         got = cut(make(todo))
         good = got.where("error is null").select(F.col("uri").alias("id"), "graph", "type", "json")
         done = good if done is None else done.unionByName(good)
-        todo = got.where("error is not null").select(*rows.columns)
-        if not todo.limit(1).count():
+        failed = got.where("error is not null").select(*rows.columns, "error")
+        todo = failed.drop("error")
+        if not failed.limit(1).count():
             break
-    n, total = done.count(), rows.count()
-    return done, {"total": total, "indexed": n, "failed": total - n, "seconds": time.time() - began}
+    n, lost = done.count(), failed.count()
+    return done, failed, {"total": rows.count(), "indexed": n, "failed": lost, "seconds": time.time() - began}
 
 
 def type_plan(source, type_iri: str, type_id: str, index: str) -> DataFrame:
@@ -144,9 +147,14 @@ class IndexStore:
         p, fs = self._path(name)
         fs.delete(p, True)
 
-    def alias(self, name: str) -> str | None:
+    def _pointers(self, name: str) -> list[int]:
         p, fs = self._path(f"_alias/{name}")
-        return self.spark.read.text(f"{self.folder}/_alias/{name}").first()["value"] if fs.exists(p) else None
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def alias(self, name: str) -> str | None:
+        """The index that the alias's newest pointer names."""
+        have = self._pointers(name)
+        return self.spark.read.text(f"{self.folder}/_alias/{name}/{have[-1]}").first()["value"] if have else None
 
     def names(self) -> list[str]:
         p, fs = self._path("")
@@ -156,11 +164,15 @@ class IndexStore:
         """Fill a new index <alias>-<milliseconds>, point the alias at it, then delete the one before."""
         new, old = f"{alias}-{now_ms if now_ms is not None else int(time.time() * 1000)}", self.alias(alias)
         self.write(new, rows)
+        have = self._pointers(alias)
         staged = f"_alias/.{alias}-{uuid.uuid4().hex}"
         self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.text(f"{self.folder}/{staged}")
-        (a, fs), (b, _) = self._path(staged), self._path(f"_alias/{alias}")
-        fs.delete(b, True)
-        fs.rename(a, b)
+        (a, fs), (b, _), (home, _) = self._path(staged), self._path(f"_alias/{alias}/{(have or [0])[-1] + 1}"), self._path(f"_alias/{alias}")
+        fs.mkdirs(home)
+        if fs.exists(b) or not fs.rename(a, b):
+            raise IndexError_(f"another rebuild of {alias} came first")
+        for n in have:
+            fs.delete(self._path(f"_alias/{alias}/{n}")[0], True)
         if old and old != new:
             self.delete(old)
         return new

@@ -1,11 +1,14 @@
 """Stores of named graphs: an in-memory one, a Parquet one with snapshots, and the contract that both keep.
 
-A store's state is an immutable DataFrame; an update makes the next one. A Parquet store writes each state as a snapshot
-beside the last and then swaps a pointer, so readers see one state or the other, and a failed write changes nothing.
+A store's state is an immutable DataFrame; an update makes the next one. A Parquet store is a log of versions. Each names a
+snapshot and the changes since, so adding or removing quads writes those alone; a version appears by one rename under a name
+of its own, so readers see one state or the other, and a failed write changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE
 from graphloom.plans import compiler
-from graphloom.sources.quads import COLUMNS, SCHEMA, relaxed, set_of, union
+from graphloom.sources.quads import COLUMNS, SCHEMA, difference, relaxed, set_of, union
 
 
 class QuadStore:
@@ -31,6 +34,11 @@ class QuadStore:
     def _replace(self, state: DataFrame) -> None:
         self._state = state
 
+    def change(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """A delta at once: all deletes before all inserts."""
+        state = self.quads if removed is None else difference(self.quads, removed)
+        self._replace(state if added is None else union(state, added))
+
     def scan(self, predicates: Sequence[str] | None = None) -> DataFrame:
         return self.quads if predicates is None else self.quads.where(F.col("p").isin(*predicates))
 
@@ -58,26 +66,23 @@ class QuadStore:
 
     def add_data(self, quads: DataFrame, graph: str | None = None) -> None:
         rows = quads if graph is None else quads.withColumn("g", F.lit(graph))
-        self._replace(union(self.quads, rows))
+        self.change(added=rows)
 
     def remove_data(self, quads: DataFrame) -> None:
-        from graphloom.sources.quads import difference
-
-        self._replace(difference(self.quads, quads))
+        self.change(removed=quads)
 
     def delete_graph(self, name: str | None) -> None:
-        self._replace(self.quads.where(~F.col("g").eqNullSafe(F.lit(name))))
+        self.change(removed=self.graph(name))
 
     def replace_graph(self, name: str, quads: DataFrame) -> None:
         """Clear, then add."""
-        kept = self.quads.where(~F.col("g").eqNullSafe(F.lit(name)))
-        self._replace(union(kept, quads.withColumn("g", F.lit(name))))
+        self.change(added=quads.withColumn("g", F.lit(name)), removed=self.graph(name))
 
     def move_graph(self, a: str, b: str) -> None:
         self.update(f"MOVE GRAPH <{a}> TO GRAPH <{b}>")
 
     def copy_graph(self, a: str, b: str) -> None:
-        self._replace(union(self.quads, self.graph(a).withColumn("g", F.lit(b))))
+        self.change(added=self.graph(a).withColumn("g", F.lit(b)))
 
     def graphs(self) -> DataFrame:
         return self.quads.where(F.col("g").isNotNull()).select("g").distinct()
@@ -102,13 +107,23 @@ class QuadStore:
             raise
 
 
+class StoreError(RuntimeError):
+    """A store that isn't ready, a query that took too long, or another writer's version in the way."""
+
+
 class ParquetStore(QuadStore):
-    """A store in a folder: <folder>/snapshots/<id>, and the pointer <folder>/current. Quads are laid out by predicate."""
+    """A store in a folder: <folder>/parts/<id> holds quads laid out by predicate, <folder>/versions/v-<number> names parts.
+
+    A version is a list of ("base" | "remove" | "add", part), applied in order. After MAX_PARTS of them the next change writes a
+    base again. A write that fails marks the store as not ready; reopen() takes it up again.
+    """
+
+    MAX_PARTS = 16
 
     def __init__(self, spark: SparkSession, folder: str, preload: DataFrame | None = None):
         super().__init__(spark)
-        self.folder = folder.rstrip("/")
-        if self._current() is None:
+        self.folder, self.ready = folder.rstrip("/"), True
+        if not self.versions():
             self._replace(preload if preload is not None else spark.createDataFrame([], SCHEMA))
 
     def _fs(self, path: str):
@@ -116,33 +131,107 @@ class ParquetStore(QuadStore):
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        p, fs = self._fs(f"{self.folder}/current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.folder}/current").first()["value"]
+    def versions(self) -> list[int]:
+        """Numbers of the versions, oldest first."""
+        p, fs = self._fs(f"{self.folder}/versions")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v-"))
+
+    def parts(self, version: int | None = None) -> list[tuple[str, str]]:
+        version = version if version is not None else self.versions()[-1]
+        return [tuple(x) for x in json.loads(self.spark.read.text(f"{self.folder}/versions/v-{version:012d}").first()["value"])]
+
+    def at(self, version: int | None = None) -> DataFrame:
+        """The state of a version, the newest one by default."""
+        if not self.ready:
+            raise StoreError("the store isn't ready after a failed write")
+        state = None
+        for kind, part in self.parts(version):
+            rows = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/parts/{part}")
+            state = rows if kind == "base" else difference(state, rows) if kind == "remove" else union(state, rows)
+        return state
 
     @property
     def quads(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/snapshots/{self._current()}")
+        return self.at()
+
+    def _write(self, kind: str, rows: DataFrame) -> tuple[str, str]:
+        part = uuid.uuid4().hex
+        rows.select(*COLUMNS).sortWithinPartitions("p", "s").write.parquet(f"{self.folder}/parts/{part}")
+        return kind, part
+
+    def _commit(self, version: int, parts: list[tuple[str, str]]) -> None:
+        staged, fs = self._fs(f"{self.folder}/versions/.{uuid.uuid4().hex}")
+        self.spark.createDataFrame([(json.dumps(parts),)], "value string").coalesce(1).write.text(staged.toString())
+        target, _ = self._fs(f"{self.folder}/versions/v-{version:012d}")
+        if fs.exists(target) or not fs.rename(staged, target):
+            fs.delete(staged, True)
+            raise StoreError(f"version {version} is there already")
+
+    def _guarded(self, write: Callable[[], list[tuple[str, str]]]) -> None:
+        if not self.ready:
+            raise StoreError("the store isn't ready after a failed write")
+        next_ = (self.versions() or [0])[-1] + 1
+        try:
+            self._commit(next_, write())
+        except StoreError:
+            raise
+        except Exception:
+            self.ready = False
+            raise
 
     def _replace(self, state: DataFrame) -> None:
-        name = uuid.uuid4().hex
-        state.select(*COLUMNS).sortWithinPartitions("p", "s").write.parquet(f"{self.folder}/snapshots/{name}")
-        pointer = self.spark.createDataFrame([(name,)], "value string").coalesce(1)
-        pointer.write.mode("overwrite").text(f"{self.folder}/current-{name}")
-        new, fs = self._fs(f"{self.folder}/current-{name}")
-        old, _ = self._fs(f"{self.folder}/current")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        self._guarded(lambda: [self._write("base", state)])
+
+    def change(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        old = self.parts()
+        if len(old) >= self.MAX_PARTS:
+            return super().change(added, removed)
+        deltas = [("remove", removed), ("add", added)]
+        self._guarded(lambda: [*old, *(self._write(kind, set_of(rows)) for kind, rows in deltas if rows is not None)])
+
+    def reopen(self) -> None:
+        """Ready again, with the newest version that is whole."""
+        self.ready = True
 
     def compact(self, files: int = 1) -> None:
         """Rewrite the state in fewer files."""
         self._replace(self.quads.coalesce(files))
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the newest versions, and parts that none of those names. No writer may be at work."""
+        versions = self.versions()
+        used = {part for v in versions[-keep:] for _, part in self.parts(v)}
+        for v in versions[:-keep]:
+            p, fs = self._fs(f"{self.folder}/versions/v-{v:012d}")
+            fs.delete(p, True)
+        p, fs = self._fs(f"{self.folder}/parts")
+        for x in fs.listStatus(p):
+            if x.getPath().getName() not in used:
+                fs.delete(x.getPath(), True)
+
+    def rows(self, df: DataFrame, seconds: float = 1800) -> list:
+        """What a query collects; its jobs are cancelled, and StoreError raised, after so many seconds."""
+        context, group, late = self.spark.sparkContext, f"store-{uuid.uuid4().hex}", threading.Event()
+
+        def stop():
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(seconds, stop)
+        context.setJobGroup(group, "store query", interruptOnCancel=True)
+        timer.start()
+        try:
+            return df.collect()
+        except Exception as e:
+            if late.is_set():
+                raise StoreError(f"a query took more than {seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.setJobGroup("", "")
+
 
 def delete_and_insert(store: QuadStore, added: DataFrame, removed: DataFrame) -> None:
     """A delta at once: all deletes before all inserts."""
-    from graphloom.sources.quads import difference
-
-    store._replace(union(difference(store.quads, removed), added))
+    store.change(added, removed)

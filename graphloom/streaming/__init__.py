@@ -34,6 +34,6 @@ def sync_stream(changes: DataFrame, store, checkpoint: str):
         from graphloom.sources.quads import union
 
         touched = batch.select("g").distinct()
-        store._replace(union(store.quads.join(touched, "g", "left_anti"), batch))
+        store.change(added=batch, removed=store.quads.join(touched, "g", "left_semi"))
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append")

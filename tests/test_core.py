@@ -126,3 +126,37 @@ def test_store_contract(spark, g, tmp_path, kind):
         store.persist_with_backup("http://ex/g", lambda: 1 / 0)
     assert store.graph("http://ex/g").count() == 1
     assert relaxed(store.quads).where("g is not null").count() == 0
+
+
+def test_parquet_store_is_a_log_of_versions(spark, g, tmp_path):
+    import os
+
+    from graphloom.sources.store import StoreError
+
+    folder = str(tmp_path / "s")
+    store = ParquetStore(spark, folder, g)
+    n, parts = store.quads.count(), len(os.listdir(f"{folder}/parts"))
+    more = rdf.from_turtle(spark, "<http://e/new> <http://e/p> <http://e/o> .")
+    store.add_data(more, "http://e/g")
+    assert store.quads.count() == n + 1 and store.parts() == [*store.parts(1), store.parts()[-1]] and len(os.listdir(f"{folder}/parts")) == parts + 1
+    store.remove_data(more.withColumn("g", F.lit("http://e/g")))
+    assert store.quads.count() == n and store.at(2).count() == n + 1 and [k for k, _ in store.parts()] == ["base", "add", "remove"]
+    os.makedirs(f"{folder}/versions/.half-written")  # what a crash leaves
+    assert ParquetStore(spark, folder).quads.count() == n
+    with pytest.raises(StoreError, match="there already"):
+        store._commit(3, store.parts())
+    store.MAX_PARTS = 3
+    store.add_data(more)
+    assert [k for k, _ in store.parts()] == ["base"] and store.quads.count() == n + 1
+    store.vacuum(1)
+    assert store.versions() == [4] and len(os.listdir(f"{folder}/parts")) == 1 and store.quads.count() == n + 1
+    with pytest.raises(Exception):  # noqa: B017
+        store.add_data(more.withColumn("o", F.raise_error(F.lit("broken")).cast("string")))
+    with pytest.raises(StoreError, match="ready"):
+        store.quads.count()
+    store.reopen()
+    assert store.quads.count() == n + 1
+    slow = spark.range(4).select(F.expr("reduce(sequence(1, 200000000), 0L, (a, x) -> a + x + id)").alias("x"))
+    with pytest.raises(StoreError, match="took more"):
+        store.rows(slow, seconds=1)
+    assert len(store.rows(store.quads, seconds=600)) == n + 1

@@ -298,8 +298,18 @@ def test_index(spark, g, p, tmp_path):
     assert {(r["name"], r["count"]) for r in store.metadata().collect()} == {(second, 2)}
     assert index.collect_garbage(rows, 6).count() == 0 and index.fetch(rows, spark.createDataFrame([("http://ex/b",), ("u:no",)], "id string")).where("found").count() == 1
     plan = spark.createDataFrame([("u:g", "u:1", "T", "i"), ("u:g", "u:2", "T", "i")], "graph string, uri string, type string, index string")
-    done, summary = index.reindex(plan, lambda df: df.withColumn("json", F.lit("{}")).withColumn("error", F.when(F.col("uri") == "u:2", "bad")), attempts=2)
-    assert done.count() == 1 and summary["failed"] == 1
+    done, failed, summary = index.reindex(plan, lambda df: df.withColumn("json", F.lit("{}")).withColumn("error", F.when(F.col("uri") == "u:2", "bad")), attempts=2)
+    assert done.count() == 1 and summary["failed"] == 1 and [(r["uri"], r["error"]) for r in failed.collect()] == [("u:2", "bad")]
+
+
+def test_documents_of_any_depth(spark):
+    chain = rdf.from_turtle(spark, "".join(f"<u:{i}> a <u:N> ; <u:next> <u:{i + 1}> . " for i in range(14)) + "<u:14> a <u:N> ; <u:next> <u:0> .")
+    p = doc_profile(load('{types: {N: {rules: {rdfType: "u:N"}, attributes: {next: {uri: "u:next", rules: {range: {classId: "N"}, maxCardinality: 1}}}}}}'))
+    roots = spark.createDataFrame([("u:3",)], "s string")
+    rows = documents.to_rows(chain, p, roots).collect()
+    assert {r["uri"]: r["level"] for r in rows} == {f"u:{(3 + k) % 15}": k for k in range(15)}
+    with pytest.raises(documents.ConversionError, match="levels deep"):
+        documents.to_rows(chain, p, roots, max_depth=8)
 
 
 def test_routing_and_composition(spark, g):
