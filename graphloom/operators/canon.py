@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
+from graphloom.operators.ranks import ranked
 from graphloom.sources.quads import set_of
 from graphloom.sources.shared import cut
 
@@ -165,16 +166,8 @@ def canonical_sort(quads: DataFrame) -> DataFrame:
 
 
 def canonical_ranks(quads: DataFrame) -> DataFrame:
-    """Distinct quads, blank nodes relabelled, with n: the place in canonical order, from 1.
-
-    A rank is the size of the partitions before in the parallel sort plus the place in its own, so the one window over all
-    has a row a partition.
-    """
-    rows = cut(canonical_sort(quads).withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = rows.join(F.broadcast(before.select("part", "first", F.coalesce("before", F.lit(0)).alias("before"))), "part")
-    return placed.withColumn("n", F.col("before") + F.col("id") - F.col("first") + 1).drop("part", "id", "first", "before")
+    """Distinct quads, blank nodes relabelled, with n: the place in canonical order, from 1."""
+    return ranked(relabel(quads), *canonical_order()).withColumn("n", F.col("n") + 1)
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.functions.terms import RDF_TYPE, XSD
+from graphloom.operators.ranks import comparable, ranked
 from graphloom.operators.rules import convert
 from graphloom.plans import compiler
 from graphloom.sources.quads import as_source, difference, set_of, union
+from graphloom.sources.shared import shared_dir
 
 # Deltas
 
@@ -35,16 +38,19 @@ def apply_delta(quads: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def delta_text(d: DataFrame, batch: int = 1000) -> DataFrame:
-    """(seq, text): DELETE DATA batches, then INSERT DATA batches, dealt by a hash so that no window spans all rows."""
-    n = F.pmod(F.xxhash64("s", "p", "o"), F.lit(max(1, batch)))
+    """(seq, text): DELETE DATA batches, then INSERT DATA batches, each of at most so many triples, in order of the triples."""
     o = terms.term(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
     blank = F.raise_error(F.lit("a blank node has no place in an update text")).cast("string")
     ot = F.when(F.col("o_kind") == "bnode", blank).when(F.col("o_kind") == "lit", terms.sparql_literal(o)).otherwise(terms.ntriples(o))
     line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), ot, F.lit(" ."))
     line = F.when(F.col("g").isNotNull(), F.concat(F.lit("GRAPH <"), F.col("g"), F.lit("> { "), line, F.lit(" }"))).otherwise(line)
-    rows = d.select(F.when(F.col("action") == "remove", 0).otherwise(1).alias("step"), n.alias("n"), line.alias("line"))
+    rows = d.select(F.when(F.col("action") == "remove", 0).otherwise(1).alias("step"), line.alias("line"))
+    rows = ranked(rows, "step", "line")
+    first = rows.groupBy("step").agg(F.min("n").alias("first"))
+    dealt = rows.join(F.broadcast(first), "step").withColumn("seq", F.floor((F.col("n") - F.col("first")) / batch))
     word = F.when(F.col("step") == 0, "DELETE DATA { ").otherwise("INSERT DATA { ")
-    return rows.groupBy("step", "n").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t")).select("step", "n", F.concat(word, "t", F.lit(" }")).alias("text")).orderBy("step", "n")
+    texts = dealt.groupBy("step", "seq").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"))
+    return texts.select("step", "seq", F.concat(word, "t", F.lit(" }")).alias("text")).orderBy("step", "seq")
 
 
 def stamp_resources(quads: DataFrame, subjects: DataFrame, now: str, created: str = terms.DCT + "created", modified: str = terms.DCT + "modified") -> DataFrame:
@@ -175,20 +181,58 @@ def compose(quads: DataFrame, rows: DataFrame, templates: Sequence[Template]) ->
     return union(quads, *made)
 
 
-# Paging: Spark scans once; these keep the calls and their checks
+# Paging: the query runs once; its rows are written in a total order with their page, and a page reads its own files
+
+
+def has_limit(query: str) -> bool:
+    """Whether the text after the last brace has a limit of its own: then nothing is paged."""
+    return "limit" in query.rsplit("}", 1)[-1].lower()
+
+
+def pages(df: DataFrame, batch: int = 10_000) -> tuple[DataFrame, int]:
+    """(df with page and n, number of pages) in a total order of all columns, stored by page."""
+    rows = ranked(df, *comparable(df)).withColumn("page", F.floor(F.col("n") / batch).cast("long"))
+    path = f"{shared_dir(df.sparkSession)}/graphloom/pages-{uuid.uuid4().hex}"
+    rows.repartition("page").sortWithinPartitions("page", "n").write.partitionBy("page").parquet(path)
+    stored = df.sparkSession.read.schema(rows.schema).parquet(path)
+    last = rows.agg(F.max("page")).first()[0]
+    return stored, 0 if last is None else last + 1
 
 
 def paginated_select(source, query: str, batch: int = 10_000, prefixes=None, consumer: Callable[[DataFrame], object] | None = None) -> DataFrame:
-    """All rows of a query. With a consumer, it gets them in pages of a total order by key ranges of a hash, not by offsets."""
+    """All rows of a query. A consumer gets them page by page, each of `batch` rows but the last."""
     rows = compiler.select(source, query, prefixes)
     if consumer is not None:
-        n = max(1, -(-rows.count() // batch))
-        part = F.pmod(F.xxhash64(*rows.columns), F.lit(n))
-        for k in range(n):
-            consumer(rows.where(part == k))
+        if has_limit(query):
+            consumer(rows)
+        else:
+            stored, n = pages(rows, batch)
+            for k in range(n):
+                consumer(stored.where(F.col("page") == k).orderBy("n").drop("page", "n"))
     return rows
 
 
+def paginated_construct(source, query: str, batch: int = 10_000, prefixes=None, consumer: Callable[[DataFrame], object] | None = None, until: str = "short") -> tuple[DataFrame, int]:
+    """(the constructed set of quads, pages that were asked for).
+
+    until: "short" ends with the first page of fewer than `batch` quads, "empty" with the first without any; so a full last page
+    makes one more request, and "empty" always does. A query with a limit of its own is one page.
+    """
+    rows = set_of(compiler.construct(source, query, prefixes))
+    if until not in ("short", "empty"):
+        raise ValueError(f"no rule to stop by, {until}")
+    if has_limit(query):
+        if consumer is not None:
+            consumer(rows)
+        return rows, 1
+    stored, n = pages(rows, batch)
+    if consumer is not None:
+        for k in range(n):
+            consumer(stored.where(F.col("page") == k).orderBy("n").drop("page", "n"))
+    total = stored.count()
+    return stored.drop("page", "n"), total // batch + 1 if until == "short" else n + 1
+
+
 def page(df: DataFrame, keys: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
     """A page under a total order: keys, then all other columns."""
     return df.orderBy(*keys, *[c for c in df.columns if c not in keys]).offset(offset).limit(limit)
