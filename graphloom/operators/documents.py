@@ -143,15 +143,33 @@ def _quoted(c: Column) -> Column:
     return F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
 
 
-def to_json(rows: DataFrame, prefixes: Mapping[str, str] = terms.PREFIXES, normalise_dates: bool = False) -> DataFrame:
-    """(doc, json): {"data": ..., "included": [...]} of document rows.
+def merge_prefixes(first: Mapping[str, str], second: Mapping[str, str]) -> dict[str, str]:
+    """first, and of second the namespaces that first lacks; a key that first has gets the least number that makes it new."""
+    out, known = dict(first), set(first.values())
+    for key, iri in second.items():
+        if iri in known:
+            continue
+        n = 0
+        while key in first and f"{key}{n}" in first:
+            n += 1
+        name = f"{key}{n}" if key in first else key
+        if name in out and out[name] != iri:
+            raise ValueError(f"two namespaces are {name}")
+        out[name] = iri
+    return out
+
+
+def to_json(rows: DataFrame, prefixes: Mapping[str, str] = terms.PREFIXES, normalise_dates: bool = False, context: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc, json): {"data": ..., "included": [...]} of document rows; with a context (merge_prefixes()) that stands first.
 
     Attributes are objects from datatype to a value (single) or an array; references under "references"; texts with a
-    language under rdf:langString, by language. Integers, floats and booleans are JSON values; an invalid date raises.
+    language under rdf:langString, by language. Integers, floats and booleans are JSON values, but for xsd:integer in arrays:
+    those are texts under the datatype's full IRI, as the format has it. An invalid date raises.
     normalise_dates gives dateTimes in UTC instead of their lexical form.
     """
     dt, v = F.col("datatype"), F.col("value")
-    key = F.when(dt == "reference", "references")
+    listed = (dt == XSD + "integer") & ~F.col("single")
+    key = F.when(dt == "reference", "references").when(listed, dt)
     for p, iri in prefixes.items():
         key = key.when(dt.startswith(iri), F.concat(F.lit(p + ":"), F.substr(dt, F.lit(len(iri) + 1))))
     key = key.otherwise(dt)
@@ -159,7 +177,7 @@ def to_json(rows: DataFrame, prefixes: Mapping[str, str] = terms.PREFIXES, norma
     stamp = F.coalesce(v.try_cast("timestamp"), F.raise_error(F.concat(F.lit("not a dateTime: "), v)).cast("timestamp"))
     moment = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if normalise_dates else F.when(stamp.isNotNull(), v)
     text = (
-        F.when(dt.isin(*[k for k, x in NUMBERS.items() if x == "long"]), v.try_cast("decimal(38,0)").cast("string"))
+        F.when(listed, _quoted(v)).when(dt.isin(*[k for k, x in NUMBERS.items() if x == "long"]), v.try_cast("decimal(38,0)").cast("string"))
         .when(dt.isin(*[k for k, x in NUMBERS.items() if x == "double"]), v.try_cast("double").cast("string"))
         .when(dt == XSD + "boolean", F.when(v.isin("true", "1"), "true").otherwise("false"))
         .when(dt == XSD + "date", _quoted(date)).when(dt == XSD + "dateTime", _quoted(moment)).otherwise(_quoted(v))
@@ -180,7 +198,8 @@ def to_json(rows: DataFrame, prefixes: Mapping[str, str] = terms.PREFIXES, norma
     text = F.concat(F.lit('{"uri":'), _quoted(F.col("uri")), F.lit(',"type":'), _quoted(F.col("type")), F.lit(',"attributes":'), F.coalesce("a", F.lit("{}")), F.lit("}"))
     parts = resources.select("doc", "level", "uri", text.alias("text")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("level", "uri", "text"))).alias("r"))
     included = F.transform(F.filter("r", lambda x: x["level"] > 0), lambda x: x["text"])
-    return parts.select("doc", F.concat(F.lit('{"data":'), F.get("r", F.lit(0))["text"], F.lit(',"included":'), array(included), F.lit("}")).alias("json"))
+    start = "" if not context else f'"context":{{"prefix":{json.dumps(dict(context), ensure_ascii=False)}}},'
+    return parts.select("doc", F.concat(F.lit("{" + start + '"data":'), F.get("r", F.lit(0))["text"], F.lit(',"included":'), array(included), F.lit("}")).alias("json"))
 
 
 def from_json(documents: DataFrame, profile: DocProfile, prefixes: Mapping[str, str] = terms.PREFIXES, column: str = "json") -> DataFrame:

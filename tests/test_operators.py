@@ -302,6 +302,17 @@ def test_index(spark, g, p, tmp_path):
     assert done.count() == 1 and summary["failed"] == 1 and [(r["uri"], r["error"]) for r in failed.collect()] == [("u:2", "bad")]
 
 
+def test_contexts_and_listed_integers(spark):
+    one = {"a": "u:a", "b": "u:b", "b0": "u:b0"}
+    assert documents.merge_prefixes(one, {"x": "u:a", "b": "u:new", "c": "u:c"}) == {**one, "b1": "u:new", "c": "u:c"}
+    g = rdf.from_turtle(spark, "<u:1> a <u:N> ; <u:one> 5 ; <u:many> 6 , 7 .")
+    p = doc_profile(load('{types: {N: {rules: {rdfType: "u:N"}, attributes: {one: {uri: "u:one", rules: {range: {datatype: "xsd:integer"}, maxCardinality: 1}}, many: {uri: "u:many", rules: {range: {datatype: "xsd:integer"}}}}}}}'))
+    docs = documents.to_json(documents.to_rows(g, p, spark.createDataFrame([("u:1",)], "s string")), context={"u": "u:"})
+    got = json.loads(docs.first()["json"])
+    assert got["context"] == {"prefix": {"u": "u:"}} and got["data"]["attributes"] == {"one": {"xsd:integer": 5}, "many": {XSD + "integer": ["6", "7"]}}
+    assert difference(documents.from_json(docs, p), g).count() == difference(g, documents.from_json(docs, p)).count() == 0
+
+
 def test_documents_of_any_depth(spark):
     chain = rdf.from_turtle(spark, "".join(f"<u:{i}> a <u:N> ; <u:next> <u:{i + 1}> . " for i in range(14)) + "<u:14> a <u:N> ; <u:next> <u:0> .")
     p = doc_profile(load('{types: {N: {rules: {rdfType: "u:N"}, attributes: {next: {uri: "u:next", rules: {range: {classId: "N"}, maxCardinality: 1}}}}}}'))
@@ -343,3 +354,31 @@ def test_streaming(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
     assert streaming.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_rules_of_an_ontology_and_their_profile(spark):
+    from graphloom.operators import owl_rules
+
+    text = """@prefix o: <http://www.w3.org/2002/07/owl#> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> . @prefix x: <http://www.w3.org/2001/XMLSchema#> .
+<u:ont> a o:Ontology . <u:A> a o:Class ; r:seeAlso <u:doc> . <u:B> a o:Class ; r:subClassOf <u:A> , [ a o:Restriction ; o:onProperty <u:name> ; o:minCardinality "2"^^x:nonNegativeInteger ] ,
+ [ a o:Restriction ; o:onProperty <u:to> ; o:someValuesFrom <u:A> ] , [ a o:Restriction ; o:onProperty <u:to> ; o:hasValue <u:thing> ] , [ a o:Restriction ; o:onProperty <u:to> ; o:maxQualifiedCardinality "3"^^x:int ; o:onClass <u:A> ] .
+<u:name> a o:DatatypeProperty ; r:domain <u:A> ; r:range x:string . <u:to> a o:ObjectProperty ; r:domain <u:B> ; r:range <u:A> , <u:B> . <u:many> a o:ObjectProperty ; r:domain <u:A> , <u:C> . <u:C> a o:Class .
+<u:lower> <u:says> "l" . <u:Upper> <u:says> "u" ."""
+    rows = owl_rules.rules_of(rdf.from_turtle(spark, text))
+    got = {(r["kind"], r["subject"], r["on"], r["value"], r["number"]) for r in rows.collect()}
+    for rule in [
+        ("ontology", "u:ont", None, None, None), ("class", "u:A", None, None, None), ("property", "u:name", None, None, None), ("property?", "u:lower", None, None, None), ("class?", "u:Upper", None, None, None),
+        ("subClassOf", "u:B", None, "u:A", None), ("minCardinality", "u:B", "u:name", None, 2), ("someValuesFrom", "u:B", "u:to", "u:A", None), ("hasValue", "u:B", "u:to", "u:thing", None), ("maxQualifiedCardinality", "u:B", "u:to", "u:A", 3),
+        ("range", "u:name", None, XSD + "string", None), ("domain", "u:to", None, "u:B", None), ("extra", "u:A", RDFS + "seeAlso", "u:doc", None), ("extra", "u:lower", "u:says", "l", None),
+    ]:
+        assert rule in got, rule
+    assert not any(k == "subClassOf" and v.startswith("b") for k, _, _, v, _ in got)
+    p, unused = owl_rules.profile_of(rows)
+    assert p.uri == "u:ont" and "u:A" in p.supers("u:B") and p.conforms_to("u:B", "u:A")
+    name, to = p.attributes("u:B")["u:name"], p.attributes("u:B")["u:to"]
+    assert (name.min, name.max, [r.value for r in name.range]) == (2, None, [XSD + "string"]) and p.attributes("u:A")["u:name"].min is None
+    assert [(r.name, r.value) for r in to.range] == [("classId", "u:B")] and "u:many" not in p.attributes("u:A")
+    kinds = {r[0] for r in unused}
+    assert {"someValuesFrom", "hasValue", "maxQualifiedCardinality", "extra", "domain"} <= kinds
+    with pytest.raises(ProfileError, match="0 ontologies"):
+        owl_rules.profile_of(rows.where("kind <> 'ontology'"))
