@@ -16,12 +16,10 @@ import base64
 import re
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphloom.llm.common import column_names, worker_cache
+from graphloom.llm.common import column_names, map_texts, worker_cache
 
 #: Characters (or tokens, when decoding) of a leaf; longer stretches are halved.
 LEAF = 512
@@ -105,32 +103,22 @@ def _codec(key: str, vocabulary) -> Codec:
     return cache[key]
 
 
-def codec_columns(df: DataFrame, vocabulary: tuple[bytes, str] | None = None):
-    """Two functions of columns, encode(text) and decode(ids). The vocabulary, a file of fixed size, is broadcast."""
+def encode_documents(df: DataFrame, text: str = "text", vocabulary: tuple[bytes, str] | None = None) -> DataFrame:
+    """df with token_ids (packed little-endian uint32) and decoded (the bytes that those ids stand for), in one pass.
+
+    The vocabulary, a file of fixed size, is broadcast.
+    """
     vocabulary = vocabulary or read_ranks()
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     key = f"bpe-{hash(vocabulary)}"
+    ids, decoded = column_names(df, "token_ids", "decoded")
 
-    @F.pandas_udf(T.BinaryType())
-    def encode(texts: pd.Series) -> pd.Series:
-        codec = _codec(key, shared)
-        return pd.Series([codec.encode(t).tobytes() if t else b"" for t in texts], dtype=object)
-
-    @F.pandas_udf(T.BinaryType())
-    def decode(packed: pd.Series) -> pd.Series:
+    def make(texts):
         codec = _codec(key, shared)
-        return pd.Series([codec.decode(np.frombuffer(p, dtype="<u4")) if p else b"" for p in packed], dtype=object)
+        coded = [codec.encode(t) for t in texts]
+        return [x.tobytes() for x in coded], [codec.decode(x) for x in coded]
 
-    return encode, decode
-
-
-def encode_documents(df: DataFrame, text: str | Column = "text", vocabulary: tuple[bytes, str] | None = None) -> DataFrame:
-    """df with token_ids (packed little-endian uint32) and decoded (the bytes that those ids stand for)."""
-    encode, decode = codec_columns(df, vocabulary)
-    ids, decoded = column_names(df, "token_ids", "decoded")
-    text = F.col(text) if isinstance(text, str) else text
-    with_ids = encode(text)
-    return df.withColumns({ids: with_ids, decoded: decode(with_ids)})
+    return map_texts(df, make, [(ids, "binary"), (decoded, "binary")], text)
 
 
 def unpack(packed: bytes) -> list[int]:

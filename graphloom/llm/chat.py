@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from graphloom.llm.common import trimmed
+
 TURN = re.compile(r'<turn role="((?:[^"\\]++|\\.)*+)">((?:[^\\<]++|\\.|<(?!/?turn))*+)</turn>\n', re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
 def _escape(text: Column, quote: bool = False) -> Column:
@@ -112,7 +114,7 @@ def fold(events: DataFrame, conv: str = "conv_id", seq: str = "turn", dealt: boo
                 names=["conv_id", "message", "at", "op", "role", "text"],
             )
 
-    placed = rows.mapInArrow(place, f"conv_id {said}, message long, at long, op string, role string, text string").sortWithinPartitions("conv_id", "message", "at")
+    placed = rows.mapInArrow(trimmed(place), f"conv_id {said}, message long, at long, op string, role string, text string").sortWithinPartitions("conv_id", "message", "at")
 
     def join(batches):
         """One row for each message that isn't dropped."""
@@ -145,7 +147,7 @@ def fold(events: DataFrame, conv: str = "conv_id", seq: str = "turn", dealt: boo
         c, n, role, text = zip(*out) if out else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(c, arrow), pa.array(n, pa.int64()), pa.array(role, pa.string()), pa.array(text, pa.string())], names=["conv_id", "message", "role", "text"])
 
-    return placed.mapInArrow(join, f"conv_id {said}, message long, role string, text string")
+    return placed.mapInArrow(trimmed(join), f"conv_id {said}, message long, role string, text string")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -215,4 +217,4 @@ def digests(segments: DataFrame) -> DataFrame:
             yield told([row()])
 
     schema = [T.StructField("conv_id", kind)] + [T.StructField(n, T.StringType() if "sha" in n else T.LongType()) for n in names[1:]]
-    return segments.mapInArrow(run, T.StructType(schema))
+    return segments.mapInArrow(trimmed(run), T.StructType(schema))

@@ -6,9 +6,12 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.sources.shared import cut as materialize
 from graphloom.sources.shared import discard, shared_dir  # noqa: F401
@@ -17,6 +20,8 @@ from graphloom.sources.shared import discard, shared_dir  # noqa: F401
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64_000_000
 #: Bytes of text that a worker turns into arrays at once (a longer text stands alone).
 CHUNK = 128_000
 
@@ -27,6 +32,56 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def trimmed(run):
+    """A function of Arrow batches that gives freed memory back to the system when a task ends: workers live on between tasks."""
+
+    def trimming(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return trimming
+
+
+def map_texts(df: DataFrame, make, added: list[tuple[str, str]], text: str = "text", limit: int = CHUNK) -> DataFrame:
+    """df with further columns (name, type): make(texts) gives their values, a list or Arrow array each, for a slice of rows.
+
+    Rows go through in slices of about limit bytes of text, so neither side holds a batch's results at once; columns pass as they are.
+    """
+    types = [to_arrow_type(T._parse_datatype_string(kind)) for _, kind in added]
+    names = [*df.columns, *(n for n, _ in added)]
+
+    def run(batches):
+        for batch in batches:
+            for a, texts in text_slices(batch.column(batch.schema.get_field_index(text)), limit):
+                more = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(make(texts), types)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, *more], names=names)
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(kind)) for n, kind in added)])
+    return df.mapInArrow(trimmed(run), schema)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df to broadcast if its values have at most so many bytes: 16 a value, and those of texts, arrays' texts and binaries."""
+    width = F.lit(16 * len(df.columns))
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            width = width + F.coalesce(F.octet_length(F.array_join(c, "")) + 16 * F.size(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            raise ValueError(f"no known width, {kind}")
+    n = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
+
+
 def in_training_fold(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is not 0; null ids are never in it."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))

@@ -5,8 +5,8 @@ fingerprint, so two texts that share SPAN words share a fingerprint whatever sta
 join those of the benchmark; hits extend: for the documents that have one, every window of SPAN words is held against the
 benchmark's windows exactly. An item of fewer words is one window, and its length joins the fingerprints unthinned.
 
-The documents' side is never shuffled by fingerprint while the benchmark's fits a broadcast (BROADCAST_ROWS, counted
-first); beyond that both joins are plain ones that Spark may shuffle and split. What is grouped by document shrinks
+The documents' side is never shuffled by fingerprint while the benchmark's fits a broadcast (common.sized() sums
+its bytes first); beyond that both joins are plain ones that Spark may shuffle and split. What is grouped by document shrinks
 before it is shuffled.
 
 Defined cases: a null or empty text has no words; a null item_id counts as the text "null"; repeated documents give a row
@@ -19,13 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, sized
 
 #: Words of a window, and of the K-grams that are hashed.
 SPAN, K = 10, 5
-#: Rows (of windows: item ids) up to which the benchmark's fingerprints and windows, and the ids of documents with hits, are
-#: broadcast.
-BROADCAST_ROWS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before A-Z is lower-cased.
@@ -58,12 +55,6 @@ def _winnowed(g: str) -> str:
     return f"if(size({g}) < {width}, array(), array_distinct(transform(sequence(0, size({g}) - {width}), i -> array_min(slice({g}, i + 1, {width})))))"
 
 
-def _sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """df to broadcast if its rows, each counted as its weight, are few."""
-    n = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     return _find(docs, benchmark).drop("text_hash")
@@ -93,7 +84,7 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashed = docs.select(*key, word_hashes(F.col("text")).alias("h")).withColumn("g", F.expr(_grams("h", K)))
     probes = f"concat({', '.join([_winnowed('g'), *(_grams('h', n) for n in short)])})"
     probed = hashed.select("row", "doc_id", "text_hash", F.size("h").cast("long").alias("n_words"), F.explode_outer(F.expr(probes)).alias("f"))
-    flagged = probed.join(_sized(prints).withColumn("hit", F.lit(1)), "f", "left")
+    flagged = probed.join(sized(prints).withColumn("hit", F.lit(1)), "f", "left")
     met = materialize(
         flagged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.max("hit").alias("hit")),
         "met",
@@ -101,7 +92,7 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # extension: all windows of the documents that met a fingerprint
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
-    wanted = _sized(met.where("hit = 1").select("doc_id", "text_hash").distinct())
+    wanted = sized(met.where("hit = 1").select("doc_id", "text_hash").distinct())
     again = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     again = again.join(wanted, same(again, wanted), "left_semi").withColumn("h", word_hashes(F.col("text")))
     shown = None
@@ -109,7 +100,7 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = again.select("doc_id", "text_hash", F.lit(n).alias("n"), F.posexplode(F.expr(_windows("h", n))).alias("at", "x"))
         shown = at if shown is None else shown.unionAll(at)
     shown = shown.select("doc_id", "text_hash", "n", "at", "x.w", "x.v")
-    hits = shown.join(_sized(windows, F.size("items")), ["n", "w", "v"]).groupBy("doc_id", "text_hash").agg(
+    hits = shown.join(sized(windows), ["n", "w", "v"]).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     covered = """aggregate(spans, named_struct('n', 0L, 'end', 0L), (a, x) -> named_struct(
@@ -130,6 +121,6 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; rows go by doc_id and text, so others with their id, or with none, stay."""
-    gone = _find(docs, benchmark).where("contaminated").select("doc_id", "text_hash").distinct()
+    gone = sized(materialize(_find(docs, benchmark).where("contaminated").select("doc_id", "text_hash").distinct(), "gone"))
     same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")

@@ -17,13 +17,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks, text_slices
+from graphloom.llm.common import STEP, code_points, column_names, held_out, in_training_fold, letter_fold, map_texts, mix64, text_slices, trimmed
 
 #: n-gram sizes, in code points of lower-cased letters with runs of anything else as one space.
 SIZES = (2, 3, 4)
@@ -105,7 +104,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS) -
             yield summed()
 
     sampled = sample.groupBy("i").count()
-    frequent = sample.select("i", "text").mapInArrow(count, "h long, i int, n long").groupBy("h", "i").agg(F.sum("n").alias("n"))
+    frequent = sample.select("i", "text").mapInArrow(trimmed(count), "h long, i int, n long").groupBy("h", "i").agg(F.sum("n").alias("n"))
     shares = frequent.join(F.broadcast(sampled), "i").select("h", "i", "n", (F.col("n") / F.col("count")).alias("share"))
     grams = (
         shares.groupBy("h")
@@ -170,7 +169,7 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def predict(docs: DataFrame, model: LanguageFilters | None = None) -> DataFrame:
@@ -183,10 +182,5 @@ def keep_identified(docs: DataFrame, model: LanguageFilters | None = None) -> Da
     """docs without those whose language is `und`, in one pass without a shuffle; all columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
-    @F.pandas_udf(T.BooleanType())
-    def identified(texts: pd.Series) -> pd.Series:
-        values = ["" if t is None else t for t in texts]
-        out = [_classify(values[a:b], shared.value)[0] >= 0 for a, b in text_chunks(values)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
-
-    return docs.where(identified("text"))
+    (keep,) = column_names(docs, "identified")
+    return map_texts(docs, lambda texts: [pa.array(_classify(texts, shared.value)[0] >= 0)], [(keep, "boolean")]).where(F.col(keep)).select(*docs.columns)

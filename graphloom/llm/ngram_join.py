@@ -16,7 +16,7 @@ by hash) two sets with a Jaccard similarity of at least T share a shingle of the
 4.  Components by alternating large and small stars.
 
 Nothing about documents reaches the driver but the sketch (SKETCH bytes) and counts. Only connectivity is computed: links
-within a component that is already connected are neither checked nor counted. Candidate ids are broadcast only if there are at most BROADCAST_ROWS of them.
+within a component that is already connected are neither checked nor counted. Candidate ids are broadcast only if they are few, by their bytes.
 
 Defined cases: a null or empty text, or one of white space, has the empty set and links with nothing; with fewer than
 five words the whole sequence is one shingle; equal texts link; repeated rows repeat; a null doc_id counts after others
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, column_names, discard, materialize, mix64, text_slices
+from graphloom.llm.common import STEP, column_names, discard, materialize, mix64, sized, text_slices, trimmed
 
 WORDS = 5
 #: Similarity as a percentage.
@@ -46,7 +46,6 @@ FREQUENT = 8
 PACK = 1 << 16
 #: Groups whose prefix a task remembers to have sent; it may send one again later.
 SEEN = 100_000
-BROADCAST_ROWS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 #: Random 64-bit numbers: one for each byte, an odd base for places, odd factors for places in a shingle.
@@ -179,8 +178,8 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
         for k, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["k", "levels"])
 
-    counts = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    packed = counts.where(F.col("n") >= FREQUENT).repartition(F.floor(F.col("bucket") / PACK)).mapInArrow(pack, "k long, levels binary")
+    counts = docs.select("text").mapInArrow(trimmed(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    packed = counts.where(F.col("n") >= FREQUENT).repartition(F.floor(F.col("bucket") / PACK)).mapInArrow(trimmed(pack), "k long, levels binary")
     levels = np.zeros(SKETCH, dtype=np.uint8)
     for r in packed.toLocalIterator():
         levels[r["k"] * PACK : (r["k"] + 1) * PACK] = np.frombuffer(r["levels"], np.uint8)
@@ -222,7 +221,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> Dat
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, class_id binary, group_id long, bits binary, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(trimmed(run), f"doc_id {kind}, text_hash long, n long, class_id binary, group_id long, bits binary, prefix array<long>")
 
 
 def _shared_only(batches):
@@ -250,10 +249,6 @@ def _shared_only(batches):
         yield emit(last, None)
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for all nodes but the roots, root the least node: alternating large and small stars.
 
@@ -298,10 +293,10 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: classes.select(F.col("class_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a binary, b binary")
+    held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(trimmed(bound), "a binary, b binary")
     pairs = materialize(held, "within")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(classes.select("class_id", "least_id"), "class_id")
-    wanted = _sized(materialize(wanted.select("least_id").distinct(), "wanted"))
+    wanted = sized(materialize(wanted.select("least_id").distinct(), "wanted"))
     texts = docs.select("doc_id", "text")
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["least_id"]), "left_semi")
 
@@ -311,7 +306,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
                 some = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in some], pa.binary()), pa.array([s.tobytes() for s in some], pa.binary())], names=["class_id", "members"])
 
-    sets = texts.select("text").mapInArrow(run, "class_id binary, members binary").dropDuplicates(["class_id"])
+    sets = texts.select("text").mapInArrow(trimmed(run), "class_id binary, members binary").dropDuplicates(["class_id"])
 
     def check(batches):
         for batch in batches:
@@ -324,7 +319,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int =
 
     one = sets.select(F.col("class_id").alias("a"), F.col("members").alias("of_a"))
     two = sets.select(F.col("class_id").alias("b"), F.col("members").alias("of_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(trimmed(check), "a binary, b binary")
 
 
 def connect(lists: DataFrame, check, percent: int = PERCENT) -> DataFrame:
@@ -372,7 +367,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         rows.where("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("keeper"), F.first("n").alias("n"), F.first("group_id").alias("group_id"), F.first("bits").alias("bits")), "classes"
     )
     tokens = rows.where(F.size("prefix") > 0).select("group_id", F.posexplode("prefix").alias("pos", "token")).select("token", "group_id", F.col("pos").cast("long").alias("pos"))
-    lists = tokens.repartition("token").sortWithinPartitions("token", "group_id").mapInArrow(_shared_only, "token long, group_id long, pos long")
+    lists = tokens.repartition("token").sortWithinPartitions("token", "group_id").mapInArrow(trimmed(_shared_only), "token long, group_id long, pos long")
     # groups expand into classes; classes of one group are a list of their own
     crowd = classes.groupBy("group_id").agg(F.count("*").alias("k")).where("k > 1").select("group_id")
     member = classes.select("group_id", F.col("class_id").alias("c"), "n")
@@ -403,10 +398,10 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
     text_hash = F.xxhash64("text")
     named = docs.where("doc_id is not null")
-    named = named.join(gone.where("_id is not null"), (named["doc_id"] == gone["_id"]) & (text_hash == gone["_hash"]), "left_anti")
+    named = named.join(sized(gone.where("_id is not null")), (named["doc_id"] == gone["_id"]) & (text_hash == gone["_hash"]), "left_anti")
     hash_name, *_ = column_names(docs, "text_hash")
     unnamed = docs.where("doc_id is null").withColumn(hash_name, text_hash)
-    unnamed = unnamed.join(gone.where("_id is null"), unnamed[hash_name] == gone["_hash"], "left_anti")
+    unnamed = unnamed.join(sized(gone.where("_id is null")), unnamed[hash_name] == gone["_hash"], "left_anti")
     words = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))  # others have the empty set and link with nothing
     unnamed = unnamed.where(words).dropDuplicates([hash_name]).unionAll(unnamed.where(~words))
     return named.select(*docs.columns).unionAll(unnamed.select(*docs.columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_slices
+from graphloom.llm.common import text_slices, trimmed
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -89,7 +89,7 @@ def measurements(docs: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, *numbers], names=[*keep, *COUNTS, *RATIOS])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATIOS]
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(kinds))
+    return docs.select(*keep, "text").mapInArrow(trimmed(run), ", ".join(kinds))
 
 
 @dataclass(frozen=True)

@@ -22,13 +22,11 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphloom.llm.common import materialize, text_slices
+from graphloom.llm.common import column_names, map_texts, materialize, text_slices, trimmed
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -101,7 +99,7 @@ def fit_letters(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(676)), pa.array(total.ravel())], names=["pair", "n"])
 
     counts = np.zeros(676)
-    for r in docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(trimmed(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r["pair"]] = r["n"]
     return letter_model(counts.reshape(26, 26))
 
@@ -202,7 +200,7 @@ def scan(docs: DataFrame, letters: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base, spans), pa.array(runs, tested)], names=["doc_id", "base", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPAN}, runs {CANDIDATE}")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, base {SPAN}, runs {CANDIDATE}")
 
 
 def discovery_cuts(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
@@ -258,11 +256,9 @@ def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
             at = end  # overlapping spans become one mark
         return "".join([*out, text[at:]])
 
-    @F.pandas_udf(T.StringType())
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return pd.Series([clean(t) if t else t for t in texts], dtype=object)
-
-    out = docs.withColumn("text", cleaned("text"))
+    (cleaned,) = column_names(docs, "cleaned")
+    found = map_texts(docs, lambda texts: [[clean(t) for t in texts]], [(cleaned, "string")])
+    out = found.withColumn("text", F.when(F.col("text").isNotNull(), F.col(cleaned)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.llm.common import STEP, column_names, materialize, mix64, text_slices
+from graphloom.llm.common import STEP, column_names, materialize, mix64, sized, text_slices, trimmed
 from graphloom.llm.ngram_join import PERCENT, WORDS, _binaries, components, shingles, words_of
 
 #: Words of a stretch, and the least of a paragraph; shingles in a row of which the least is an anchor.
@@ -54,8 +54,6 @@ LIST, HUBS = 16, 4
 FILTER, CHUNK_BITS, PROBES = 1 << 28, 1 << 16, 3
 #: Rows of tokens that a task holds at once.
 HELD = 400_000
-#: Rows up to which the roots of near copies are broadcast.
-BROADCAST_ROWS = 500_000
 
 _rng = np.random.default_rng(20240307)
 PLACES, PLACES_AGAIN = (_rng.integers(0, 2**63, STRETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -191,7 +189,7 @@ def tokens(docs: DataFrame, percent: int) -> DataFrame:
         if held:
             yield summed()
 
-    return docs.select("text").mapInArrow(run, "token long, c long, n long")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, c long, n long")
 
 
 def _repeated(batches):
@@ -238,7 +236,7 @@ def key_filter(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["chunk", "bits"])
 
     out = np.zeros(size // 8, dtype=np.uint8)
-    for r in bits.repartition("chunk").mapInArrow(pack, "chunk long, bits binary").toLocalIterator():
+    for r in bits.repartition("chunk").mapInArrow(trimmed(pack), "chunk long, bits binary").toLocalIterator():
         out[r["chunk"] * CHUNK_BITS // 8 : (r["chunk"] + 1) * CHUNK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return out.view("<u8")
 
@@ -296,7 +294,7 @@ def occurrences(docs: DataFrame, known: np.ndarray, linked: np.ndarray) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "row", "text").mapInArrow(
-        run, f"doc_id {kind}, row long, c long, check long, p long, n long, left binary, right binary, members binary"
+        trimmed(run), f"doc_id {kind}, row long, c long, check long, p long, n long, left binary, right binary, members binary"
     )
 
 
@@ -315,7 +313,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("c").alias("a"), F.col("members").alias("of_a"))
     two = sets.select(F.col("c").alias("b"), F.col("members").alias("of_b"))
     sized = pairs.join(one, "a").join(two, "b").where(F.least(F.length("of_a"), F.length("of_b")) * 100 >= F.greatest(F.length("of_a"), F.length("of_b")) * percent)
-    return sized.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    return sized.select("a", "b", "of_a", "of_b").mapInArrow(trimmed(check), "a long, b long")
 
 
 def _banded(sets: DataFrame, rows: int, percent: int) -> DataFrame:
@@ -329,7 +327,7 @@ def _banded(sets: DataFrame, rows: int, percent: int) -> DataFrame:
             t = band_tokens(data[at[0] : at[-1]].view(np.uint64), (at[:-1] - at[0]) // 8, rows, percent)
             yield pa.RecordBatch.from_arrays([pa.array(t.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), t.shape[1]))], names=["token", "c"])
 
-    return sets.select("c", "members").mapInArrow(run, "token long, c long")
+    return sets.select("c", "members").mapInArrow(trimmed(run), "token long, c long")
 
 
 def sized_sets(places: DataFrame) -> DataFrame:
@@ -346,7 +344,7 @@ def sized_sets(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)], batch.column(1)], names=["c", "n", *PARITY, "members"])
 
     sets = places.where("members is not null").groupBy("c").agg(F.first("members").alias("members"))
-    return sets.mapInArrow(run, "c long, n int, p0 long, p1 long, p2 long, p3 long, members binary")
+    return sets.mapInArrow(trimmed(run), "c long, n int, p0 long, p1 long, p2 long, p3 long, members binary")
 
 
 PARITY = ("p0", "p1", "p2", "p3")
@@ -480,13 +478,13 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     """row, doc_id and the columns of dedup() for docs with doc_id, row, text."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     said, arrow = kind.simpleString(), to_arrow_type(kind)
-    lists = materialize(tokens(docs, percent).repartition("token").sortWithinPartitions("token", "c").mapInArrow(_repeated, "token long, c long, many boolean"), "lists")
+    lists = materialize(tokens(docs, percent).repartition("token").sortWithinPartitions("token", "c").mapInArrow(trimmed(_repeated), "token long, c long, many boolean"), "lists")
     met = materialize(lists.where("many").select("token", "c"), "met")
     known, linked = key_filter(lists.select("c").distinct()), key_filter(met.select("c").distinct())
     places = materialize(occurrences(docs, known, linked), "places")
     near = link(met, materialize(sized_sets(places), "sets"), percent).select(F.col("node").alias("c"), "root")
     near = near.unionAll(near.select(F.col("root").alias("c"), "root").distinct())
-    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    near = sized(near)
 
     units = places.where("p >= 0").drop("members").join(near, "c", "left")
     units = units.select("doc_id", "row", "p", "n", "left", "right", F.coalesce("root", "c").alias("g"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("v"))
@@ -494,9 +492,9 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     heads = units.groupBy("g", "v").agg(F.count("*").alias("k"), F.min(order).alias("x"), (F.min("row") != F.max("row")).alias("across")).where("k > 1")
     heads = heads.hint("rebalance").select("g", "v", "across", *[F.col(f"x.{c}").alias(f"{c}1") for c in ("row", "p", "n", "left", "right")], F.col("x.doc_id").alias("keeper"))
     both = units.join(heads, ["g", "v"]).select("row", "p", "n", "left", "right", "row1", "p1", "n1", "left1", "right1", "keeper", "across")
-    marks = both.mapInArrow(_extend(arrow), f"row long, p long, n long, a long, b long, keeper {said}, across boolean")
+    marks = both.mapInArrow(trimmed(_extend(arrow)), f"row long, p long, n long, a long, b long, keeper {said}, across boolean")
     tallies = marks.repartition("row").sortWithinPartitions("row").mapInArrow(
-        _by_document(arrow), f"row long, n_repeated long, n_removed long, removed_words long, keeper_ids array<{said}>, removed string"
+        trimmed(_by_document(arrow)), f"row long, n_repeated long, n_removed long, removed_words long, keeper_ids array<{said}>, removed string"
     )
     zero = F.lit(0).cast("long")
     out = places.where("p < 0").select("doc_id", "row", F.col("n").alias("n_paragraphs")).join(tallies, "row", "left")

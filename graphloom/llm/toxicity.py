@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks, text_slices
+from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks, text_slices, trimmed
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["doc_id", "score"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -526,7 +526,7 @@ def test_decontamination(spark, docs, doc_rows, no_docs, given):
 
 def test_decontamination_without_broadcasts(docs, given, monkeypatch):
     want = Counter(tuple(r) for r in decontam.find(given("documents"), given("benchmark")).collect())
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontam, "sized", lambda df: df)
     assert Counter(tuple(r) for r in decontam.find(given("documents"), given("benchmark")).collect()) == want
 
 
