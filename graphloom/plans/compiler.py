@@ -30,6 +30,10 @@ def null_term() -> Column:
 
 
 
+#: Shared variables that may be unbound up to which a join is split into joins with a key (three for each such variable).
+MOST_LOOSE = 2
+
+
 @dataclass
 class Solutions:
     """df's columns are the variables; `maybe` of them may be null, `resources` are never literals."""
@@ -144,8 +148,38 @@ class Compiler:
             tests.append(equal)
         return reduce(lambda x, y: x & y, tests) if tests else None
 
+    def _apart(self, a: Solutions, b: Solutions, v: str, how: str, extra) -> Solutions:
+        """A join on a variable that may be unbound, as joins of bound rows, which have a key, and of unbound ones, which fit all."""
+
+        def some(x: Solutions, bound: bool, keep: bool = False) -> Solutions:
+            df = x.df.where(F.col(v).isNotNull() if bound else F.col(v).isNull())
+            return Solutions(df if bound or keep else df.drop(v), x.maybe - {v} if bound else x.maybe, x.resources)
+
+        without = Solutions(b.df.drop(v), b.maybe - {v}, b.resources)
+        if how in ("left_semi", "left_anti"):
+            one, none = some(a, True), some(a, False, keep=True)
+            kept = self.join(one, some(b, True), "left_anti", extra)
+            if how == "left_anti":
+                parts = [self.join(kept, some(b, False), how, extra), self.join(none, without, how, extra)]
+            else:
+                parts = [self.join(one, some(b, True), how, extra), self.join(kept, some(b, False), how, extra), self.join(none, without, how, extra)]
+            return Solutions(reduce(DataFrame.unionByName, [x.df.select(*a.vars) for x in parts]), a.maybe, a.resources)
+        new = [x for x in b.vars if x not in a.vars]
+        parts = [self.join(some(a, True), some(b, True), "inner", extra), self.join(some(a, True), some(b, False), "inner", extra), self.join(some(a, False), b, "inner", extra)]
+        rows = [x.df.select(*a.vars, *new) for x in parts]
+        if how == "left":
+            kinds = {f.name: f.dataType for f in b.df.schema.fields}
+            rows.append(self.join(a, b, "left_anti", extra).df.select(*a.vars, *[F.lit(None).cast(kinds[x]).alias(x) for x in new]))
+            maybe = a.maybe | set(new)
+        else:
+            maybe = {x for x in a.maybe | b.maybe if not (x in a.vars and x in b.vars and (x not in a.maybe or x not in b.maybe))}
+        return Solutions(reduce(DataFrame.unionByName, rows), frozenset(maybe), a.resources | b.resources)
+
     def join(self, a: Solutions, b: Solutions, how: str = "inner", extra=None) -> Solutions:
         shared = [v for v in a.vars if v in b.vars]
+        loose = [v for v in shared if v in a.maybe or v in b.maybe]
+        if loose and len(loose) <= MOST_LOOSE and how in ("inner", "left", "left_semi", "left_anti"):
+            return self._apart(a, b, loose[0], how, extra)
         x, y = a.df.alias("l_"), b.df.alias("r_")
         on = self._on(a, b, shared, "l_", "r_")
         if extra is not None:

@@ -160,3 +160,33 @@ def test_parquet_store_is_a_log_of_versions(spark, g, tmp_path):
     with pytest.raises(StoreError, match="took more"):
         store.rows(slow, seconds=1)
     assert len(store.rows(store.quads, seconds=600)) == n + 1
+
+
+def test_joins_on_unbound_variables_against_a_plain_version(spark):
+    """Rows of OPTIONAL and UNION on either side, joined in every way; no plan has a join without a key but where a side is unbound."""
+    lines = [("<u:a1>", "<u:p>", "<u:1>"), ("<u:a2>", "<u:p>", "<u:2>"), ("<u:a3>", "<u:t>", "<u:T>"), ("<u:a1>", "<u:t>", "<u:T>"), ("<u:a2>", "<u:t>", "<u:T>"),
+             ("<u:b1>", "<u:q>", "<u:1>"), ("<u:b2>", "<u:q>", "<u:3>"), ("<u:b1>", "<u:s>", "<u:S>"), ("<u:b2>", "<u:s>", "<u:S>"), ("<u:b3>", "<u:s>", "<u:S>")]
+    g = quads_of(spark, lines)
+    left, right = "{ ?a <u:t> <u:T> OPTIONAL { ?a <u:p> ?x } }", "{ ?b <u:s> <u:S> OPTIONAL { ?b <u:q> ?x } }"
+    a = [("a1", "1"), ("a2", "2"), ("a3", None)]
+    b = [("b1", "1"), ("b2", "3"), ("b3", None)]
+    fits = lambda x, y: x is None or y is None or x == y
+
+    def rows(text):
+        df = compiler.values(compiler.select(g, text))
+        return sorted(tuple(None if v is None else v.removeprefix("u:") for v in r) for r in df.collect()), df
+
+    key = lambda r: tuple(str(x) for x in r)
+    got, df = rows(f"SELECT ?a ?b ?x WHERE {{ {left} {right} }}")
+    assert sorted(got, key=key) == sorted([(p, q, x or y) for p, x in a for q, y in b if fits(x, y)], key=key)
+    got, _ = rows(f"SELECT ?a ?b ?x WHERE {{ {left} OPTIONAL {right} }}")
+    assert sorted(got, key=key) == sorted([(p, q, x or y) for p, x in a for q, y in b if fits(x, y)], key=key)
+    got, _ = rows("SELECT ?a ?b ?x WHERE { ?a <u:p> ?x OPTIONAL { ?b <u:q> ?x } }")
+    assert sorted(got, key=key) == [("a1", "b1", "1"), ("a2", None, "2")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, df = rows(f"SELECT ?a ?b ?x WHERE {{ {left} {right} }}")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
