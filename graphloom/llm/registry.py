@@ -90,6 +90,23 @@ select conv_id, count(*) as n_turns,
 from f group by conv_id
 """
 
+#: op2: all pairs of sets that share a shingle, by their words; the least doc_id over the closure of the links.
+OP2_SQL = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+    select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)
+), n as (select doc_id, count(*) as k from s group by doc_id),
+sets as (select doc_id, k, row_number() over (partition by x order by doc_id) as nth, min(doc_id) over (partition by x) as rep from (select doc_id, count(*) as k, md5(string_agg(g, chr(10) order by g)) as x from s group by doc_id)),
+r as (select s.doc_id, s.g from s join sets using (doc_id) where nth = 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as x from r a join r b using (g) where a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c.x >= 75 * (x.k + y.k - c.x)),
+e as (select a, b from l union all select b, a from l),
+t as (select a, b from e union select t.a, e.b from t join e on t.b = e.a),
+m as (select a, least(a, min(b)) as root from t group by a)
+select w.doc_id, coalesce(sets.k, 0) as n_shingles, coalesce(m.root, sets.rep, w.doc_id) as component_id from w left join sets on w.doc_id = sets.doc_id left join m on m.a = sets.rep
+"""
+
 #: op10: every window of every item against every window of every document, by equality of the joined words.
 OP10_SQL = r"""
 with w as (
@@ -121,4 +138,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op10_decontamination": OP10_SQL}
