@@ -180,6 +180,28 @@ def test_shards_edit_the_stored_map(spark, given):
         shards.save(spark, third, f"{name}-24")
 
 
+def test_shards_against_a_plain_version(spark, docs, doc_rows):
+    """Slots by the hash as Spark defines it, computed here; shards by the stored map; places by sorting."""
+    import xxhash
+
+    name = f"plain-{random.random()}"
+    got = Counter(tuple(r[c] for c in ("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot")) for r in shards.shard(docs, name=name).collect())
+    m = shards.load(spark, f"{name}-24")
+
+    def slot_of(i, t):
+        seed = 42 if i is None else xxhash.xxh64(i.to_bytes(8, "little", signed=True), seed=42).intdigest()
+        h = xxhash.xxh64((t or "").encode(), seed=seed).intdigest()
+        return (h - 2**64 if h >= 2**63 else h) % shards.VIRTUAL_SLOTS
+
+    rows = sorted((slot_of(i, t), i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8, i) for i, t, *_ in doc_rows)
+    want, seen = Counter(), Counter()
+    for v, _, _, crc, size, i in rows:
+        k = m.shard_of[v]
+        want[(i, size, crc, k, seen[k], v)] += 1
+        seen[k] += 1
+    assert got == want
+
+
 def test_shards_of_the_table(given):
     loads = [r["b"] for r in shards.shard(given("documents"), name="table").groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(loads) == 24 and max(loads) <= 1.25 * min(loads)  # 200 documents of up to a shard's size
@@ -388,6 +410,19 @@ def test_quality_counts(docs, doc_rows, no_docs, given):
     assert quality.predict(no_docs, given("labels")).count() == 0
 
 
+def test_quality_verdicts_against_a_plain_version(spark, sf_dir):
+    """The rules as the operator learnt them, applied row by row, one after another."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    learnt = quality.fit(docs, labels)
+    assert learnt
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in quality.predict(docs, labels).collect():
+        data = dict(zip([*quality.COUNTS, *quality.RATIOS], quality.measure(texts[r["doc_id"]] or "")))
+        low = any(all(data[c.feature] >= c.threshold if c.at_least else data[c.feature] <= c.threshold for c in rule) for rule in learnt)
+        failed = data["n_words"] < 50 or 100 * data["n_repeat_words"] > 50 * data["n_words"]
+        assert r["base_failed"] == failed and r["kept"] == (not failed and not low)
+
+
 def test_quality_rules_learn():
     rnd = np.random.default_rng(1)
     x, y = rnd.uniform(0, 1, 3000), rnd.uniform(0, 1, 3000)
@@ -455,6 +490,44 @@ def test_secret_base_spans(docs, doc_rows, no_docs, given):
     assert secrets.find(no_docs).count() == 0
 
 
+def test_secret_spans_against_a_plain_version(spark, docs, doc_rows, given):
+    """All runs of all texts, their p-values, and the procedure of Benjamini and Hochberg over each class of length, in plain loops."""
+    for table, rows in ((docs, [(i, t) for i, t, *_ in doc_rows]), (given("documents"), [(r["doc_id"], r["text"]) for r in given("documents").collect()])):
+        letters = secrets.letter_model(sum((secrets.bigrams([t or ""]) for _, t in rows), np.zeros((26, 26))))
+        runs = []
+        for k, (_, t) in enumerate(rows):
+            for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+                for a, b in secrets._rests(*m.span(), secrets.base_spans(t), t):
+                    p_random, p_text = secrets.battery(t[a:b], letters)
+                    level = min(secrets.BINS - 1, int(-np.log10(max(p_text, 1e-300)) / secrets.BIN))
+                    runs.append((min(secrets.LENGTHS - 1, (b - a).bit_length()), level if p_random >= secrets.ALPHA else -1, k, a, b))
+        found = defaultdict(list)
+        for length in {r[0] for r in runs}:
+            of = sorted((r for r in runs if r[0] == length), key=lambda r: -r[1])
+            last = 0
+            for n in range(1, len(of) + 1):
+                end_of_ties = n == len(of) or of[n][1] != of[n - 1][1]
+                if end_of_ties and of[n - 1][1] >= 0 and 10.0 ** (-secrets.BIN * of[n - 1][1]) <= secrets.FDR * n / len(of):
+                    last = n
+            for _, _, k, a, b in of[:last]:
+                found[k].append((a, 3, b))
+        want = Counter()
+        for k, (i, t) in enumerate(rows):
+            spans = sorted(secrets.base_spans(t or "") + found[k])
+            want[(i, ",".join(f"{secrets.KINDS[kind]}:{a}:{b}" for a, kind, b in spans))] += 1
+        assert Counter((r["doc_id"], r["spans"]) for r in secrets.find(table).collect()) == want
+
+
+def test_ids_of_any_size_stay_as_they_are(spark, given):
+    """Ids beyond 2^53 beside a null in one batch."""
+    ids = [2**53, 2**53 + 1, None, -(2**62) - 1]
+    table = spark.createDataFrame([(i, f"some words of text {k} password=abcdef12", "x", "en") for k, i in enumerate(ids)], "doc_id long, text string, size string, lang string").coalesce(1)
+    labels = given("labels").limit(0)
+    key = lambda xs: sorted(xs, key=str)
+    for out in (quality.predict(table, labels), toxicity.predict(table, labels), secrets.find(table), langid.predict(table), bpe.token_digests(table), ngram_join.join(table), substring_dedup.dedup(table), shards.shard(table, name="big")):
+        assert key(r["doc_id"] for r in out.collect()) == key(ids)
+
+
 def test_randomness_battery(spark):
     rnd = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
