@@ -629,15 +629,36 @@ def windowed_events(spark, sf_dir):
     return rows.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("h"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+# What the profile above says, attribute by attribute: type, attribute, IRI, range, its class or datatype, least, most, rules.
+STATED = """(values ('Customer', 'name', 'urn:customer#c_name', 'http://www.w3.org/2001/XMLSchema#string', 'http://www.w3.org/2001/XMLSchema#string', 1, 1),
+    ('Customer', 'segment', 'urn:customer#c_mktsegment', 'http://www.w3.org/2001/XMLSchema#string', 'http://www.w3.org/2001/XMLSchema#string', null, 1),
+    ('Customer', 'nation', 'urn:customer#c_nationkey', 'Nation', 'urn:nation', null, 1), ('Customer', 'orders', 'urn:orders#o_custkey', 'Order', 'urn:orders', null, 12),
+    ('Nation', 'name', 'urn:nation#n_name', 'http://www.w3.org/2001/XMLSchema#string', 'http://www.w3.org/2001/XMLSchema#string', 1, 1),
+    ('Order', 'status', 'urn:orders#o_orderstatus', 'or', null, null, 1), ('Order', 'customer', 'urn:orders#o_custkey', 'Customer', 'urn:customer', 1, 1)) as a(t, id, uri, range_, target, lo, hi)"""
+TYPES = "(values ('Customer', 'urn:customer'), ('Nation', 'urn:nation'), ('Order', 'urn:orders')) as k(t, iri)"
+
+
+@query(f"""select t as type, id as attribute, uri, range_ as "range", coalesce(lo, 0) || '..' || coalesce(cast(hi as varchar), 'n') as cardinality, false as is_class, null::varchar as super_types, null::varchar as rdf_types,
+    'maxCardinality, ' || case when lo is null then '' else 'minCardinality, ' end || 'range' as rules from {STATED}
+union all select t, null, null, null, null, true, '', iri, null from {TYPES}""")
 def collapsed_profile_sheet(spark, sf_dir):
     from graphloom.operators.ontology import to_sheet
 
     return to_sheet(spark, collapse(profile()))
 
 
-@query()
+@query(f"""with a as (select a.*, k.iri from {STATED} join {TYPES} on a.t = k.t), w as (select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as isa, 'http://www.w3.org/2000/01/rdf-schema#' as rdfs, 'http://www.w3.org/2002/07/owl#' as owl)
+select iri as s, isa as p, owl || 'Class' as o from {TYPES}, w union select 'urn:profile:sales', isa, owl || 'Ontology' from w
+union select uri, isa, owl || case when range_ like 'http%' then 'Datatype' else 'Object' end || 'Property' from a, w union select uri, rdfs || 'domain', iri from a, w
+union select uri, rdfs || 'range', target from a, w where target is not null
+union select iri, uri, 'minCardinality ' || lo from a where lo is not null union select iri, uri, 'maxCardinality ' || hi from a where hi is not null""")
 def profile_to_owl(spark, sf_dir):
+    """Statements without blank nodes, and each restriction as (class, property, count)."""
     from graphloom.operators.ontology import to_owl
 
-    return to_owl(spark, profile()).select(*TRIPLE)
+    g = to_owl(spark, profile())
+    named = g.where("s_kind = 'iri' and o_kind <> 'bnode'").select("s", "p", "o")
+    of = lambda p, name: g.where(F.col("p").endswith(p) & (F.col("s_kind") == "bnode")).select(F.col("s").alias("b"), F.col("o").alias(name))
+    classes = g.where(F.col("p").endswith("#subClassOf") & (F.col("o_kind") == "bnode")).select(F.col("o").alias("b"), "s")
+    counts = g.where(F.col("p").endswith("Cardinality")).select(F.col("s").alias("b"), F.concat(F.substring_index("p", "#", -1), F.lit(" "), "o").alias("o"))
+    return named.unionByName(classes.join(of("#onProperty", "p"), "b").join(counts, "b").select("s", "p", "o")).distinct()
