@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.functions.terms import RDF_TYPE, SKOS
-from graphloom.operators.profile import Attribute, Profile, Rule
+from graphloom.operators.profile import Attribute, Profile, ProfileError, Rule
 from graphloom.plans import compiler
-from graphloom.plans.sparql import Node
+from graphloom.plans.compiler import constant
+from graphloom.plans.sparql import Node, tokens
 from graphloom.sources.quads import QuadSource, as_source, set_of
 
 O_TERM = ("o_kind", "o", "o_dt", "o_lang")
@@ -243,14 +244,32 @@ def from_params(params: Mapping[str, str | Sequence[str]]) -> list:
 # Snippets and paths
 
 
-def snippet_values(source, profile: Profile, snippet: str, resources: DataFrame, prefixes=None) -> DataFrame:
-    """(in, out, types): a SPARQL fragment with $in and ?out for all resources (column s) at once, outputs with their classes."""
-    text = "SELECT ?in ?out WHERE { " + snippet.replace("$in", "?in") + " }"
-    bound = resources.select(terms.iri(F.col("s")).alias("in"))
-    rows = compiler.select(source, text, prefixes, bound).distinct()
+def snippet_variables(snippet: str) -> tuple[list[str], list[str]]:
+    """(inputs $x, outputs ?x) of a SPARQL fragment, in order; what stands in texts, IRIs and comments is none."""
+    names = [t for kind, t in tokens(snippet) if kind == "var"]
+    return tuple(list(dict.fromkeys(n[1:] for n in names if n[0] == sign)) for sign in "$?")
+
+
+def snippet_values(source, profile: Profile, snippet: str, resources: DataFrame, prefixes=None, parameters: Mapping[str, Node] | None = None) -> DataFrame:
+    """(in, out, types, type): a SPARQL fragment for all resources (column s, bound to $in) at once; parameters bind other inputs.
+
+    One row for each input and output, an output's classes in one array; type is the type of the profile whose classes are
+    exactly those, null where none or more than one is. Inputs without a value, and a fragment without ?out, are an error.
+    """
+    inputs, outputs = snippet_variables(snippet)
+    parameters = parameters or {}
+    if missing := [n for n in inputs if n != "in" and n not in parameters]:
+        raise ProfileError(f"no value for {missing}")
+    if "out" not in outputs:
+        raise ProfileError("a snippet gives ?out")
+    text = " ".join("?" + t[1:] if kind == "var" else t for kind, t in tokens(snippet))
+    bound = resources.select(terms.iri(F.col("s")).alias("in"), *[constant(v).alias(n) for n, v in parameters.items() if n in inputs])
+    rows = compiler.select(source, "SELECT ?in ?out WHERE { " + text + " }", prefixes, bound).distinct()
     sets = type_sets(source).withColumnRenamed("s", "_s")
     out = rows.join(sets, F.col("out.value") == F.col("_s"), "left")
-    return out.select(F.col("in.value").alias("in"), F.col("out.value").alias("out"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
+    types = F.coalesce("types", F.array().cast("array<string>"))
+    exact = F.array_compact(F.array(*[F.when((F.size(types) == len(profile.rdf_types(t))) & (F.size(F.array_except(types, F.array(*[F.lit(c) for c in profile.rdf_types(t)]).cast("array<string>"))) == 0), F.lit(t)) for t in profile.type_ids() if profile.rdf_types(t)]))
+    return out.select(F.col("in.value").alias("in"), F.col("out.value").alias("out"), types.alias("types"), F.when(F.size(exact) == 1, F.get(exact, F.lit(0))).alias("type"))
 
 
 def load_paths(source, profile: Profile, type_id: str, roots: DataFrame, attributes: Sequence[str] = (), paths: Sequence[str] = ()) -> DataFrame:

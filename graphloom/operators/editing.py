@@ -187,3 +187,54 @@ def request_parameters(allowed: Mapping[str, Validator | None], *given: Mapping[
         if (v := allowed[name]) is not None and not v.accepts(value):
             raise ValueError(f"parameter {name} can't be {value!r}")
     return {name: "" if merged.get(name) is None else merged[name] for name in allowed}
+
+
+# Typed JSON
+
+
+def from_typed_json(documents: DataFrame, profile: Profile, column: str = "json") -> DataFrame:
+    """Detached resources (s, type, attributes) of JSON documents, one for each IRI however often it is in them.
+
+    An attribute that a document names is a key, with an empty array where its object is empty; others aren't there. Values of
+    inverse attributes are those that point to the resource. Resources whose type the profile lacks are an error.
+    """
+    from graphloom.operators.documents import from_json
+    from graphloom.operators.profile import doc_profile
+    from graphloom.sources.shared import cut
+
+    known = set(profile.type_ids())
+
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                data = json.loads(text)
+                for x in [data["data"], *data.get("included", [])]:
+                    types = x["type"] if isinstance(x["type"], list) else [x["type"]]
+                    if bad := [t for t in types if t not in known]:
+                        raise ConversionError(f"no type {bad[0]}")
+                    out += [(x["uri"], t, list(x.get("attributes", {}))) for t in types]
+            s, t, names = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(t, pa.string()), pa.array(names, pa.list_(pa.string()))], names=["s", "type", "names"])
+
+    texts = documents.select(F.col(column).alias("json"))
+    named = texts.mapInArrow(run, "s string, type string, names array<string>").groupBy("s", "type").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    named, quads, out = cut(named), cut(from_json(texts, doc_profile(profile))), None
+    for t in sorted(known):
+        of = named.where(F.col("type") == t)
+        rows = detach(quads, profile, t, of).join(of.select("s", "names"), "s")
+        rows = rows.select("s", "type", F.map_filter("attributes", lambda k, _: F.array_contains("names", k)).alias("attributes"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def cached_json(spark, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of JSON files: make() is computed and written once, whole; later calls, of other sessions too, read the files."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").json(path)
+    return spark.read.json(path)

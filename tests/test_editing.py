@@ -105,3 +105,23 @@ def test_ranks_and_pages(spark):
     texts = sync.delta_text(d, 10).collect()
     assert [r["text"].count(" .") for r in texts] == [10, 10, 5, 10, 10, 5] and [r["text"][:6] for r in texts] == ["DELETE"] * 3 + ["INSERT"] * 3
     assert STRING
+
+
+def test_typed_json_and_cached_files(spark, tmp_path):
+    p = load(PROFILE)
+    doc = {"data": {"uri": "http://ex/h", "type": "P", "attributes": {"name": {"xsd:string": ["Homer", "H"]}, "child": {"references": ["http://ex/b"]}}}, "included": [{"uri": "http://ex/b", "type": "P", "attributes": {"name": {}, "parent": {"references": ["http://ex/h"]}}}]}
+    again = {"data": {"uri": "http://ex/b", "type": "P", "attributes": {"child": {}}}, "included": []}
+    import json
+
+    docs = spark.createDataFrame([(json.dumps(doc),), (json.dumps(again),)], "json string")
+    got = {r["s"]: {k: sorted(x["value"] for x in v) for k, v in r["attributes"].items()} for r in editing.from_typed_json(docs, p).collect()}
+    assert got == {"http://ex/h": {"name": ["H", "Homer"], "child": ["http://ex/b"]}, "http://ex/b": {"name": [], "parent": ["http://ex/h"], "child": []}}
+    bad = spark.createDataFrame([(json.dumps({"data": {"uri": "u:1", "type": "No"}}),)], "json string")
+    with pytest.raises(Exception, match="no type No"):
+        editing.from_typed_json(bad, p).collect()
+    made = []
+    path = str(tmp_path / "cached")
+    for _ in range(2):
+        rows = editing.cached_json(spark, path, lambda: made.append(1) or spark.range(3))
+        assert rows.count() == 3
+    assert made == [1]

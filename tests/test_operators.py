@@ -65,6 +65,12 @@ def test_access(g, p):
     assert access.only_literals(rows).count() == 0 and access.ignore_attributes(rows, ["child"]).count() == 4
     with pytest.raises(Exception, match="illegal attribute"):
         access.illegal_attributes(rows, ["spouse"]).collect()
+    assert access.snippet_variables("$in ex:p ?x . ?x <u:?no> ?out FILTER(?x != '$no' && ?out = $to) # ?none") == (["in", "to"], ["x", "out"])
+    named = access.snippet_values(g, p, "$in ex:child ?out . ?out ex:name $name", access.find_all(g, p, "Person"), PREFIX, {"name": Node("lit", "Lisa", STRING)}).collect()
+    assert [(r["in"], r["out"], sorted(r["types"]), r["type"]) for r in named] == [("http://ex/h", "http://ex/l", ["http://ex/Child", "http://ex/Person"], "Child")]
+    for bad in ("$in ex:child ?x", "$in ex:child ?out . ?out ex:name $name"):
+        with pytest.raises(ProfileError):
+            access.snippet_values(g, p, bad, access.find_all(g, p, "Person"), PREFIX)
     out = access.snippet_values(g, p, "$in ex:child ?out", access.find_all(g, p, "Person"), PREFIX)
     assert {(r["in"][-1], r["out"][-1], len(r["types"])) for r in out.collect()} == {("h", "b", 2), ("h", "l", 2)}
     paths = access.load_paths(g, p, "Person", access.find_matching(g, p, "Person", {"name": Node("lit", "Marge", STRING)}), ["name"], ["spouse.child.talks"])
