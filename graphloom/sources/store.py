@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ from graphloom.plans import compiler
 from graphloom.sources.quads import COLUMNS, SCHEMA, difference, relaxed, set_of, union
 
 
+class StoreError(RuntimeError):
+    """A store that isn't ready, a query that took too long, a write where none is allowed, or another writer's version in the way."""
+
+
+def _refuse(state: DataFrame) -> None:
+    raise StoreError("a write inside a read")
+
+
 class QuadStore:
     """A store over a DataFrame."""
 
@@ -56,6 +65,30 @@ class QuadStore:
     def update(self, text: str, prefixes=None, bindings: DataFrame | None = None, now: str | None = None) -> None:
         self._replace(compiler.update(self.quads, text, prefixes, bindings, now))
 
+    @contextmanager
+    def transaction(self, write: bool = False) -> Iterator[QuadStore]:
+        """One state for all reads inside; what is written inside appears at its end as one change, or not at all if it fails.
+
+        A read inside a transaction joins it; a write inside a read is an error.
+        """
+        outer = getattr(self, "_open", None)
+        if outer is not None:
+            if write and not outer.writes:
+                raise StoreError("a write inside a read")
+            yield outer
+            return
+        inner = QuadStore(self.spark)
+        inner._state, inner.writes, began = self.quads, write, self.quads
+        if not write:
+            inner._replace = _refuse  # type: ignore[method-assign]
+        self._open = inner._open = inner
+        try:
+            yield inner
+            if write and inner._state is not began:
+                self._replace(inner._state)
+        finally:
+            self._open = None
+
     # graphs
 
     def graph(self, name: str | None) -> DataFrame:
@@ -107,10 +140,6 @@ class QuadStore:
             raise
 
 
-class StoreError(RuntimeError):
-    """A store that isn't ready, a query that took too long, or another writer's version in the way."""
-
-
 class ParquetStore(QuadStore):
     """A store in a folder: <folder>/parts/<id> holds quads laid out by predicate, <folder>/versions/v-<number> names parts.
 
