@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, mix64, text_chunks, text_slices, trimmed
+from graphloom.llm.common import STEP, code_points, held_out, in_training_fold, letter_fold, materialize, mix64, text_chunks, text_slices, trimmed
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     near = F.abs(F.xxhash64("doc_id") % 1_000_000) < int(1_000_000 * min(1.0, max_rows / max(n, 1)))
     known = known.where(near).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
-    sample = sample.select("text", "y")
+    sample = materialize(sample.select("text", "y"), "labelled")  # read three times
 
     def count(batches):
         for pdf in batches:
