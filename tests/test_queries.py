@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from graphloom import more_queries  # noqa: F401
 from graphloom.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
