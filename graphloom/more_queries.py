@@ -155,3 +155,10 @@ def ontology_rules(spark, sf_dir):
     ]
     found = owl_rules.rules_of(set_of(union(compiler.construct(src, classes, names), *limits)), expand=False)
     return found.where(F.col("subject").startswith("urn:part:")).withColumn("number", F.coalesce("number", F.lit(0)))
+
+
+@query("""select 'urn:customer:' || c_custkey as s from customer where c_acctbal > 9000 or exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000) or not exists (select 1 from orders where o_custkey = c_custkey)""")
+def rich_or_idle(spark, sf_dir):
+    """EXISTS inside a disjunction."""
+    text = "SELECT ?s WHERE { ?s customer:c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o orders:o_custkey ?s ; orders:o_totalprice ?t FILTER(?t > 400000) } || NOT EXISTS { ?o orders:o_custkey ?s }) }"
+    return compiler.values(compiler.select(graph(spark, sf_dir, "customer", "orders"), text, P))

@@ -285,16 +285,52 @@ class Compiler:
     def extend(self, s: Solutions, e, name: str) -> Solutions:
         return Solutions(s.df.withColumn(name, self.as_term(e, self._names(s))), s.maybe | {name}, s.resources)
 
+    @staticmethod
+    def _inward(e):
+        """A negation of a conjunction, disjunction, negation or EXISTS, moved to its parts."""
+        inner = e.args[0] if isinstance(e, Call) and e.name == "!" else None
+        if isinstance(inner, Exists):
+            return Exists(inner.group, not inner.negated)
+        if isinstance(inner, Call) and inner.name == "!":
+            return inner.args[0]
+        if isinstance(inner, Call) and inner.name in ("&&", "||"):
+            return Call("||" if inner.name == "&&" else "&&", tuple(Call("!", (x,)) for x in inner.args))
+        return e
+
     def filter(self, s: Solutions, e) -> Solutions:
-        if isinstance(e, Call) and e.name == "&&":
-            return self.filter(self.filter(s, e.args[0]), e.args[1])
-        if isinstance(e, Call) and e.name == "!" and isinstance(e.args[0], Exists):
-            e = Exists(e.args[0].group, not e.args[0].negated)
+        """Rows where e is true. EXISTS inside a disjunction splits it: rows where the one side is true, then of the others those
+        where the other side is."""
+        if not self._has_exists(e):
+            return Solutions(s.df.where(self.truth(e, self._names(s))), s.maybe, s.resources)
+        e = self._inward(e)
         if isinstance(e, Exists):
             return self.exists(s, e)
-        if self._has_exists(e):
-            raise UnsupportedSparql("EXISTS inside || or a function")
-        return Solutions(s.df.where(self.truth(e, self._names(s))), s.maybe, s.resources)
+        if e.name == "&&":
+            return self.filter(self.filter(s, e.args[0]), e.args[1])
+        if e.name == "||":
+            return self._beside(s, self.filter(s, e.args[0]), self.filter(self.reject(s, e.args[0]), e.args[1]))
+        if e.name == "!" and self._inward(e) is not e:
+            return self.filter(s, self._inward(e))
+        raise UnsupportedSparql("EXISTS inside a function")
+
+    def reject(self, s: Solutions, e) -> Solutions:
+        """The other rows: e is false there or an error."""
+        if not self._has_exists(e):
+            return Solutions(s.df.where(~F.coalesce(self.truth(e, self._names(s)), F.lit(False))), s.maybe, s.resources)
+        e = self._inward(e)
+        if isinstance(e, Exists):
+            return self.exists(s, Exists(e.group, not e.negated))
+        if e.name == "&&":
+            return self._beside(s, self.reject(s, e.args[0]), self.reject(self.filter(s, e.args[0]), e.args[1]))
+        if e.name == "||":
+            return self.reject(self.reject(s, e.args[0]), e.args[1])
+        if e.name == "!" and self._inward(e) is not e:
+            return self.reject(s, self._inward(e))
+        raise UnsupportedSparql("EXISTS inside a function")
+
+    @staticmethod
+    def _beside(s: Solutions, a: Solutions, b: Solutions) -> Solutions:
+        return Solutions(a.df.select(*s.vars).unionByName(b.df.select(*s.vars)), s.maybe, s.resources)
 
     def exists(self, s: Solutions, e: Exists) -> Solutions:
         tests = [p[1] for p in e.group.parts if isinstance(p, tuple) and p[0] == "filter" and not self._has_exists(p[1])]

@@ -190,3 +190,23 @@ def test_joins_on_unbound_variables_against_a_plain_version(spark):
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exists_inside_disjunctions(spark):
+    facts = [(f"<u:{i}>", "<u:n>", f'"{i}"^^<http://www.w3.org/2001/XMLSchema#integer>') for i in range(8)]
+    facts += [(f"<u:{i}>", "<u:p>", "<u:x>") for i in (1, 3, 5)] + [(f"<u:{i}>", "<u:q>", "<u:y>") for i in (3, 4)]
+    g = quads_of(spark, facts)
+    p, q, n = lambda i: i in (1, 3, 5), lambda i: i in (3, 4), range(8)
+    cases = {
+        "?n > 6 || EXISTS { ?s <u:p> ?x }": lambda i: i > 6 or p(i),
+        "EXISTS { ?s <u:p> ?x } || NOT EXISTS { ?s <u:q> ?y }": lambda i: p(i) or not q(i),
+        "!(EXISTS { ?s <u:p> ?x } || EXISTS { ?s <u:q> ?y })": lambda i: not (p(i) or q(i)),
+        "!(?n < 4 && EXISTS { ?s <u:p> ?x })": lambda i: not (i < 4 and p(i)),
+        "(EXISTS { ?s <u:p> ?x } && ?n > 2) || (EXISTS { ?s <u:q> ?y } && !(!(?n = 4)))": lambda i: p(i) and i > 2 or q(i) and i == 4,
+        "?none > 1 || EXISTS { ?s <u:q> ?y FILTER(?n > 3) }": lambda i: q(i) and i > 3,
+    }
+    for text, holds in cases.items():
+        got = compiler.values(compiler.select(g, f"SELECT ?s WHERE {{ ?s <u:n> ?n FILTER({text}) }}")).collect()
+        assert sorted(r["s"] for r in got) == [f"u:{i}" for i in n if holds(i)], text
+    with pytest.raises(UnsupportedSparql):
+        compiler.select(g, "SELECT ?s WHERE { ?s <u:n> ?n FILTER(IF(EXISTS { ?s <u:p> ?x }, true, false)) }")
