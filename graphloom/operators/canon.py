@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms
 from graphloom.operators.ranks import ranked
 from graphloom.sources.quads import set_of
-from graphloom.sources.shared import cut
+from graphloom.sources.shared import cut, in_order
 
 SKOLEM = "/.well-known/genid/"
 
@@ -41,13 +41,13 @@ def blank_digests(quads: DataFrame, max_depth: int = 64) -> DataFrame:
     for _ in range(max_depth):
         if have == total:
             return done
-        child = done.select(F.col("node").alias("o_node"), "digest")
+        child = done.select(F.col("node").alias("o_node"), "digest").hint("merge")  # files of like digests are small, their rows aren't
         rows = own.join(child, (F.col("o_kind") == "bnode") & (F.col("o") == F.col("o_node")), "left")
         ready = rows.groupBy(F.col("s").alias("node")).agg(
             F.max((F.col("o_kind") == "bnode") & F.col("digest").isNull()).alias("waits"),
             F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.concat(F.coalesce("digest", F.lit("")), triple_text()), 256))), ""), 256).alias("digest"),
         )
-        done = cut(done.unionByName(ready.where(~F.col("waits")).select("node", "digest").join(done, "node", "left_anti")))
+        done = cut(done.unionByName(ready.where(~F.col("waits")).select("node", "digest").join(done.hint("merge"), "node", "left_anti")))
         now = done.count()
         if now == have:
             break
@@ -68,7 +68,7 @@ def model_digest(quads: DataFrame, by: list[str] | None = None) -> DataFrame:
     objects = quads.where(F.col("o_kind") == "bnode").select(F.col("o").alias("s")).distinct()
     inner = quads.where(F.col("s_kind") == "bnode").join(objects, "s", "left_semi")
     roots = quads.join(inner.select("s").distinct().withColumn("_in", F.lit(True)), "s", "left").where((F.col("s_kind") == "iri") | F.col("_in").isNull())
-    rows = roots.join(d, (F.col("o_kind") == "bnode") & (F.col("o") == F.col("node")), "left")
+    rows = roots.join(d.hint("merge"), (F.col("o_kind") == "bnode") & (F.col("o") == F.col("node")), "left")
     one = F.sha2(F.concat(F.coalesce("digest", F.lit("")), triple_text()), 256)
     return joined_sha256(rows.select(*by, one.alias("d")), "d", by)
 
@@ -77,24 +77,28 @@ def joined_sha256(texts: DataFrame, column: str, by: list[str], order: list[Colu
     """by and digest: the SHA-256 of the texts of each value of by, in order (their own by default), one after another.
 
     SHA-256 needs its input in one sequence, but not at once: sorted partitions stream through it. Without by the sort itself
-    is parallel, and the driver streams over its partitions in blocks of texts.
+    is parallel, and one task streams over its partitions; the driver gets the digest alone.
     """
-    spark, order = texts.sparkSession, order or [F.col(column)]
+    order = order or [F.col(column)]
     gap = between.encode()
     if not by:
 
-        def blocks(batches):
+        def whole(batches):
             import pyarrow as pa
 
+            sha, last = hashlib.sha256(), -1
             for batch in batches:
+                ids = batch.column(0)
                 if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([gap.join(x.encode() for x in batch.column(0).to_pylist())], pa.binary())], names=["b"])
+                    if ids[0].as_py() <= last:
+                        raise DigestError("sorted partitions out of order")
+                    block = gap.join(x.encode() for x in batch.column(1).to_pylist())
+                    sha.update(gap + block if last >= 0 else block)
+                    last = ids[-1].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()])], names=["digest"])
 
-        sha, first = hashlib.sha256(), True
-        for r in texts.orderBy(*order).select(column).mapInArrow(blocks, "b binary").toLocalIterator():
-            sha.update(r["b"] if first else gap + r["b"])
-            first = False
-        return spark.createDataFrame([(sha.hexdigest(),)], "digest string")
+        rows = cut(texts.orderBy(*order).select(F.monotonically_increasing_id().alias("id"), F.col(column).alias("text")), "sorted")
+        return in_order(rows).mapInArrow(whole, "digest string")
 
     keys = [f"k{i}" for i in range(len(by))]
     flat = texts.select(F.to_json(F.struct(*by)).alias("key"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(column).alias("text"), F.struct(*order).alias("place"))
@@ -147,7 +151,7 @@ def xor_hash(quads: DataFrame, by: list[str] | None = None) -> DataFrame:
 def relabel(quads: DataFrame) -> DataFrame:
     """Blank nodes labelled by their digests; nodes of equal content become one."""
     d = blank_digests(quads)
-    s, o = d.select(F.col("node").alias("_s"), F.col("digest").alias("_sd")), d.select(F.col("node").alias("_o"), F.col("digest").alias("_od"))
+    s, o = (d.select(F.col("node").alias(f"_{x}"), F.col("digest").alias(f"_{x}d")).hint("merge") for x in "so")
     rows = quads.join(s, (F.col("s_kind") == "bnode") & (F.col("s") == F.col("_s")), "left").join(o, (F.col("o_kind") == "bnode") & (F.col("o") == F.col("_o")), "left")
     return set_of(rows.select("g", F.coalesce("_sd", "s").alias("s"), "s_kind", "p", F.coalesce("_od", "o").alias("o"), "o_kind", "o_dt", "o_lang"))
 

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,16 @@ def cut(df: DataFrame, name: str = "state") -> DataFrame:
     return out
 
 
+def in_order(table: DataFrame) -> DataFrame:
+    """A table that cut() has written as one partition, which streams over its files in the order of the tasks that wrote them."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    # names are part-<task>-<id>-c<file of the task>; the number of the task may outgrow its five digits
+    files = sorted((x for x in (f.getPath().toString() for f in found) if "/part-" in x), key=lambda x: (int(x.rsplit("/part-", 1)[1].split("-")[0]), x))
+    return reduce(DataFrame.unionAll, [spark.read.schema(table.schema).parquet(x) for x in files]).coalesce(1)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that cut() has written and that no later plan reads."""
     for df in tables:

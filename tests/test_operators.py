@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -388,3 +389,12 @@ def test_rules_of_an_ontology_and_their_profile(spark):
     assert {"someValuesFrom", "hasValue", "maxQualifiedCardinality", "extra", "domain"} <= kinds
     with pytest.raises(ProfileError, match="0 ontologies"):
         owl_rules.profile_of(rows.where("kind <> 'ontology'"))
+
+
+def test_digest_of_sorted_texts_keeps_them_from_the_driver(spark, monkeypatch):
+    texts = spark.range(0, 20000, 1, 7).select(F.format_string("%05d", F.col("id") * 7919 % 20000).alias("t"))
+    wants = {gap: hashlib.sha256(gap.join(f"{i:05d}" for i in range(20000)).encode()).hexdigest() for gap in ("", "\n\n")}
+    monkeypatch.setattr(type(texts), "toLocalIterator", lambda *a, **b: pytest.fail("texts sent to the driver"))
+    for gap, want in wants.items():
+        assert [tuple(r) for r in canon.joined_sha256(texts, "t", [], between=gap).collect()] == [(want,)]
+    assert canon.joined_sha256(texts.limit(0), "t", []).first()["digest"] == hashlib.sha256(b"").hexdigest()
