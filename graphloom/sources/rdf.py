@@ -46,13 +46,18 @@ def from_lines(lines: DataFrame, column: str = "value", strict: bool = True) ->
         rows = rows.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not N-Quads: "), c)).cast("boolean")))
     else:
         rows = rows.where(good)
-    s, p, o, g = (F.regexp_extract(c, LINE, i) for i in (1, 2, 3, 4))
-    st, ot = terms.parse_term(s), terms.parse_term(o)
+    # One match a line: only the object may hold blanks, so it comes last. Generators keep later filters, such as those that joins
+    # infer, from being evaluated on copies of these expressions.
+    parts = F.split(F.regexp_replace(c, LINE[:-1] + r"\R?\z", "$1 $2 $4 $3"), " ", 4)
+    t = rows.select(F.explode(F.array(parts)).alias("_t")).select(*[F.col("_t")[i].alias(f"_{x}") for i, x in enumerate("spgo")])
+    t = t.select("_p", "_g", terms.parse_term(F.col("_s")).alias("_s"), terms.parse_term(F.col("_o")).alias("_o"))
     strip = lambda x: F.substr(x, F.lit(2), F.length(x) - 2)
-    return rows.select(
-        F.when(g != "", strip(g)).alias("g"), st["value"].alias("s"), st["kind"].alias("s_kind"), strip(p).alias("p"),
-        ot["value"].alias("o"), ot["kind"].alias("o_kind"), ot["dt"].alias("o_dt"), ot["lang"].alias("o_lang"),
+    g, p, s, o = F.col("_g"), F.col("_p"), F.col("_s"), F.col("_o")
+    quad = F.struct(
+        F.when(g != "", strip(g)).alias("g"), s["value"].alias("s"), s["kind"].alias("s_kind"), strip(p).alias("p"),
+        o["value"].alias("o"), o["kind"].alias("o_kind"), o["dt"].alias("o_dt"), o["lang"].alias("o_lang"),
     )
+    return t.select(F.inline(F.array(quad)))
 
 
 class TurtleReader(Parser):

@@ -210,3 +210,11 @@ def test_exists_inside_disjunctions(spark):
         assert sorted(r["s"] for r in got) == [f"u:{i}" for i in n if holds(i)], text
     with pytest.raises(UnsupportedSparql):
         compiler.select(g, "SELECT ?s WHERE { ?s <u:n> ?n FILTER(IF(EXISTS { ?s <u:p> ?x }, true, false)) }")
+
+
+def test_a_line_is_matched_twice_whatever_its_quads_are_joined_with(spark):
+    lines = spark.createDataFrame([('<a:s> <a:p> "x y $1 \\" z"@en <a:g> . # c\n',), (" _:b <a:p> <a:o> .",)], "value string")
+    quads = rdf.from_lines(lines)
+    assert {tuple(r) for r in quads.collect()} == {("a:g", "a:s", "iri", "a:p", 'x y $1 " z', "lit", terms.LANG_STRING, "en"), (None, "b", "bnode", "a:p", "a:o", "iri", "", "")}
+    plan = difference(quads_of(spark, [("<a:s>", "<a:p>", "<a:o>")]), quads)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"|\^\^<[^<>\s]*>)?)\s*(") == 2
