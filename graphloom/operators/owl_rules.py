@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.terms import OWL, RDF, RDF_TYPE, RDFS, XSD
 from graphloom.operators.profile import Attribute, Profile, ProfileError, Rule, TypeDef
 from graphloom.operators.rules import expand_ontology
-from graphloom.sources.shared import cut
+from graphloom.sources.shared import cut, tasks_for
 
 CLASS_TYPES = (OWL + "Class", RDFS + "Class")
 PROPERTY_TYPES = (RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty")
@@ -51,17 +51,19 @@ def roles(quads: DataFrame) -> DataFrame:
 def rules_of(quads: DataFrame, expand: bool = True) -> DataFrame:
     """(kind, subject, on, value, number) of an ontology."""
     x = cut(expand_ontology(quads) if expand else quads)
+    tasks = tasks_for(x)
+    x = x.repartition(tasks, "s")
     of = cut(roles(x))
     none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
     row = lambda kind, s="s", on=text, value=text, number=none: [kind.alias("kind"), F.col(s).alias("subject"), on.alias("on"), value.alias("value"), number.alias("number")]
     out = [of.where(F.col("role").isin("ontology", "class", "property", "class?", "property?")).select(*row(F.col("role")))]
 
-    facts = x.join(of, "s")
+    facts = cut(x.join(of.hint("merge"), "s"))
     classes, properties = facts.where(F.col("role").isin("class", "class?")), facts.where(F.col("role").isin("property", "property?"))
     iri = F.col("o_kind") == "iri"
-    restricted = classes.where((F.col("p") == RDFS + "subClassOf")).join(of.where("role = 'restriction'").select(F.col("s").alias("r")), F.col("o") == F.col("r"), "left_semi").select(F.col("s").alias("c"), F.col("o").alias("r"))
+    restricted = classes.where((F.col("p") == RDFS + "subClassOf")).repartition(tasks, "o").join(of.where("role = 'restriction'").select(F.col("s").alias("r")).hint("merge"), F.col("o") == F.col("r"), "left_semi").select(F.col("s").alias("c"), F.col("o").alias("r"))
     for p, kind in ((RDFS + "subClassOf", "subClassOf"), (OWL + "equivalentClass", "equivalentClass")):
-        plain = classes.where((F.col("p") == p) & iri).join(of.where("role = 'restriction'").select(F.col("s").alias("_r")), F.col("o") == F.col("_r"), "left_anti")
+        plain = classes.where((F.col("p") == p) & iri).repartition(tasks, "o").join(of.where("role = 'restriction'").select(F.col("s").alias("_r")), F.col("o") == F.col("_r"), "left_anti")
         out.append(plain.select(*row(F.lit(kind), value=F.col("o"))))
     for p, kind in ((RDFS + "domain", "domain"), (RDFS + "range", "range")):
         out.append(properties.where((F.col("p") == p) & iri).select(*row(F.lit(kind), value=F.col("o"))))
@@ -77,14 +79,14 @@ def rules_of(quads: DataFrame, expand: bool = True) -> DataFrame:
         *[one(n, literal).alias(n) for n in (*COUNTS, *QUALIFIED)], F.coalesce(one("onClass", named), one("onDataRange", named), one("onDatatype", named)).alias("qualifies"),
     )
     kind = reduce(lambda c, n: c.when(F.col(f"has_{n}"), F.lit(n)), limits[1:], F.when(F.col(f"has_{limits[0]}"), F.lit(limits[0])))
-    limited = restricted.join(wide, restricted["r"] == wide["s"]).where("on is not null").withColumn("kind", kind)
+    limited = cut(restricted.repartition(tasks, "r").join(wide.hint("merge"), restricted["r"] == wide["s"]).where("on is not null").withColumn("kind", kind))
     for n in VALUES:
         out.append(limited.where((F.col("kind") == n) & F.col(n).isNotNull()).select(*row(F.lit(n), "c", F.col("on"), F.col(n))))
     for n in COUNTS:
         out.append(limited.where((F.col("kind") == n) & F.col(n).isNotNull()).select(*row(F.lit(n), "c", F.col("on"), number=F.col(n).try_cast("int"))))
     for n in QUALIFIED:
         out.append(limited.where((F.col("kind") == n) & F.col(n).isNotNull() & F.col("qualifies").isNotNull()).select(*row(F.lit(n), "c", F.col("on"), F.col("qualifies"), F.col(n).try_cast("int"))))
-    return reduce(DataFrame.unionByName, out).distinct()
+    return reduce(DataFrame.unionByName, out).repartition(tasks, "kind", "subject", "on", "value").distinct()
 
 
 def profile_of(rules: DataFrame) -> tuple[Profile, list[tuple]]:

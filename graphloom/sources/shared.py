@@ -41,6 +41,16 @@ def cut(df: DataFrame, name: str = "state") -> DataFrame:
     return out
 
 
+#: Rows that a task of a step with a join or an aggregation gets, where the step deals its rows out itself.
+ROWS_A_TASK = 100_000
+
+
+def tasks_for(table: DataFrame) -> int:
+    """Partitions for a step over a table that cut() has written, by its rows, which are in the files' footers. Partitions of a given
+    number are not put together by their compressed bytes, so a task's memory doesn't grow with the table."""
+    return max(1, -(-table.count() // ROWS_A_TASK))
+
+
 def in_order(table: DataFrame) -> DataFrame:
     """A table that cut() has written as one partition, which streams over its files in the order of the tasks that wrote them."""
     spark = table.sparkSession

@@ -398,3 +398,13 @@ def test_digest_of_sorted_texts_keeps_them_from_the_driver(spark, monkeypatch):
     for gap, want in wants.items():
         assert [tuple(r) for r in canon.joined_sha256(texts, "t", [], between=gap).collect()] == [(want,)]
     assert canon.joined_sha256(texts.limit(0), "t", []).first()["digest"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_ontology_rules_deal_their_rows_out_by_their_number(spark, monkeypatch):
+    from graphloom.operators import owl_rules
+    from graphloom.sources import shared
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    quads = rdf.from_lines(spark.range(60).select(F.format_string("<u:C%d> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <u:D%d> .", "id", F.col("id") % 7).alias("value")))
+    rows = owl_rules.rules_of(quads, expand=False)
+    assert rows.rdd.getNumPartitions() == 6 and rows.where("kind = 'subClassOf'").count() == 60
