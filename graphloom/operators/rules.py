@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,8 +13,8 @@ from graphloom.functions import terms
 from graphloom.functions.terms import OWL, RDF, RDF_TYPE, RDFS, SKOS, DCT
 from graphloom.plans import compiler
 from graphloom.plans.sparql import parse_query
-from graphloom.sources.quads import dataset, difference, set_of, union
-from graphloom.sources.shared import cut
+from graphloom.sources.quads import COLUMNS, FrameSource, dataset, difference, set_of, union
+from graphloom.sources.shared import cut, tasks_of
 
 
 def run_updates(quads: DataFrame, rules: Mapping[str, str], parameters: Mapping[str, object] | None = None, prefixes=None, every: int = 4) -> DataFrame:
@@ -188,12 +189,29 @@ class MintingError(ValueError):
     """Temporary IRIs that no generator, or more than one, or no values can replace."""
 
 
-def replace_iris(quads: DataFrame, mapping: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
-    """Subjects and objects (not predicates) by a mapping of IRIs: two left joins."""
+def _start(table: DataFrame, column: str) -> str:
+    """What all texts of a column begin with: their least and their greatest do."""
+    return os.path.commonprefix([x or "" for x in table.agg(F.min(column), F.max(column)).first()])
+
+
+def replace_iris(quads: DataFrame, mapping: DataFrame, old: str = "old", new: str = "new", tasks: int | None = None) -> DataFrame:
+    """Subjects and objects (not predicates) by a mapping of IRIs: two left joins, dealt out to so many tasks if they are given.
+
+    A literal has a key of its own that no IRI equals, and so has an IRI that begins otherwise than all of the mapping's: a class
+    or a value of many quads doesn't come to one task.
+    """
     m = mapping.select(F.col(old).alias("_old"), F.col(new).alias("_new"))
-    s, o = m.withColumnsRenamed({"_old": "_so", "_new": "_sn"}), m.withColumnsRenamed({"_old": "_oo", "_new": "_on"})
-    rows = quads.join(s, (F.col("s_kind") == "iri") & (F.col("s") == F.col("_so")), "left").join(o, (F.col("o_kind") == "iri") & (F.col("o") == F.col("_oo")), "left")
-    return set_of(rows.select("g", F.coalesce("_sn", "s").alias("s"), "s_kind", "p", F.coalesce("_on", "o").alias("o"), "o_kind", "o_dt", "o_lang"))
+    same = _start(mapping, old)
+
+    def at(rows: DataFrame, c: str) -> DataFrame:
+        own = F.concat(F.lit("\0"), F.xxhash64("s", "p", "o").cast("string"))
+        rows = rows.withColumn("_key", F.when((F.col(f"{c}_kind") == "iri") & F.col(c).startswith(same), F.col(c)).otherwise(own))
+        to = m.withColumnRenamed("_old", "_key")
+        if tasks:
+            rows, to = rows.repartition(tasks, "_key"), to.repartition(tasks, "_key").hint("merge")
+        return rows.join(to, "_key", "left").withColumn(c, F.coalesce("_new", c)).select(*COLUMNS)
+
+    return set_of(at(at(quads.select(*COLUMNS), "s"), "o"), tasks)
 
 
 def mint(quads: DataFrame, generators: Sequence[Generator], temporary: str, prefixes=None) -> DataFrame:
@@ -205,42 +223,47 @@ def mint(quads: DataFrame, generators: Sequence[Generator], temporary: str, pref
     quads = dataset(quads)
     is_temp = lambda c: c.startswith(temporary)
 
-    def temps(state: DataFrame) -> DataFrame:
+    def temps() -> DataFrame:
         both = F.explode(F.array(F.when(F.col("s_kind") == "iri", F.col("s")), F.when(F.col("o_kind") == "iri", F.col("o"))))
-        return state.select(both.alias("iri")).where(F.col("iri").isNotNull() & is_temp(F.col("iri"))).distinct()
+        return state.select(both.alias("iri")).where(F.col("iri").isNotNull() & is_temp(F.col("iri"))).repartition(tasks, "iri").distinct()
 
-    chosen = None
+    state, chosen = cut(quads), None
+    count = state.count()
+    tasks = tasks_of(count)  # of every step: none has more rows than twice the quads
     for i, gen in enumerate(generators):
-        rows = compiler.select(quads, gen.selector, prefixes)
+        rows = compiler.select(FrameSource(state, count), gen.selector, prefixes)
         rows = rows.select(F.col(rows.columns[0])["value"].alias("iri"), F.lit(i).alias("generator")).where(is_temp(F.col("iri")))
         chosen = rows if chosen is None else chosen.unionAll(rows)
-    state, todo = cut(quads), cut(chosen)
-    odd = temps(state).join(todo.groupBy("iri").agg(F.count("*").alias("n")), "iri", "left").where("n is null or n != 1")
+    todo = cut(chosen)
+    times = todo.repartition(tasks, "iri").groupBy("iri").agg(F.count("*").alias("n"))
+    odd = temps().join(times.hint("merge"), "iri", "left").where("n is null or n != 1")
     if bad := odd.limit(5).collect():
         raise MintingError(f"not selected exactly once: {[r['iri'] for r in bad]}")
     while left := todo.count():
         mapping = None
         for i, gen in enumerate(generators):
             here = todo.where(F.col("generator") == i).select("iri")
-            rows = compiler.select(state, gen.variables, prefixes, here.select(terms.iri(F.col("iri")).alias("uri")))
+            rows = compiler.select(FrameSource(state, count), gen.variables, prefixes, here.select(terms.iri(F.col("iri")).alias("uri")))
             names = [c for c in rows.columns if c != "uri"]
             flat = rows.select(F.col("uri.value").alias("old"), *[F.col(f"`{c}`")["value"].alias(c) for c in names])
             usable = flat
             for c in names:
                 usable = usable.withColumn("_bad", F.col(f"`{c}`").isNull() | is_temp(F.col(f"`{c}`"))) if c == names[0] else usable.withColumn("_bad", F.col("_bad") | F.col(f"`{c}`").isNull() | is_temp(F.col(f"`{c}`")))
             usable = usable if names else usable.withColumn("_bad", F.lit(False))
-            once = usable.groupBy("old").agg(F.count("*").alias("n"), F.max("_bad").alias("bad"), *[F.first(c).alias(c) for c in names]).where("n = 1 and not bad")
+            once = usable.repartition(tasks, "old").groupBy("old").agg(F.count("*").alias("n"), F.max("_bad").alias("bad"), *[F.first(c).alias(c) for c in names]).where("n = 1 and not bad")
             made = once.select("old", _fill(gen.template, names).alias("new"))
             mapping = made if mapping is None else mapping.unionAll(made)
         mapping = cut(mapping)
         if not mapping.limit(1).count():
             raise MintingError(f"{left} temporary IRIs can't be replaced")
-        taken = state.select(F.explode(F.array("s", F.when(F.col("o_kind") == "iri", F.col("o")))).alias("new")).distinct()
-        double = mapping.groupBy("new").count().where("count > 1").select("new").unionAll(mapping.join(taken, "new", "left_semi").select("new"))
+        taken = state.select(F.explode(F.array("s", F.when(F.col("o_kind") == "iri", F.col("o")))).alias("new")).where(F.col("new").startswith(_start(mapping, "new"))).repartition(tasks, "new").distinct()
+        made = mapping.select("new").repartition(tasks, "new")
+        double = made.groupBy("new").count().where("count > 1").select("new").unionAll(made.join(taken.hint("merge"), "new"))
         if bad := double.limit(5).collect():
             raise MintingError(f"exist already: {[r['new'] for r in bad]}")
-        state = cut(replace_iris(state, mapping))
-        todo = cut(todo.join(mapping.select(F.col("old").alias("iri")), "iri", "left_anti"))
+        state = cut(replace_iris(state, mapping, tasks=tasks))
+        done = mapping.select(F.col("old").alias("iri"), F.lit(True).alias("_done")).repartition(tasks, "iri").hint("merge")
+        todo = cut(todo.repartition(tasks, "iri").join(done, "iri", "left").where("_done is null").drop("_done"))
     return state
 
 

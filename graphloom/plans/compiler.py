@@ -22,6 +22,7 @@ from graphloom.functions import terms
 from graphloom.functions.terms import LANG_STRING, STRING, TERM, XSD
 from graphloom.plans.sparql import Call, Exists, Group, Node, Pattern, Query, UnsupportedSparql, Update, Var, parse_query, parse_update
 from graphloom.sources.quads import COLUMNS, QuadSource, as_source, dataset, difference, set_of, union
+from graphloom.sources.shared import ROWS_A_TASK, tasks_of
 
 
 
@@ -36,11 +37,15 @@ MOST_LOOSE = 2
 
 @dataclass
 class Solutions:
-    """df's columns are the variables; `maybe` of them may be null, `resources` are never literals."""
+    """df's columns are the variables; `maybe` of them may be null, `resources` are never literals.
+
+    rows: those of the largest table that it was read from, where that is known.
+    """
 
     df: DataFrame
     maybe: frozenset[str] = frozenset()
     resources: frozenset[str] = frozenset()
+    rows: int | None = None
 
     @property
     def vars(self) -> list[str]:
@@ -57,6 +62,7 @@ class Compiler:
         self.source = as_source(source)
         self.spark = spark or getattr(self.source, "spark", None) or self.source.scan([]).sparkSession
         self.bindings = bindings
+        self.rows: int | None = getattr(self.source, "known_rows", None)
         self.now = F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
 
     # patterns
@@ -100,7 +106,11 @@ class Compiler:
                     resources.add(x.name)
         for c in same:
             df = df.where(c)
-        return Solutions(df.select(*[c.alias(n) for n, c in cols.items()]), frozenset(), frozenset(resources))
+        rows = self.rows
+        if rows is None and hasattr(self.source, "rows_of") and isinstance(t.p, Node):
+            table = self.source.owner(t.p.value, t.o.value if isinstance(t.o, Node) and t.o.kind == "iri" else None)
+            rows = self.source.rows_of(table) if table else None
+        return Solutions(df.select(*[c.alias(n) for n, c in cols.items()]), frozenset(), frozenset(resources), rows)
 
     def stars(self, patterns: list[Pattern]) -> list:
         """Patterns, those of one subject and one table gathered in lists, if the source has such."""
@@ -131,7 +141,7 @@ class Compiler:
                 df = df.where(terms.term_equal(c, cols[t.o.name]))
             else:
                 cols[t.o.name] = c
-        return Solutions(df.select(*[c.alias(n) for n, c in cols.items()]), frozenset(), frozenset({subject}))
+        return Solutions(df.select(*[c.alias(n) for n, c in cols.items()]), frozenset(), frozenset({subject}), self.source.rows_of(table) if hasattr(self.source, "rows_of") else None)
 
     default_only = False  # the default graph of a query is the union of all graphs
 
@@ -148,6 +158,15 @@ class Compiler:
             tests.append(equal)
         return reduce(lambda x, y: x & y, tests) if tests else None
 
+    @staticmethod
+    def _dealt(a: Solutions, b: Solutions, shared: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """Both sides of a join by its key, in partitions by their rows, where both are of many; a small side is left to a broadcast."""
+        if not shared or any(v in a.maybe or v in b.maybe for v in shared) or a.rows is None or b.rows is None or min(a.rows, b.rows) <= ROWS_A_TASK:
+            return a.df, b.df
+        parts = [(v, part) for v in shared for part in (("value", "kind") if v in a.resources or v in b.resources else ("value", "kind", "dt", "lang"))]
+        tasks = tasks_of(max(a.rows, b.rows))
+        return tuple(x.df.repartition(tasks, *[F.col(f"`{v}`")[part] for v, part in parts]) for x in (a, b))
+
     def _apart(self, a: Solutions, b: Solutions, v: str, how: str, extra) -> Solutions:
         """A join on a variable that may be unbound, as joins of bound rows, which have a key, and of unbound ones, which fit all."""
 
@@ -180,7 +199,8 @@ class Compiler:
         loose = [v for v in shared if v in a.maybe or v in b.maybe]
         if loose and len(loose) <= MOST_LOOSE and how in ("inner", "left", "left_semi", "left_anti"):
             return self._apart(a, b, loose[0], how, extra)
-        x, y = a.df.alias("l_"), b.df.alias("r_")
+        dealt = self._dealt(a, b, shared) if how in ("inner", "left") else (a.df, b.df)
+        x, y = dealt[0].alias("l_"), dealt[1].alias("r_")
         on = self._on(a, b, shared, "l_", "r_")
         if extra is not None:
             names = {v: F.col(f"l_.{v}") for v in a.vars} | {v: F.col(f"r_.{v}") for v in b.vars if v not in a.vars}
@@ -200,7 +220,7 @@ class Compiler:
             maybe = a.maybe | new
         else:
             maybe = {v for v in a.maybe | b.maybe if not (v in shared and (v not in a.maybe or v not in b.maybe))}
-        return Solutions(df.select(*out), frozenset(maybe), a.resources | b.resources)
+        return Solutions(df.select(*out), frozenset(maybe), a.resources | b.resources, None if a.rows is None or b.rows is None else max(a.rows, b.rows))
 
     @staticmethod
     def _on_any(x: DataFrame, y: DataFrame, how: str) -> DataFrame:
@@ -283,7 +303,7 @@ class Compiler:
         return Solutions(df, frozenset(maybe), frozenset(v for v in names if all(v in p.resources or v not in p.vars for p in parts)))
 
     def extend(self, s: Solutions, e, name: str) -> Solutions:
-        return Solutions(s.df.withColumn(name, self.as_term(e, self._names(s))), s.maybe | {name}, s.resources)
+        return Solutions(s.df.withColumn(name, self.as_term(e, self._names(s))), s.maybe | {name}, s.resources, s.rows)
 
     @staticmethod
     def _inward(e):
@@ -301,7 +321,7 @@ class Compiler:
         """Rows where e is true. EXISTS inside a disjunction splits it: rows where the one side is true, then of the others those
         where the other side is."""
         if not self._has_exists(e):
-            return Solutions(s.df.where(self.truth(e, self._names(s))), s.maybe, s.resources)
+            return Solutions(s.df.where(self.truth(e, self._names(s))), s.maybe, s.resources, s.rows)
         e = self._inward(e)
         if isinstance(e, Exists):
             return self.exists(s, e)
@@ -632,7 +652,7 @@ class Compiler:
             if isinstance(t.g, Var):
                 fine &= F.col("g").isNotNull()
             parts.append(row.where(fine).drop("p_kind"))
-        return union(*parts)
+        return union(*parts, tasks=tasks_of(s.rows * len(template)) if s.rows and s.rows * len(template) > ROWS_A_TASK else None)
 
 
 # Entry points
@@ -642,7 +662,7 @@ def select(source, text: str, prefixes=None, bindings: DataFrame | None = None,
     """Solutions of a SELECT: one term struct a variable."""
     q = parse_query(text, prefixes)
     c = Compiler(source, spark, bindings)
-    return c.select(q, Solutions(bindings) if bindings is not None else None).df
+    return c.select(q, Solutions(bindings, rows=c.rows) if bindings is not None else None).df
 
 
 def values(df: DataFrame, **kinds: str) -> DataFrame:

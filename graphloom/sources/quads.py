@@ -31,8 +31,9 @@ class QuadSource(Protocol):
 class FrameSource:
     """Quads in a DataFrame."""
 
-    def __init__(self, quads: DataFrame):
-        self.quads = quads.select(*COLUMNS)
+    def __init__(self, quads: DataFrame, rows: int | None = None):
+        """rows: how many there are, if that is known; joins of many rows are then dealt out by it."""
+        self.quads, self.known_rows = quads.select(*COLUMNS), rows
 
     def scan(self, predicates: Sequence[str] | None = None) -> DataFrame:
         return self.quads if predicates is None else self.quads.where(F.col("p").isin(*predicates))
@@ -58,13 +59,14 @@ def quads_of(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(out, SCHEMA)
 
 
-def set_of(quads: DataFrame) -> DataFrame:
-    """A graph is a set: repeated quads go."""
-    return quads.select(*COLUMNS).dropDuplicates()
+def set_of(quads: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A graph is a set: repeated quads go. With a number of tasks, rows are dealt out to so many before any are held."""
+    rows = quads.select(*COLUMNS)
+    return (rows.repartition(tasks, "s", "p", "o") if tasks else rows).dropDuplicates()
 
 
-def union(*parts: DataFrame) -> DataFrame:
-    return set_of(reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts]))
+def union(*parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    return set_of(reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts]), tasks)
 
 
 def same_quad(a: DataFrame, b: DataFrame, columns: Sequence[str] = COLUMNS) -> Column:
@@ -117,12 +119,19 @@ class TableSource:
         self.spark, self.path, self.graph = spark, path.rstrip("/"), graph
         self.tables = tuple(tables or KEYS)
         self._frames: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self._frames[name]
 
+    def rows_of(self, name: str) -> int:
+        """Rows of a table, from its files' footers."""
+        if name not in self._rows:
+            self._rows[name] = self.table(name).count()
+        return self._rows[name]
+
     def subject(self, table: str, *columns: str) -> Column:
         columns = columns or KEYS[table]
         return F.concat(F.lit(f"urn:{table}:"), F.concat_ws("-", *[F.col(c).cast("string") for c in columns]))

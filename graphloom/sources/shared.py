@@ -45,10 +45,15 @@ def cut(df: DataFrame, name: str = "state") -> DataFrame:
 ROWS_A_TASK = 100_000
 
 
+def tasks_of(rows: int) -> int:
+    """Partitions for a step over so many rows. Partitions of a given number are not put together by their compressed bytes, so a
+    task's memory doesn't grow with the table."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
 def tasks_for(table: DataFrame) -> int:
-    """Partitions for a step over a table that cut() has written, by its rows, which are in the files' footers. Partitions of a given
-    number are not put together by their compressed bytes, so a task's memory doesn't grow with the table."""
-    return max(1, -(-table.count() // ROWS_A_TASK))
+    """Partitions for a step over a table that cut() has written, by its rows, which are in the files' footers."""
+    return tasks_of(table.count())
 
 
 def in_order(table: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from graphloom.operators import access, canon, documents, index, ontology, opera
 from graphloom.operators.profile import ProfileError, collapse, doc_profile, dump, load, merge_doc_profiles
 from graphloom.plans.sparql import Node
 from graphloom.sources import rdf
-from graphloom.sources.quads import difference
+from graphloom.sources.quads import difference, quads_of
 
 PREFIX = {"ex": "http://ex/"}
 TTL = """@prefix ex: <http://ex/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
@@ -408,3 +408,32 @@ def test_ontology_rules_deal_their_rows_out_by_their_number(spark, monkeypatch):
     quads = rdf.from_lines(spark.range(60).select(F.format_string("<u:C%d> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <u:D%d> .", "id", F.col("id") % 7).alias("value")))
     rows = owl_rules.rules_of(quads, expand=False)
     assert rows.rdd.getNumPartitions() == 6 and rows.where("kind = 'subClassOf'").count() == 60
+
+
+def _exchanges(df):
+    """Partitions of each exchange of a plan by keys, and whether the query named their number itself."""
+    import re
+
+    found = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", df._jdf.queryExecution().executedPlan().toString())
+    return [(int(n), why) for n, why in found]
+
+
+def test_minting_deals_out_its_steps_by_their_rows(spark, monkeypatch):
+    """No task's rows grow with the graph: partitions are of a number by the rows, and a class or value of many quads isn't a key."""
+    from graphloom.sources import shared
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 50)
+    q = quads_of(spark, [x for i in range(100) for x in ((f"<t:{i}>", "<urn:p>", "<u:C>"), (f"<t:{i}>", "<urn:key>", f'"{i}"'), (f"<t:{i}>", "<urn:to>", f"<t:{(i + 1) % 100}>"))])
+    made, kept, cut = [], rules.replace_iris, rules.cut
+    monkeypatch.setattr(rules, "replace_iris", lambda *a, **b: made.append(kept(*a, **b)) or made[-1])
+    steps = []
+    monkeypatch.setattr(rules, "cut", lambda df, *a: steps.append(df) or cut(df, *a))
+    gen = rules.Generator("SELECT ?x WHERE { ?x <urn:p> <u:C> }", "SELECT ?uri ?k WHERE { ?uri <urn:key> ?k }", "new:#{[k]}")
+    out = {(r["s"], r["p"], r["o"]) for r in rules.mint(q, [gen], "t:").collect()}
+    assert out == {x for i in range(100) for x in ((f"new:{i}", "urn:p", "u:C"), (f"new:{i}", "urn:key", str(i)), (f"new:{i}", "urn:to", f"new:{(i + 1) % 100}"))}
+    assert len(_exchanges(made[0])) == 5 and set(_exchanges(made[0])) == {(6, "REPARTITION_BY_NUM")}
+    assert all(why == "REPARTITION_BY_NUM" for df in steps[1:] for _, why in _exchanges(df))
+    # the objects of one predicate are one class, yet no partition has them all
+    monkeypatch.setattr(rules, "set_of", lambda df, tasks=None: df)
+    rows = kept(q.where("p = 'urn:p'"), spark.createDataFrame([(f"t:{i}", f"new:{i}") for i in range(100)], "old string, new string"), tasks=10)
+    assert max(r["count"] for r in rows.groupBy(F.spark_partition_id().alias("k")).count().collect()) < 40
