@@ -133,6 +133,7 @@ class Compiler:
         predicates = list(dict.fromkeys(t.p.value for t in patterns))
         df = self.source.star(table, predicates)
         cols: dict[str, Column] = {subject: terms.iri(F.col("s"))}
+        refers = {t.o.name for t in patterns if isinstance(t.o, Var) and self.source.refers(table, t.p.value)}
         for t in patterns:
             c = F.col(f"o{predicates.index(t.p.value)}")
             if isinstance(t.o, Node):
@@ -141,7 +142,7 @@ class Compiler:
                 df = df.where(terms.term_equal(c, cols[t.o.name]))
             else:
                 cols[t.o.name] = c
-        return Solutions(df.select(*[c.alias(n) for n, c in cols.items()]), frozenset(), frozenset({subject}), self.source.rows_of(table) if hasattr(self.source, "rows_of") else None)
+        return Solutions(df.select(*[c.alias(n) for n, c in cols.items()]), frozenset(), frozenset({subject} | refers), self.source.rows_of(table) if hasattr(self.source, "rows_of") else None)
 
     default_only = False  # the default graph of a query is the union of all graphs
 
@@ -159,13 +160,16 @@ class Compiler:
         return reduce(lambda x, y: x & y, tests) if tests else None
 
     @staticmethod
-    def _dealt(a: Solutions, b: Solutions, shared: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Both sides of a join by its key, in partitions by their rows, where both are of many; a small side is left to a broadcast."""
+    def _dealt(a: Solutions, b: Solutions, shared: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Both sides of a join in partitions by their rows, and columns of its key, where both are of many; a small side is left to a
+        broadcast. A key is one text, as Spark drops parts that it finds constant and then deals rows out again."""
         if not shared or any(v in a.maybe or v in b.maybe for v in shared) or a.rows is None or b.rows is None or min(a.rows, b.rows) <= ROWS_A_TASK:
-            return a.df, b.df
-        parts = [(v, part) for v in shared for part in (("value", "kind") if v in a.resources or v in b.resources else ("value", "kind", "dt", "lang"))]
-        tasks = tasks_of(max(a.rows, b.rows))
-        return tuple(x.df.repartition(tasks, *[F.col(f"`{v}`")[part] for v, part in parts]) for x in (a, b))
+            return a.df, b.df, []
+        tasks, keys = tasks_of(max(a.rows, b.rows)), {}
+        for i, v in enumerate(shared):
+            parts = ("kind", "value") if v in a.resources or v in b.resources else ("kind", "dt", "lang", "value")
+            keys[f"_key{i}"] = F.concat(*[x for part in parts for x in (F.lit("\0"), F.col(f"`{v}`")[part])])
+        return *[x.df.withColumns(keys).repartition(tasks, *keys) for x in (a, b)], list(keys)
 
     def _apart(self, a: Solutions, b: Solutions, v: str, how: str, extra) -> Solutions:
         """A join on a variable that may be unbound, as joins of bound rows, which have a key, and of unbound ones, which fit all."""
@@ -199,9 +203,9 @@ class Compiler:
         loose = [v for v in shared if v in a.maybe or v in b.maybe]
         if loose and len(loose) <= MOST_LOOSE and how in ("inner", "left", "left_semi", "left_anti"):
             return self._apart(a, b, loose[0], how, extra)
-        dealt = self._dealt(a, b, shared) if how in ("inner", "left") else (a.df, b.df)
-        x, y = dealt[0].alias("l_"), dealt[1].alias("r_")
-        on = self._on(a, b, shared, "l_", "r_")
+        x, y, keys = self._dealt(a, b, shared) if how in ("inner", "left") else (a.df, b.df, [])
+        x, y = x.alias("l_"), y.alias("r_")
+        on = reduce(lambda p, q: p & q, [F.col(f"l_.{k}") == F.col(f"r_.{k}") for k in keys]) if keys else self._on(a, b, shared, "l_", "r_")
         if extra is not None:
             names = {v: F.col(f"l_.{v}") for v in a.vars} | {v: F.col(f"r_.{v}") for v in b.vars if v not in a.vars}
             test = extra(names)
@@ -584,6 +588,7 @@ class Compiler:
             if not isinstance(e, Var):
                 df = df.withColumn(n, self.as_term(e, names))
         keys = [n for _, n in q.group_by]
+        short = [n for n in keys if n in s.resources and n not in s.maybe and n not in {x for e, x in q.group_by if not isinstance(e, Var)}]
         made: dict[Call, str] = {}
 
         def place(e):
@@ -603,7 +608,11 @@ class Compiler:
 
         having = [place(unalias(e)) for e in q.having]
         cols = [self._aggregate(e, names).alias(n) for e, n in made.items()]
-        grouped = df.groupBy(*keys).agg(*cols) if cols else df.select(*keys).distinct()
+        # a resource is its value and kind: groups hold these, not the whole term
+        parts = [F.col(f"`{n}`")[x].alias(f"_{x}_{n}") if x else F.col(f"`{n}`") for n in keys for x in (("value", "kind") if n in short else ("",))]
+        grouped = df.groupBy(*parts).agg(*cols) if cols else df.select(*parts).distinct()
+        whole = [terms.term(F.col(f"`_kind_{n}`"), F.col(f"`_value_{n}`")).alias(n) if n in short else F.col(f"`{n}`") for n in keys]
+        grouped = grouped.select(*whole, *made.values())
         g = Solutions(grouped, s.maybe & frozenset(keys), s.resources & frozenset(keys))
         for e in having:
             g = self.filter(g, e)

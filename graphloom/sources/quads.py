@@ -162,10 +162,16 @@ class TableSource:
             cols.append(F.struct(F.lit(o_kind).alias("kind"), o.alias("value"), dt.alias("dt"), lang.alias("lang")).alias(f"o{i}"))
         return df.select(self.subject(table).alias("s"), *cols)
 
+    def refers(self, table: str, predicate: str) -> bool:
+        """Whether all objects of a table's predicate are IRIs."""
+        name = predicate.partition("#")[2]
+        target = REFERENCES.get(name)
+        return predicate == RDF_TYPE or bool(target) and (table, name) != (target, KEYS[target][0])
+
     def _object(self, table: str, name: str) -> tuple[Column, str, Column, Column]:
         kind = dict(self.table(table).dtypes)[name]
-        target = REFERENCES.get(name)
-        if target and (table, name) != (target, KEYS[target][0]):
+        if self.refers(table, f"urn:{table}#{name}"):
+            target = REFERENCES[name]
             o, o_kind, dt, lang = self.subject(target, name), "iri", F.lit(""), F.lit("")
         else:
             o, o_kind, dt, lang = lexical(F.col(name), kind), "lit", F.lit(DATATYPES.get(kind, STRING)), F.lit("")

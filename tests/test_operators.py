@@ -437,3 +437,23 @@ def test_minting_deals_out_its_steps_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(rules, "set_of", lambda df, tasks=None: df)
     rows = kept(q.where("p = 'urn:p'"), spark.createDataFrame([(f"t:{i}", f"new:{i}") for i in range(100)], "old string, new string"), tasks=10)
     assert max(r["count"] for r in rows.groupBy(F.spark_partition_id().alias("k")).count().collect()) < 40
+
+
+def test_joins_of_many_rows_are_dealt_out_by_their_rows(spark, sf_dir, monkeypatch):
+    from graphloom import queries
+    from graphloom.plans import compiler
+    from graphloom.sources import shared
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = {tuple(r) for r in queries.theta_pairs_same_order(spark, sf_dir).collect()}
+    for module in (shared, compiler):
+        monkeypatch.setattr(module, "ROWS_A_TASK", 100)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = queries.theta_pairs_same_order(spark, sf_dir)
+        rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+        dealt = [n for n, why in _exchanges(df) if why == "REPARTITION_BY_NUM"]
+        assert dealt == [-(-rows // 100)] * 2 and len(_exchanges(df)) == 3  # both sides once, and the groups
+        assert {tuple(r) for r in df.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
