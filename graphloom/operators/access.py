@@ -23,14 +23,15 @@ def o_term() -> Column:
     return terms.term(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
 
 
-def types_of(source: QuadSource) -> DataFrame:
-    """(s, type) of all resources."""
-    return source.scan([RDF_TYPE]).where(F.col("o_kind") == "iri").select("s", F.col("o").alias("type")).distinct()
+def types_of(source: QuadSource, tasks: int | None = None) -> DataFrame:
+    """(s, type) of all resources; with a number of tasks, dealt out to them by s before any are held."""
+    rows = source.scan([RDF_TYPE]).where(F.col("o_kind") == "iri").select("s", F.col("o").alias("type"))
+    return (rows.repartition(tasks, "s") if tasks else rows).distinct()
 
 
-def type_sets(source) -> DataFrame:
+def type_sets(source, tasks: int | None = None) -> DataFrame:
     """(s, types): the sorted set of classes of each resource."""
-    return types_of(as_source(source)).groupBy("s").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    return types_of(as_source(source), tasks).groupBy("s").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
 def find_all(source, profile: Profile, type_id: str) -> DataFrame:

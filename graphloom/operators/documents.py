@@ -19,7 +19,7 @@ from graphloom.functions.jsondiff import ConversionError, diff, json_reader
 from graphloom.functions.terms import LANG_STRING, RDF_TYPE, XSD
 from graphloom.operators.access import type_sets
 from graphloom.operators.profile import DocProfile
-from graphloom.sources.shared import cut
+from graphloom.sources.shared import ROWS_A_TASK, cut, tasks_of
 from graphloom.plans import compiler
 from graphloom.plans.sparql import parse_query
 from graphloom.sources.quads import COLUMNS, SCHEMA, as_source, difference, set_of
@@ -27,10 +27,10 @@ from graphloom.sources.quads import COLUMNS, SCHEMA, as_source, difference, set_
 ROW = "doc string, uri string, level int, type string, attribute string, datatype string, lang string, value string, single boolean"
 
 
-def match_types(source, profile: DocProfile, mode: str = "profile") -> DataFrame:
+def match_types(source, profile: DocProfile, mode: str = "profile", tasks: int | None = None) -> DataFrame:
     """(s, type): all: the classes equal a type's; profile: the most specific type whose classes are all there, a tie raises;
     root: the one type with a class in common that has no subtype there."""
-    sets = type_sets(source)
+    sets = type_sets(source, tasks)
     level = profile.levels()
     known = [t for t in sorted(profile.types, key=lambda t: (level[t], t)) if profile.types[t].rdf_types]
     if not known:
@@ -44,8 +44,9 @@ def match_types(source, profile: DocProfile, mode: str = "profile") -> DataFrame
     return kept.where(F.size("fit") > 0).select("s", F.when(ties > 1, bad).otherwise(best["t"]).alias("type"))
 
 
-def attribute_rows(source, profile: DocProfile) -> DataFrame:
-    """(type, attribute, single, s, value) of all attributes, inverse ones swapped: one scan a predicate."""
+def attribute_rows(source, profile: DocProfile, tasks: int | None = None) -> DataFrame:
+    """(type, attribute, single, kind, s, value) of all attributes, inverse ones swapped: one scan a predicate. With a number of tasks,
+    rows are dealt out to them by s and type before any are held."""
     source, parts = as_source(source), []
     by_uri: dict[tuple[str, bool], list] = {}
     for t in profile.types.values():
@@ -58,8 +59,9 @@ def attribute_rows(source, profile: DocProfile) -> DataFrame:
         else:
             rows = rows.select("s", terms.term(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("value"))
         use = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(a.id).alias("attribute"), F.lit(a.single).alias("single"), F.lit(a.kind).alias("kind")) for t, a in uses]))
-        parts.append(rows.distinct().withColumn("use", use).select("use.*", "s", "value"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append((rows if tasks else rows.distinct()).withColumn("use", use).select("use.*", "s", "value"))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.repartition(tasks, "s", "type").distinct() if tasks else out
 
 
 def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile", max_depth: int = 1000) -> DataFrame:
@@ -68,12 +70,13 @@ def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile"
     Each level reads the types and facts of the resources that it meets, no others. Deeper nesting than max_depth, a missing root, a blank node as value, and several values of a single attribute (but of different languages) raise.
     """
     source = as_source(source)
-    all_types, all_facts = match_types(source, profile, mode), attribute_rows(source, profile)
+    read = tasks_of(source.scan([RDF_TYPE, *{a.uri for t in profile.types.values() for a in t.attributes.values()}]).count())
+    all_types, all_facts = match_types(source, profile, mode, read), attribute_rows(source, profile, read)
 
     def fetch(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Types and facts of the wanted resources alone."""
-        t = cut(all_types.join(wanted, "s", "left_semi"))
-        return t, cut(all_facts.join(t, ["s", "type"]))
+        """Types and facts of the wanted resources (each once) alone. No semi-join: that would be pushed below what deals rows out."""
+        t = cut(all_types.join(wanted.repartition(read, "s").hint("merge"), "s"))
+        return t, cut(all_facts.join(t.repartition(read, "s", "type").hint("merge"), ["s", "type"]))
 
     seen = frontier = cut(roots.select(F.col("s").alias("doc"), "s", F.lit(0).alias("level")).distinct())
     types, facts = fetch(seen.select("s").distinct())
@@ -83,8 +86,11 @@ def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile"
     depth = 0
     while True:
         depth += 1
-        refs = frontier.join(facts, "s").where((F.col("value.kind") == "iri") & (F.col("kind") != "datatype"))
-        step = cut(refs.select("doc", F.col("value.value").alias("s")).distinct().join(seen, ["doc", "s"], "left_anti"))
+        links = facts.where((F.col("value.kind") == "iri") & (F.col("kind") != "datatype")).select("s", F.col("value.value").alias("to"))
+        tasks = tasks_of(max(facts.count(), seen.count()))
+        refs = _meet(frontier, links, tasks).select("doc", F.col("to").alias("s")).repartition(tasks, "doc", "s").distinct()
+        known = seen.select("doc", "s", F.lit(True).alias("_known")).repartition(tasks, "doc", "s").hint("merge")
+        step = cut(refs.join(known, ["doc", "s"], "left").where("_known is null").drop("_known"))
         if not step.limit(1).count():
             break
         t, f = fetch(step.select("s").distinct().join(types, "s", "left_anti"))
@@ -97,17 +103,31 @@ def to_rows(source, profile: DocProfile, roots: DataFrame, mode: str = "profile"
         seen = cut(seen.unionByName(frontier))
     value = F.col("value")
     blank = F.raise_error(F.concat(F.lit("a blank node is the value of "), F.col("attribute"))).cast("string")
-    typed = types.select(F.col("s").alias("_t")).withColumn("typed", F.lit(True))
-    rows = seen.join(types, "s").join(facts.drop("type"), "s", "left").join(typed, (value["kind"] == "iri") & (value["value"] == F.col("_t")), "left")
+    told = tasks_of(facts.count())
+    typed = types.select(F.col("s").alias("_t")).withColumn("typed", F.lit(True)).repartition(told, "_t").hint("merge")
+    # what is no reference has a key of its own: a value of many resources doesn't come to one task
+    key = F.when((value["kind"] == "iri") & (F.col("kind") != "datatype"), value["value"]).otherwise(F.concat(F.lit("\0"), F.xxhash64("s", "attribute", "value").cast("string")))
+    rows = facts.drop("type").withColumn("_t", key).repartition(told, "_t").join(typed, "_t", "left").repartition(told, "s")
     reference = (value["kind"] == "iri") & (F.col("kind") != "datatype") & F.col("typed").isNotNull()
     datatype = F.when(value["kind"] == "bnode", blank).when(reference, F.lit("reference")).when(value["kind"] == "iri", F.lit(terms.RDFS + "Resource")).otherwise(value["dt"])
-    out = rows.select("doc", F.col("s").alias("uri"), "level", "type", "attribute", datatype.alias("datatype"), value["lang"].alias("lang"), value["value"].alias("value"), "single")
+    rows = rows.select("s", "attribute", datatype.alias("datatype"), value["lang"].alias("lang"), value["value"].alias("value"), "single")
     from pyspark.sql import Window
 
-    per = Window.partitionBy("doc", "uri", "attribute")
+    per = Window.partitionBy("s", "attribute")
     many = F.col("single") & (F.count("value").over(per) > 1) & (F.size(F.collect_set(F.when(F.col("lang") != "", F.col("lang"))).over(per)) < F.count("value").over(per))
-    error = F.raise_error(F.concat(F.lit("several values of the single attribute "), F.col("attribute"), F.lit(" of "), F.col("uri"))).cast("string")
-    return out.withColumn("value", F.when(many, error).otherwise(F.col("value")))
+    error = F.raise_error(F.concat(F.lit("several values of the single attribute "), F.col("attribute"), F.lit(" of "), F.col("s"))).cast("string")
+    rows = rows.withColumn("value", F.when(many, error).otherwise(F.col("value")))
+    rows = _meet(seen, types.repartition(told, "s").join(rows.hint("merge"), "s", "left"), max(told, tasks_of(seen.count())))
+    return rows.select("doc", F.col("s").alias("uri"), "level", "type", "attribute", "datatype", "lang", "value", "single")
+
+
+def _meet(docs: DataFrame, facts: DataFrame, tasks: int) -> DataFrame:
+    """docs (doc, s, level) with the facts of their resources, dealt out by resource; one of very many documents has several tasks."""
+    hot = docs.where("doc != s").groupBy("s").agg(F.ceil(F.count("*") / ROWS_A_TASK).cast("int").alias("_n")).where("_n > 1")
+    n = F.coalesce("_n", F.lit(1))
+    docs = docs.join(F.broadcast(hot), "s", "left").withColumn("_part", F.pmod(F.xxhash64("doc"), n).cast("int")).drop("_n")
+    facts = facts.join(F.broadcast(hot), "s", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    return docs.repartition(tasks, "s", "_part").join(facts.repartition(tasks, "s", "_part").hint("merge"), ["s", "_part"]).drop("_part")
 
 
 def uncovered(source, profile: DocProfile) -> DataFrame:

@@ -457,3 +457,14 @@ def test_joins_of_many_rows_are_dealt_out_by_their_rows(spark, sf_dir, monkeypat
         assert {tuple(r) for r in df.collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_resource_of_many_documents_has_several_tasks(spark, monkeypatch):
+    from graphloom.operators import documents
+
+    monkeypatch.setattr(documents, "ROWS_A_TASK", 50)
+    docs = spark.range(400).selectExpr("concat('d', id) doc", "'hot' s", "1 level").unionAll(spark.sql("select 'r', 'r', 0"))
+    facts = spark.sql("select 'hot' s, 'x' value union all select 'hot', 'y' union all select 'r', 'z'")
+    out = documents._meet(docs, facts, 16)
+    assert {(r["doc"], r["s"], r["level"], r["value"]) for r in out.collect()} == {(f"d{i}", "hot", 1, v) for i in range(400) for v in "xy"} | {("r", "r", 0, "z")} and out.count() == 801
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id().alias("k")).count().collect()) < 500
